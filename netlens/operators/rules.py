@@ -169,13 +169,18 @@ def window_status(pending: DataFrame, rows: DataFrame, content: DataFrame, step_
     end = F.col("anchor") * step_us
     row, has = F.coalesce("has_row", F.lit(False)), F.coalesce("has_content", F.lit(False))
     late, old = end > high_us, F.lit(now_us) - end > expiry_us
+    def state(status: str, reason: str | Column = "") -> Column:
+        reason = F.lit(reason) if isinstance(reason, str) else reason
+        return F.struct(F.lit(status).alias("status"), reason.alias("reason"))
+
+    lost = F.when(old, F.lit("ventana_no_regenerada")).otherwise(F.lit("fila_no_generada"))
     status = (
-        F.when(late & ~old, F.struct(F.lit("pending").alias("status"), F.lit("").alias("reason")))
-        .when(late, F.struct(F.lit("not_evaluated"), F.lit("pcap_incompleto")))
-        .when(row & F.col("eligible"), F.struct(F.lit("decided"), F.lit("")))
-        .when(row, F.struct(F.lit("not_evaluated"), F.lit("no_elegible")))
-        .when(has, F.struct(F.lit("not_evaluated"), F.when(old, F.lit("ventana_no_regenerada")).otherwise(F.lit("fila_no_generada"))))
-        .otherwise(F.struct(F.lit("cancelled"), F.lit("sin_contenido_en_su_horizonte")))
+        F.when(late & ~old, state("pending"))
+        .when(late, state("not_evaluated", "pcap_incompleto"))
+        .when(row & F.col("eligible"), state("decided"))
+        .when(row, state("not_evaluated", "no_elegible"))
+        .when(has, state("not_evaluated", lost))
+        .otherwise(state("cancelled", "sin_contenido_en_su_horizonte"))
     )
     return x.withColumn("_s", status).select(*keys, "_s.status", "_s.reason")
 

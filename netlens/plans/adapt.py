@@ -102,6 +102,18 @@ TABLES: dict[str, tuple[str, list[str]]] = {
         "case when k % 2 = 0 then 'A' else 'AAAA' end as rrtype",
         "case when event_type = 'error' then 'NXDOMAIN' when event_type = 'signup' then 'NOERROR' else '' end as rcode",
     ]),
+    # Connection attempts: ten sources, three targets, 25 ports; replies reuse the 4-tuple.
+    "syn0": ("ev", [
+        "ts_us", "event_id as arrival", "event_type", "user_id", "k",
+        "'10.10.1.' || cast(10 + user_id % 10 as string) as a", "'10.20.0.' || cast(1 + k % 3 as string) as b",
+        "cast(20 + k % 25 as int) as port", "event_type in ('signup', 'error') as reply",
+        "cast(event_id % 997 as bigint) as seq",
+    ]),
+    "tcp": ("syn0", [
+        "ts_us", "arrival", "cast(6 as int) as protocol", "case when reply then b else a end as src_ip", "case when reply then a else b end as dst_ip",
+        "cast(case when reply then port else 40000 end as int) as src_port", "cast(case when reply then 40000 else port end as int) as dst_port",
+        "cast(case event_type when 'signup' then 18 when 'error' then 4 else 2 end as int) as tcp_flags", "seq as tcp_seq", "cast(60 as int) as ip_length",
+    ]),
     # Decisions of a detector: one per event, with the rules that fired beside the model.
     "dec": ("ev", [
         "'d' || cast(event_id as string) as decision_id", "event_id as arrival", _client("user_id") + " as entity_ip", "user_id",

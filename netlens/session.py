@@ -23,6 +23,7 @@ def local_session(cores: int | str = 8, app: str = "netlens", memory: str = "8g"
         b.config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
