@@ -7,9 +7,11 @@ small summary row per (key, slice) is carried across the slice borders.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from netlens.functions.columns import ceil_bucket, idiv
@@ -18,6 +20,25 @@ SECOND = 1_000_000
 MINUTE = 60 * SECOND
 
 
+# --- lineage ----------------------------------------------------------------------
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write an intermediate once and read it back, where several branches need it.
+
+    The table goes to the shared folder the session names in ``spark.checkpoint.dir``, so a
+    lost executor never costs the work before it. Only sessions without that setting (tests)
+    get a temporary folder of their own.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = tempfile.mkdtemp(prefix="netlens-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/netlens-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 # --- hopping windows -------------------------------------------------------------
 
 def hop(df: DataFrame, buckets: int, bucket: str = "bucket", anchor: str = "anchor") -> DataFrame:
@@ -263,14 +284,18 @@ def retained_fold(
     )
     sort_cols = [f"o{i}" for i in range(len(order))]
 
-    def prepare(pdf):
-        pdf = pdf.sort_values(sort_cols, kind="stable").reset_index(drop=True)
-        here = int(pdf["slice"].iloc[0])
-        n_halo = int((pdf["home"] < here).sum())
-        return pdf, here, n_halo, pdf["t"].tolist(), pdf["v"].tolist(), pdf["fold_id"].tolist()
+    sliced_schema = "fold_key string, slice long, entry string, leave string"
 
-    def transitions(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, here, n_halo, t, v, ids = prepare(pdf)
+    def prepare(table: pa.Table):
+        d = table.to_pydict()
+        ranks = sorted(range(table.num_rows), key=lambda i: tuple(d[c][i] for c in sort_cols))
+        here = d["slice"][0]
+        n_halo = sum(h < here for h in d["home"])
+        pick = lambda c: [d[c][i] for i in ranks]
+        return d["fold_key"][0], here, n_halo, pick("t"), pick("v"), pick("fold_id"), d
+
+    def transitions(table: pa.Table) -> pa.Table:
+        key, here, n_halo, t, v, ids, _ = prepare(table)
         groups = {None: [_NONE]}
         for h in range(n_halo):
             groups[h] = [ids[h]]
@@ -281,16 +306,18 @@ def retained_fold(
                 merged.setdefault(nxt, []).extend(entries)
             groups = merged
         border = (here + 1) * slice_us - gap_us
-        key = pdf["fold_key"].iloc[0]
-        rows = []
+        entry, leave = [], []
         for state, entries in groups.items():
             leaves = state is not None and t[state] >= border
-            rows += [(key, here, e, ids[state] if leaves else _NONE) for e in entries]
-        return pd.DataFrame(rows, columns=["fold_key", "slice", "entry", "leave"])
-
-    trans = sliced.groupBy("fold_key", "slice").applyInPandas(
-        transitions, "fold_key string, slice long, entry string, leave string"
-    )
+            entry += entries
+            leave += [ids[state] if leaves else _NONE] * len(entries)
+        return pa.table({
+            "fold_key": pa.array([key] * len(entry), pa.string()), "slice": pa.array([here] * len(entry), pa.int64()),
+            "entry": pa.array(entry, pa.string()), "leave": pa.array(leave, pa.string()),
+        })
+
+    sliced = materialize(sliced)
+    trans = materialize(sliced.groupBy("fold_key", "slice").applyInArrow(transitions, sliced_schema))
     reachable = trans.select(
         "fold_key", (F.col("slice") + 1).alias("slice"), F.col("leave").alias("entry")
     ).distinct()
@@ -298,32 +325,37 @@ def retained_fold(
         trans.where(F.col("entry") != _NONE).join(reachable, ["fold_key", "slice", "entry"], "left_semi")
     )
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = {(s, e): o for s, e, o in zip(pdf["slice"], pdf["entry"], pdf["leave"])}
-        state, last, rows = _NONE, None, []
-        for s in sorted(set(pdf["slice"])):
-            entry = state if last == s - 1 and (s, state) in table else _NONE
-            rows.append((pdf["fold_key"].iloc[0], s, entry))
-            state, last = table[(s, entry)], s
-        return pd.DataFrame(rows, columns=["fold_key", "slice", "entry"])
-
-    entries = live.groupBy("fold_key").applyInPandas(chain, "fold_key string, slice long, entry string")
-
-    def drops(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, _, n_halo, t, v, ids = prepare(pdf)
-        entry = pdf["entry"].iloc[0]
+    def chain(table: pa.Table) -> pa.Table:
+        d = table.to_pydict()
+        follow = {(s, e): o for s, e, o in zip(d["slice"], d["entry"], d["leave"])}
+        slices = sorted(set(d["slice"]))
+        state, last, entries = _NONE, None, []
+        for s in slices:
+            entry = state if last == s - 1 and (s, state) in follow else _NONE
+            entries.append(entry)
+            state, last = follow[(s, entry)], s
+        return pa.table({
+            "fold_key": pa.array([d["fold_key"][0]] * len(slices), pa.string()),
+            "slice": pa.array(slices, pa.int64()), "entry": pa.array(entries, pa.string()),
+        })
+
+    entries = live.groupBy("fold_key").applyInArrow(chain, "fold_key string, slice long, entry string")
+
+    def drops(table: pa.Table) -> pa.Table:
+        key, _, n_halo, t, v, ids, d = prepare(table)
+        entry = d["entry"][0]
         state = ids.index(entry) if entry in ids[:n_halo] else None
         out = []
         for i in range(n_halo, len(t)):
             state, gone = _advance(t, v, gap_us, inclusive, state, i, swap)
             if gone is not None:
                 out.append(ids[gone])
-        return pd.DataFrame({"fold_key": [pdf["fold_key"].iloc[0]] * len(out), "fold_id": out})
+        return pa.table({"fold_key": pa.array([key] * len(out), pa.string()), "fold_id": pa.array(out, pa.string())})
 
     return (
         sliced.join(entries, ["fold_key", "slice"])
         .groupBy("fold_key", "slice")
-        .applyInPandas(drops, "fold_key string, fold_id string")
+        .applyInArrow(drops, "fold_key string, fold_id string")
     )
 
 
