@@ -368,33 +368,41 @@ def drop_repeats(df, keys, order, ts, gap_us, inclusive=False, value=None, slice
 
 # --- exact order statistics -------------------------------------------------------------
 
-def ordered_counts(df: DataFrame, keys: Sequence[str], value: str, buckets: int = 64) -> DataFrame:
+def ordered_counts(
+    df: DataFrame, keys: Sequence[str], value: str, buckets: int = 64, weights: dict[str, Column] | None = None
+) -> DataFrame:
     """Distinct values with their exact rank range [below, below+n) and the total per key.
 
     Equal values collapse before the ranking, and values are ranked inside cells cut at
     approximate quantiles, so neither a heavy tie nor one large key lands in one task.
+    Each weight adds its sum at the value (``w``) and over the smaller values (``w_below``).
     """
-    keys = list(keys)
-    src = df.where(F.col(value).isNotNull())
+    keys, weights = list(keys), weights or {}
+    src = df.where(F.col(value).isNotNull()).withColumns({f"_w_{w}": e for w, e in weights.items()})
     if not keys:
         src = src.withColumn("_all", F.lit(0))
     ks = keys or ["_all"]
-    vc = src.groupBy(*ks, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    sums = ["n", *weights]
+    vc = src.groupBy(*ks, F.col(value).alias("v")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(f"_w_{w}").alias(w) for w in weights]
+    )
     ps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     cuts = vc.groupBy(*ks).agg(F.percentile_approx("v", ps, F.lit(10000)).alias("cuts"))
-    x = vc.join(cuts if keys else F.broadcast(cuts), ks)
+    x = vc.join(cuts if keys else F.broadcast(cuts), ks)  # without keys: one row
     x = x.withColumn("_b", F.size(F.filter("cuts", lambda c: c < F.col("v")))).drop("cuts")
     inner = Window.partitionBy(*ks, "_b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    tot = x.groupBy(*ks, "_b").agg(F.sum("n").alias("bn"))
+    tot = x.groupBy(*ks, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     outer = Window.partitionBy(*ks)
+    before = outer.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.select(
-        *ks, "_b",
-        F.coalesce(F.sum("bn").over(outer.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"),
-        F.sum("bn").over(outer).alias("total"),
+        *ks, "_b", F.sum("_t_n").over(outer).alias("total"),
+        *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_base_{c}") for c in sums],
     )
-    out = x.withColumn("_cum", F.sum("n").over(inner)).join(tot, [*ks, "_b"])
+    out = x.withColumns({f"_cum_{c}": F.sum(c).over(inner) for c in sums}).join(tot, [*ks, "_b"])
+    below = lambda c: F.col(f"_base_{c}") + F.col(f"_cum_{c}") - F.col(c)
     return out.select(
-        *keys, "v", "n", (F.col("base") + F.col("_cum") - F.col("n")).alias("below"), "total"
+        *keys, "v", "n", below("n").alias("below"), "total",
+        *[y for w in weights for y in (F.col(w), below(w).alias(f"{w}_below"))],
     )
 
 
