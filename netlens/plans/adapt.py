@@ -114,6 +114,16 @@ TABLES: dict[str, tuple[str, list[str]]] = {
         "cast(case when reply then port else 40000 end as int) as src_port", "cast(case when reply then 40000 else port end as int) as dst_port",
         "cast(case event_type when 'signup' then 18 when 'error' then 4 else 2 end as int) as tcp_flags", "seq as tcp_seq", "cast(60 as int) as ip_length",
     ]),
+    # Dataset rows: one per event, user = episode, twenty campaigns, six features.
+    "ds": ("ev", [
+        "event_id as row_id", "user_id", _client("user_id") + " as entity_ip", "'c' || lpad(cast(user_id % 20 as string), 2, '0') as campaign_id",
+        "'e' || cast(user_id as string) as episode_id", "ts_us", "((ts_us + 21599999999) {div} 21600000000) * 21600000000 as window_us",
+        "case user_id % 5 when 3 then 'validation' when 4 then 'test' else 'train' end as partition",
+        "case when event_type = 'error' then 'anomaly' else 'normal' end as label", "event_type", "k",
+        "k % 10 / 10.0e0 as x1", "cast(k % 4 as double) as x2", "cast(case when event_id % 11 = 0 then 0 else k % 7 end as double) as x3",
+        "cast(case when k % 17 = 0 then null else k % 3 end as double) as x4", "1.0e0 as x5",
+        "(event_id * 7919 % 1000) / 1000.0e0 as x6", "event_id % 13 > 0 as eligible",
+    ]),
     # Decisions of a detector: one per event, with the rules that fired beside the model.
     "dec": ("ev", [
         "'d' || cast(event_id as string) as decision_id", "event_id as arrival", _client("user_id") + " as entity_ip", "user_id",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netlens.plans import q_actions, q_episodes, q_features, q_prep, q_rules, q_scan  # noqa: F401
+from netlens.plans import q_actions, q_dataset, q_episodes, q_features, q_learn, q_prep, q_rules, q_scan  # noqa: F401
 from netlens.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

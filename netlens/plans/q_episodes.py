@@ -163,7 +163,7 @@ SELECT kind, family, CAST(count(*) AS BIGINT) AS runs, CAST(sum(windows_total) A
 # --- traffic ----------------------------------------------------------------------------------------------
 
 def e10(s, d):
-    e = table(s, d, "packets").where("tcp_flags = 2 and arrival % 4 = 0").select(
+    e = table(s, d, "packets").where("tcp_flags = 2").select(
         "src_ip", F.col("arrival").alias("episode_id"), F.concat(F.lit("s"), (F.col("arrival") % 3).cast("string")).alias("scenario"), "dst_ip",
         F.col("ts_us").alias("t0_us"), (F.col("ts_us") + F.lit(D)).alias("t1_us"))
     f = s.createDataFrame([("s0", 6, None, True), ("s1", 6, 80, False)], "scenario string, f_protocol int, f_port int, f_syn boolean")
@@ -171,7 +171,7 @@ def e10(s, d):
 
 
 add("E10_observed_traffic", e10, sql("packets", f"""
-WITH e0 AS (SELECT src_ip, arrival AS episode_id, 's'||(arrival%3) AS scenario, dst_ip, ts_us AS t0, ts_us+{D} AS t1 FROM packets WHERE tcp_flags=2 AND arrival%4=0),
+WITH e0 AS (SELECT src_ip, arrival AS episode_id, 's'||(arrival%3) AS scenario, dst_ip, ts_us AS t0, ts_us+{D} AS t1 FROM packets WHERE tcp_flags=2),
 e AS (SELECT *, t0-{2 * H} AS a, least(t1+{D}, lead(t0-{2 * H}) OVER w) AS b, lag(t1+{D}) OVER w AS pb FROM e0 WINDOW w AS (PARTITION BY src_ip ORDER BY t0, episode_id)),
 x AS (SELECT e.episode_id, p.ts_us, p.dst_port, coalesce(CASE e.scenario WHEN 's0' THEN p.dst_ip=e.dst_ip AND protocol=6 AND (tcp_flags&18)=2 WHEN 's1' THEN p.dst_ip=e.dst_ip AND protocol=6 AND dst_port=80 END, false) AS m, e.scenario='s0' AS so
   FROM e JOIN packets p ON p.src_ip=e.src_ip AND p.ts_us <= b AND (p.ts_us > a OR (p.ts_us = a AND (pb IS NULL OR pb < a)))),
@@ -354,13 +354,13 @@ add("E22_control_failures", e22, sql("few ev", f"""SELECT episode_id, CAST(count
 
 def e23(s, d):
     j = judged(s, d).withColumns({"next_us": F.when(F.col("episode_id") % 3 > 0, F.col("t1_us") + F.lit(D)), "until_us": F.col("applied_us") + F.lit(D), "retired_us": F.when(F.col("episode_id") % 2 == 0, F.col("t1_us") + F.lit(6 * H))})
-    r = table(s, d, "app").where("arrival % 4 = 0").select(F.col("ts_us").alias("t_us"), F.array("entity_ip", F.lit("10.10.1.9"), F.lit("10.10.1.30")).alias("members"))
+    r = table(s, d, "app").select(F.col("ts_us").alias("t_us"), F.array("entity_ip", F.lit("10.10.1.9"), F.lit("10.10.1.30")).alias("members"))
     return E.retired(j, r, D)
 
 
 add("E23_retired", e23, sql("e2 app", f"""
 WITH j AS (SELECT *, coalesce(CASE WHEN episode_id%3>0 THEN t1_us+{D} END, t1_us+{D}) AS hi FROM e2),
-l AS (SELECT j.episode_id, arg_max(r.entity_ip=j.entity_ip OR j.entity_ip IN ('10.10.1.9','10.10.1.30'), r.ts_us) AS still FROM j JOIN app r ON r.arrival%4=0 AND r.ts_us BETWEEN t1_us AND hi GROUP BY 1)
+l AS (SELECT j.episode_id, arg_max(r.entity_ip=j.entity_ip OR j.entity_ip IN ('10.10.1.9','10.10.1.30'), r.ts_us) AS still FROM j JOIN app r ON r.ts_us BETWEEN t1_us AND hi GROUP BY 1)
 SELECT episode_id, CASE WHEN expected IS NULL THEN 'no_aplica' WHEN e2='fallo_experimento' THEN e2 WHEN e2='fallo' AND applied_us IS NULL THEN 'no_aplica' WHEN still IS NULL THEN 'indeterminado' WHEN still THEN 'fallo' ELSE 'cumple' END AS e5,
  CASE WHEN still IS NOT NULL THEN (CASE WHEN episode_id%2=0 AND (applied_us IS NULL OR t1_us+{6 * H} < applied_us+{D}) THEN 'retirada_explicita' ELSE 'caducidad_natural' END) END AS way FROM j LEFT JOIN l USING (episode_id)"""))
 

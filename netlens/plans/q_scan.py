@@ -107,14 +107,14 @@ SELECT src_ip, dst_ip, w AS window_us, g AS grace_us, CAST(max(n) AS INT) AS max
 
 
 def scan_episodes(s, d):
-    """Each reset opens an episode of two days against its target."""
-    return table(s, d, "tcp").where("tcp_flags = 4 and arrival % 20 = 0").select(
-        F.col("src_ip").alias("dst_ip"), F.col("arrival").alias("episode_id"), F.col("ts_us").alias("t0_us"), (F.col("ts_us") + F.lit(2 * D)).alias("t1_us"))
+    """Each reset opens an episode of a day against its target."""
+    return table(s, d, "tcp").where("tcp_flags = 4").select(
+        F.col("src_ip").alias("dst_ip"), F.col("arrival").alias("episode_id"), F.col("ts_us").alias("t0_us"), (F.col("ts_us") + F.lit(D)).alias("t1_us"))
 
 
 add("N08_scan_anatomy", lambda s, d: N.scan_anatomy(attempts(s, d), table(s, d, "packets").unionByName(table(s, d, "tcp"), allowMissingColumns=True), scan_episodes(s, d), 4, 12 * H, D),
     sql("att tcp packets", f"""
-WITH e AS (SELECT src_ip AS dst_ip, arrival AS episode_id, ts_us AS t0, ts_us+{2 * D} AS t1 FROM tcp WHERE tcp_flags=4 AND arrival%20=0),
+WITH e AS (SELECT src_ip AS dst_ip, arrival AS episode_id, ts_us AS t0, ts_us+{D} AS t1 FROM tcp WHERE tcp_flags=4),
 i AS (SELECT att.*, e.episode_id, t0 FROM att JOIN e ON att.dst_ip=e.dst_ip AND syn_us BETWEEN t0 AND t1),
 src AS (SELECT episode_id, arg_max(src_ip, (n, src_ip)) AS src_ip FROM (SELECT episode_id, src_ip, count(*) AS n FROM i GROUP BY 1, 2) GROUP BY 1),
 m AS (SELECT i.* FROM i JOIN src USING (episode_id, src_ip)),
