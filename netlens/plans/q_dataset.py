@@ -141,13 +141,13 @@ add("B17_episode_weights", lambda s, d: r6(B.episode_weights(ds(s, d)).select("r
 
 
 def b18(s, d):
-    """Orders are episodes of one to seven lines."""
-    x = table(s, d, "lineitem").select(F.col("l_orderkey").alias("episode_id"), "l_linenumber")
-    return B.balance_lcm(x).groupBy("episode_id").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("l_linenumber").alias("lines"))
+    """Conversations are episodes of a few turns."""
+    x = table(s, d, "conversations").select(F.col("conv_id").alias("episode_id"), "turn")
+    return B.balance_lcm(x).groupBy("episode_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("copy") == 1).alias("turns"))
 
 
-add("B18_balance_lcm", b18, """WITH n AS (SELECT l_orderkey AS e, count(*) AS n, count(DISTINCT l_linenumber) AS l FROM lineitem GROUP BY 1)
-SELECT e AS episode_id, CAST((SELECT list_reduce(list(DISTINCT n), lambda a, b: lcm(a, b)) FROM n) AS BIGINT) AS rows, CAST(l AS BIGINT) AS lines FROM n""")
+add("B18_balance_lcm", b18, """WITH n AS (SELECT conv_id AS e, count(*) AS n FROM conversations GROUP BY 1)
+SELECT e AS episode_id, CAST((SELECT list_reduce(list(DISTINCT n), lambda a, b: lcm(a, b)) FROM n) AS BIGINT) AS rows, CAST(n AS BIGINT) AS turns FROM n""")
 CUTS = [100.0, 400.0]
 add("B19_duration_distribution", lambda s, d: B.duration_distribution(ds(s, d).withColumn("dur", F.when(F.col("k") < 8, F.lit(0.0)).otherwise(F.col("row_id") % 997 * 1.0)), "dur", CUTS), sql("ds", """
 WITH x AS (SELECT 'all' AS population, CASE WHEN k<8 THEN 0 ELSE CAST(row_id%997 AS DOUBLE) END AS v FROM ds UNION ALL SELECT 'train', CASE WHEN k<8 THEN 0 ELSE CAST(row_id%997 AS DOUBLE) END FROM ds WHERE partition='train'),
