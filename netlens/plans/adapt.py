@@ -114,6 +114,14 @@ TABLES: dict[str, tuple[str, list[str]]] = {
         "cast(case when reply then port else 40000 end as int) as src_port", "cast(case when reply then 40000 else port end as int) as dst_port",
         "cast(case event_type when 'signup' then 18 when 'error' then 4 else 2 end as int) as tcp_flags", "seq as tcp_seq", "cast(60 as int) as ip_length",
     ]),
+    # Cumulative counters of three sensors whose process restarts every five days.
+    "cs": ("ev", [
+        "'c' || cast(user_id % 3 as string) as component", "event_id as sample_id", "ts_us", "k", "event_type", "value", "user_id",
+        "ts_us {div} 432000000000 as pid",
+        "cast((ts_us % 432000000000) {div} 1000000 - (case when event_id % 311 = 0 then 9000 else 0 end) as bigint) as uptime_s",
+        "cast(case when event_id % 251 = 0 then null else (ts_us % 432000000000) {div} 1000000 - (case when event_id % 397 = 0 then 100000 else 0 end) + 200000 end as bigint) as packets",
+        "cast(case when event_id % 251 = 0 then null else (ts_us % 432000000000) {div} 129600000000 end as bigint) as drops",
+    ]),
     # Dataset rows: one per event, user = episode, twenty campaigns, six features.
     "ds": ("ev", [
         "event_id as row_id", "user_id", _client("user_id") + " as entity_ip", "'c' || lpad(cast(user_id % 20 as string), 2, '0') as campaign_id",

@@ -80,9 +80,9 @@ def coarse(s, d):
 
 view("csc", "sc", "SELECT * EXCLUDE (score), -floor(k/CAST(7 AS DOUBLE))/10 AS score FROM sc")
 add("M08_lower_tail", lambda s, d: M.lower_tail(coarse(s, d), ["partition"], "score", "episode_id", 0.05, "row_id"), sql("csc", """
-WITH r AS (SELECT *, row_number() OVER (PARTITION BY partition ORDER BY score, row_id)-1 AS i, CAST(floor(CAST(0.05 AS DOUBLE)*count(*) OVER (PARTITION BY partition)) AS BIGINT) AS k, count(*) OVER (PARTITION BY partition) AS n FROM csc), t AS (SELECT partition, score AS t FROM r WHERE i=k)
-SELECT partition, any_value(t) AS threshold, CAST(count(*) FILTER (WHERE score<t) AS BIGINT) AS strict_alerts, CAST(count(*) FILTER (WHERE score=t) AS BIGINT) AS ties, any_value(k) AS k, any_value(n) AS windows,
- CAST(count(DISTINCT episode_id) FILTER (WHERE score<t) AS BIGINT) AS alert_episodes, CAST(count(DISTINCT episode_id) FILTER (WHERE i<k) AS BIGINT) AS prefix_episodes FROM r JOIN t USING (partition) GROUP BY 1"""))
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY partition ORDER BY score, row_id)-1 AS i, CAST(floor(CAST(0.05 AS DOUBLE)*count(*) OVER (PARTITION BY partition)) AS BIGINT) AS kk, count(*) OVER (PARTITION BY partition) AS n FROM csc), t AS (SELECT partition, score AS t FROM r WHERE i=kk)
+SELECT partition, any_value(t) AS threshold, CAST(count(*) FILTER (WHERE score<t) AS BIGINT) AS strict_alerts, CAST(count(*) FILTER (WHERE score=t) AS BIGINT) AS ties, any_value(kk) AS k, any_value(n) AS windows,
+ CAST(count(DISTINCT episode_id) FILTER (WHERE score<t) AS BIGINT) AS alert_episodes, CAST(count(DISTINCT episode_id) FILTER (WHERE i<kk) AS BIGINT) AS prefix_episodes FROM r JOIN t USING (partition) GROUP BY 1"""))
 AL = [0.05, 0.03, 0.01]
 add("M09_alpha_table", lambda s, d: r6(M.alpha_table(scores(s, d), AL)), sql("sc", " UNION ALL ".join(f"""SELECT CAST({a} AS DOUBLE) AS alpha, round(any_value(t),6) AS threshold, CAST(count(*) FILTER (WHERE score<t AND label<>'anomaly') AS BIGINT) AS false_alerts, CAST(count(*) FILTER (WHERE label<>'anomaly') AS BIGINT) AS normal,
  CAST(count(*) FILTER (WHERE score<t AND label='anomaly') AS BIGINT) AS detected, CAST(count(*) FILTER (WHERE label='anomaly') AS BIGINT) AS anomalies FROM (SELECT *, (SELECT quantile_cont(score,{a}) FROM sc WHERE partition='validation') AS t FROM sc WHERE partition='test')""" for a in AL)))
