@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from netlens.functions.columns import ceil_bucket, idiv
 
@@ -22,6 +22,15 @@ MINUTE = 60 * SECOND
 
 # --- lineage ----------------------------------------------------------------------
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder under the shared one of the session."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = tempfile.mkdtemp(prefix="netlens-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/netlens-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write an intermediate once and read it back, where several branches need it.
 
@@ -29,14 +38,9 @@ def materialize(df: DataFrame) -> DataFrame:
     lost executor never costs the work before it. Only sessions without that setting (tests)
     get a temporary folder of their own.
     """
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="netlens-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/netlens-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 # --- hopping windows -------------------------------------------------------------

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from netlens.functions.columns import idiv, tri_and
-from netlens.operators.core import SECOND, asof, following, point_in_interval, previous, quantiles, runs, scan
+from netlens.operators.core import SECOND, asof, following, materialize, point_in_interval, previous, quantiles, scan
 
 MEASURED = ("cero_explicito", "descartes")
 K_CRITERIA = ("K1", "K2", "K3", "K4a", "K5")
@@ -284,15 +284,18 @@ def saturation_episodes(pairs: DataFrame, t0_us: int, t1_us: int, min_us: int, c
     keys = ["component", "resource"]
     c = F.col
     p = pairs.where("saturated is not null").withColumns({"lo": F.greatest("x_us", F.lit(t0_us)), "hi": F.least("ts_us", F.lit(t1_us))}).where("hi > lo")
-    p = p.select(*keys, "lo", "hi", F.when(c("saturated"), "S").otherwise("N").alias("state"))
+    p = materialize(p.select(*keys, "lo", "hi", F.when(c("saturated"), "S").otherwise("N").alias("state")))
     nxt = following(p, keys, ["lo", "hi"], {"lo": "next_lo"}, "lo", slice_us)
     holes = nxt.where(c("next_lo") > c("hi")).select(*keys, c("hi").alias("lo"), c("next_lo").alias("hi"), F.lit("U").alias("state"))
     ends = p.groupBy(*keys).agg(F.min("lo").alias("a"), F.max("hi").alias("b"))
     head = ends.where(c("a") > t0_us).select(*keys, F.lit(t0_us).alias("lo"), c("a").alias("hi"), F.lit("U").alias("state"))
     tail = ends.where(c("b") < t1_us).select(*keys, c("b").alias("lo"), F.lit(t1_us).alias("hi"), F.lit("U").alias("state"))
-    tl = p.unionByName(holes).unionByName(head).unionByName(tail).withColumns({"calm": c("state") == "N", "len": c("hi") - c("lo")})
-    r1 = runs(tl, keys, ["lo", "hi"], "calm", "lo", slice_us, "stretch")
-    r2 = runs(r1, keys, ["lo", "hi"], "state", "lo", slice_us, "sub")
+    tl = p.unionByName(holes).unionByName(head).unionByName(tail).withColumns({"calm": c("state") == "N", "len": c("hi") - c("lo"), "_one": F.lit(1)})
+    tl = materialize(tl)
+    x = previous(tl, keys, ["lo", "hi"], {"state": "ps", "calm": "pc", "_one": "had"}, "lo", slice_us)
+    turn = lambda now, before: F.when(c("had").isNull() | (c(now) != c(before)), 1).otherwise(0)
+    x = x.withColumns({"_t1": turn("calm", "pc"), "_t2": turn("state", "ps")})
+    r2 = materialize(scan(x, keys, ["lo", "hi"], "lo", slice_us, {"stretch": ("sum", c("_t1"), True), "sub": ("sum", c("_t2"), True)}))
     proved = r2.where("state = 'S'").groupBy(*keys, "stretch", "sub").agg(F.sum("len").alias("d")).where(c("d") >= min_us)
     per = proved.groupBy(*keys, "stretch").agg(F.count(F.lit(1)).alias("proved"))
     st = r2.where("not calm").groupBy(*keys, "stretch").agg(F.sum("len").alias("possible"), F.sum(F.when(c("state") == "U", c("len")).otherwise(0)).alias("unknown"))

@@ -256,7 +256,7 @@ def q15(s, d):
 add("Q15_slot_coverage", q15, sql("app", f"""
 WITH t AS (SELECT min(ts_us)+{D} AS t0, max(ts_us)-{2 * D} AS t1 FROM app), n AS (SELECT greatest(1,(t1-t0)//{12 * H}) AS n, t0, t1 FROM t), p AS (SELECT DISTINCT entity_ip FROM app WHERE kind='tls'), e AS (SELECT entity_ip, unnest(range(0, n)) AS slot FROM p, n),
 s AS (SELECT DISTINCT entity_ip, least((ts_us-t0)//{12 * H}, n-1) AS slot FROM app, n WHERE ts_us>=t0 AND ts_us<t1) SELECT entity_ip, CAST(slot AS BIGINT) AS slot, 'p'||entity_ip AS profile FROM e WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.entity_ip=e.entity_ip AND s.slot=e.slot)"""))
-BIN = 2 * H
+BIN = H // 2
 
 
 def q16(s, d):
@@ -307,7 +307,7 @@ SELECT i AS case_id, 'K1' AS criterion, 'compare' AS source, CASE WHEN i%4>0 AND
 def q19(s, d):
     n = F.col("sample_id")
     x = cs(s, d).select(
-        "component", "sample_id", "ts_us", F.when(n % 400 == 0, F.lit(None)).otherwise(n % 450 > 0).alias("active"), "pid", ((F.col("k") % 90) * 60_000_000).cast("long").alias("ring_jump_us"), F.floor(n / 500).alias("failures"), F.col("drops").alias("kernel_drops"),
+        "component", "sample_id", "ts_us", F.when(n % 400 == 0, F.lit(None)).otherwise(n % 450 > 0).alias("active"), "pid", ((F.col("k") % 90).cast("long") * 60_000_000).alias("ring_jump_us"), F.floor(n / 500).alias("failures"), F.col("drops").alias("kernel_drops"),
         (F.col("ts_us") - F.col("k").cast("long") * 60_000_000).alias("reading_us"), (F.col("k") / 100.0).alias("offset_s"), F.lit(0).alias("applied"), ((n > 9000) & (n % 600 == 0)).cast("int").alias("off_list"), F.lit(0.1).alias("bad_share"))
     c = Q.watch_conditions(x, 88 * 60_000_000, 97 * 60_000_000, 0.985, D)
     return c.select("sample_id", "pauses", "cancels", "state").join(Q.watch_decisions(c, 6 * H, D).select("sample_id", "decision"), "sample_id")
