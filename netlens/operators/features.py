@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from netlens.functions.columns import TCP, ceil_bucket, clamped_ratio, flow_key, in_scope, safe_ratio
-from netlens.operators.core import SECOND, dense_grid, hop
+from netlens.operators.core import SECOND, dense_grid, hop, materialize
 from netlens.operators.prep import ORDER, flow_owner, in_native_vlan, mac_transitions, native_vlan, packet_flags
 
 # Feature names in contract order, with the measures they need.
@@ -43,6 +43,10 @@ CONTRACT_V2 = (
     "http_auth_failure_ratio_60s", "dns_query_rate_60s", "unique_dns_name_ratio_60s",
     "tls_handshake_failure_ratio_60s", "tls_version_ratio_60s", "http_status_5xx_ratio_60s",
 )
+OBS_COLUMNS = (
+    "ts_us", "entity_ip", "peer_ip", "target_port", "protocol", "ip_length", "ttl", "fragmented", "tcp_payload_length",
+    "flow_attempt", "flow_duration_us", "outbound", "syn", "syn_ack", "rst", "retransmission", "bucket",
+)
 CONTRACT_V1 = CONTRACT_V2[:14]
 CONTRACT_V3 = CONTRACT_V2 + L2_FEATURES
 COUNTS = PACKET_COUNTS + APP_COUNTS
@@ -223,8 +227,12 @@ def features(
         return any(c in g for c in wanted for g in groups)
 
     dist = need(PACKET_DISTINCT)
+    packet_parts = need(PACKET_FEATURES, PACKET_COUNTS) or dist
+    if packet_parts:
+        # Attribution costs two shuffles; its narrow result is written once for all readers.
+        obs = materialize(obs.select(*[c for c in OBS_COLUMNS if c in obs.columns]))
     parts: list[DataFrame] = []
-    if need(PACKET_FEATURES, PACKET_COUNTS) or dist:
+    if packet_parts:
         parts.append(_packet_part(obs))
     if dist:
         parts.append(_packet_distinct_part(obs))
