@@ -76,8 +76,11 @@ def point_in_interval(
     """Join points with the intervals that hold them, as an equi-join on time cells.
 
     Intervals are listed once per cell they touch, points have exactly one cell, so a
-    pair meets at most once and no nested loop is planned.
+    pair meets at most once and no nested loop is planned. Where only membership counts,
+    overlapping intervals are merged first, so a point meets at most one of them.
     """
+    if how in ("left_semi", "left_anti"):
+        intervals = merged_intervals(intervals, keys, lo, hi, 64 * width_us)
     p = points.withColumn("_cell", idiv(F.col(point), width_us))
     r = intervals.where(F.col(lo) <= F.col(hi)).withColumn(
         "_cell", F.explode(F.sequence(idiv(F.col(lo), width_us), idiv(F.col(hi), width_us)))
@@ -97,6 +100,16 @@ def point_in_interval(
     return joined.select(*[F.col(f"l.{c}") for c in points.columns], *extra)
 
 
+def merged_intervals(intervals: DataFrame, keys: Sequence[str], lo: str, hi: str, slice_us: int) -> DataFrame:
+    """Disjoint intervals that cover the same instants per key."""
+    ks = list(keys) or ["_k"]
+    x = intervals.where(F.col(lo) <= F.col(hi)).withColumn("_k", F.lit(0)).select(*ks, lo, hi).distinct()
+    x = scan(materialize(x), ks, [lo, hi], lo, slice_us, {"_reach": ("max", F.col(hi), False)})
+    x = x.withColumn("_new", F.when(F.col("_reach").isNull() | (F.col(lo) > F.col("_reach")), 1).otherwise(0))
+    x = scan(x, ks, [lo, hi], lo, slice_us, {"_part": ("sum", F.col("_new"), True)})
+    return x.groupBy(*ks, "_part").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).select(*keys, lo, hi)
+
+
 # --- ordered scans ------------------------------------------------------------------
 
 def near_previous(

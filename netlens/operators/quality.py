@@ -74,7 +74,7 @@ def measure_drops(samples: DataFrame, periods: DataFrame, now_us: int, edge_us:
         (F.max_by("packets", "ts_us") - F.min_by("packets", "ts_us")).alias("dp"), (F.max_by("drops", "ts_us") - F.min_by("drops", "ts_us")).alias("dd"),
     )
     last = samples.groupBy("component").agg(F.max("ts_us").alias("last_us"))
-    y = p.join(agg, "period_id", "left").join(F.broadcast(last), "component", "left")  # one row per component
+    y = p.join(agg, "period_id", "left").join(last, "component", "left")
     state = (
         F.when(c("last_us").isNull(), "ausente")
         .when(c("b_us").isNull() & (c("last_us") < c("t1_us")) & (F.lit(now_us) - c("last_us") > gap_us), "desactualizada")
@@ -180,7 +180,7 @@ def file_chain(files: DataFrame, t0_us: int, t1_us: int, jump_us: int, retention
     c = F.col
     one = files.groupBy("component", "file").agg(F.min("start_us").alias("start_us"), F.min("records").alias("records"), F.min("error").alias("error"), F.min("read_us").alias("read_us"), F.count_distinct(F.coalesce("records", F.lit(-1)), F.coalesce("error", F.lit(""))).alias("versions"))
     w = one.groupBy("component").agg(F.max(F.when(c("start_us") <= t0_us, c("start_us"))).alias("lo_us"), F.min(F.when(c("start_us") >= t1_us, c("start_us"))).alias("hi_us"))
-    chain = one.join(F.broadcast(w), "component").where((c("start_us") >= F.coalesce("lo_us", F.lit(t0_us))) & (c("start_us") <= F.coalesce("hi_us", F.lit(2**62))))
+    chain = one.join(w, "component").where((c("start_us") >= F.coalesce("lo_us", F.lit(t0_us))) & (c("start_us") <= F.coalesce("hi_us", F.lit(2**62))))
     chain = following(chain, ["component"], ["start_us", "file"], {"start_us": "next_us"}, "start_us", slice_us)
     inside = c("start_us") < t1_us
     fmt = c("error").isNotNull() & ~c("error").startswith("read")
@@ -325,7 +325,7 @@ def counter_rise(samples: DataFrame, counter: str, t0_us: int, t1_us: int, edge_
     s = samples.where(c(counter).isNotNull())
     near = lambda t: F.min_by(c("ts_us"), F.when(F.abs(c("ts_us") - t) <= edge_us, F.struct(F.abs(c("ts_us") - t), c("ts_us"))))
     e = s.groupBy("component").agg(near(t0_us).alias("a"), near(t1_us).alias("b"))
-    x = previous(s, ["component"], ["ts_us", "sample_id"], {counter: "v0", "ts_us": "x_us"}, "ts_us", slice_us).join(F.broadcast(e), "component")
+    x = previous(s, ["component"], ["ts_us", "sample_id"], {counter: "v0", "ts_us": "x_us"}, "ts_us", slice_us).join(e, "component")
     x = x.where(c("ts_us").between(c("a"), c("b")))
     agg = x.groupBy("component").agg(_yes((c("x_us") >= c("a")) & (c(counter) < c("v0"))).alias("falls"), (F.max_by(counter, F.struct("ts_us", "sample_id")) - F.min_by(counter, F.struct("ts_us", "sample_id"))).alias("rise"))
     return e.join(agg, "component", "left").select("component", F.when(c("falls") == 0, c("rise")).alias("rise"))
@@ -373,7 +373,7 @@ def burst_episodes(starts: DataFrame, t0_us: int, t1_us: int, bin_us: int, width
     o = Window.orderBy("bin")
     hot = hot.withColumn("_new", F.when(F.col("bin") - F.lag("bin").over(o) <= width - 1, 0).otherwise(1)).withColumn("ep", F.sum("_new").over(o))
     spans = hot.groupBy("ep").agg(F.min("bin").alias("a"), (F.max("bin") + width - 1).alias("z"), F.max("s").alias("max_sum"))
-    y = grid.join(F.broadcast(spans), (F.col("bin") >= F.col("a")) & (F.col("bin") <= F.col("z")))  # bins x few episodes
+    y = spans.withColumn("bin", F.explode(F.sequence("a", "z"))).join(grid, "bin")
     return y.groupBy("ep", "a", "z", "max_sum").agg(F.sum("c").alias("flows"))
 
 

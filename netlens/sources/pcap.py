@@ -197,5 +197,5 @@ def slice_dns(packets: DataFrame, resolver: str, t0_us: int, t1_us: int, gap_us:
 def closed_files(files: DataFrame, start: str = "start_us", max_age_us: int | None = None, now_us: int | None = None) -> DataFrame:
     """All files but the newest of each directory; optionally none older than the age limit."""
     newest = files.groupBy("directory").agg(F.max(start).alias("_newest"))
-    x = files.join(F.broadcast(newest), "directory").where(F.col(start) < F.col("_newest")).drop("_newest")  # one row per directory
+    x = files.join(newest, "directory").where(F.col(start) < F.col("_newest")).drop("_newest")
     return x if max_age_us is None else x.where(F.lit(now_us) - F.col(start) <= max_age_us)
