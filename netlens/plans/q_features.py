@@ -212,4 +212,9 @@ def flagship(s, d) -> DataFrame:
     return top.orderBy(F.col("odd_windows").desc(), "entity_ip").limit(20)
 
 
-add("flagship_top_entities", flagship)
+add("flagship_top_entities", flagship, sql("g3 g6", f"""
+WITH p AS (SELECT entity_ip, a, {N1} / {SEC}.0 AS pr FROM g3 GROUP BY 1, 2),
+q AS (SELECT entity_ip, a, {Q} AS q, least(1, {ratio(c("kind='dns_nxdomain'"), Q)}) AS nx, least(1, {ratio("count(DISTINCT dns_name) FILTER (WHERE kind='dns_query' AND length(dns_name) > 0)", Q)}) AS un FROM g6 GROUP BY 1, 2),
+h AS (SELECT entity_ip, a, abs(-sum(m * log2(m))) AS e FROM (SELECT entity_ip, a, count(*) / CAST(sum(count(*)) OVER (PARTITION BY entity_ip, a) AS DOUBLE) AS m FROM g6 WHERE kind='http' GROUP BY entity_ip, a, method) GROUP BY 1, 2)
+SELECT entity_ip, CAST(count(*) AS BIGINT) AS windows, CAST(count(*) FILTER (WHERE q >= 2 AND (nx >= 0.5 OR un >= 0.8)) AS BIGINT) AS odd_windows, round(max(pr), 9) AS max_packet_rate, round(max(coalesce(e, 0)), 6) AS max_entropy
+FROM p JOIN q USING (entity_ip, a) LEFT JOIN h USING (entity_ip, a) GROUP BY 1 ORDER BY odd_windows DESC, entity_ip LIMIT 20"""))
