@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from netlens.functions.columns import wilson
 from netlens.operators import dataset as B, detect as M, experiments as EX, stats as X
 from netlens.plans import q_learn  # noqa: F401  (named subqueries)
-from netlens.plans.adapt import DAY_US as D, sql, table, view
+from netlens.plans.adapt import sql, table, view
 from netlens.plans.q_learn import scores
 from netlens.plans.registry import add, r6
 

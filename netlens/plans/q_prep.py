@@ -5,18 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from netlens.functions import columns as C
-from netlens.operators import prep
-from netlens.operators.core import point_in_interval
-from netlens.plans.adapt import DAY_US, SCOPE, sql, table, view
+from netlens.operators import exclusions as X, lineage, prep
+from netlens.operators.features import features
+from netlens.plans.adapt import DAY_US, SCOPE, STEP_US, sql, table, view
 from netlens.plans.registry import add, r6
 
 H = 3600 * 1_000_000
 
-
-def _t(name, fn):
-    return lambda spark, sf: fn(table(spark, sf, name))
-
-
 add("P01_scope_filter",
     lambda s, d: table(s, d, "packets").select("arrival", "src_ip", C.in_scope(F.col("src_ip"), SCOPE).alias("inside")),
     sql("packets", "SELECT arrival, src_ip, src_ip LIKE '10.10.%' AS inside FROM packets"))
@@ -109,9 +104,6 @@ add("P10_names",
       WHEN src_port = 443 THEN 'https' WHEN src_port = 80 THEN 'http' WHEN src_port = 53 THEN 'dns' WHEN src_port = 22 THEN 'ssh' ELSE 'other' END AS service FROM packets"""))
 
 # --- lineage ------------------------------------------------------------------------------
-from netlens.operators import lineage
-from netlens.operators.features import features
-from netlens.plans.adapt import STEP_US
 
 add("P11_notable", lambda s, d: lineage.notable(obs(s, d)).select("arrival", "entity_ip"),
     sql("obs", "SELECT arrival, entity_ip FROM obs WHERE flow_attempt OR syn OR syn_ack OR rst OR retransmission OR fragmented OR protocol=1"))
@@ -170,7 +162,6 @@ add("P15_unmatched",
 
 
 # --- exclusions -----------------------------------------------------------------------------
-from netlens.operators import exclusions as X
 
 
 def ranges(s, d):

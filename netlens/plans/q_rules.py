@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from netlens.functions.columns import ceil_bucket
-from netlens.operators import features as FT, prep, rules as R, views as V
+from netlens.operators import features as FT, rules as R, views as V
 from netlens.plans.adapt import DAY_US, STEP_US as S, sql, table, view
 from netlens.plans.q_prep import H, obs
 from netlens.plans.registry import add, r6

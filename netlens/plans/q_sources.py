@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from netlens.operators import prep
 from netlens.operators.core import scratch_path
 from netlens.operators.learn import content_digest
 from netlens.plans.adapt import DAY_US as D, SCOPE, STEP_US as S, sql, table, view

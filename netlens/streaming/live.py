@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from netlens.functions.columns import ceil_bucket
 from netlens.operators.actions import DECAY_S, MAX_EXPIRY_S, _climb
 from netlens.operators.core import SECOND, drop_repeats, materialize
 from netlens.operators.features import features_at_horizon
