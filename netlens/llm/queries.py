@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from netlens.llm import sql
+from netlens.llm.near_dedup import near_duplicates
 from netlens.llm.quality_rules import quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +31,8 @@ def query(name: str, oracle: str | None = None):
 @query("op2_quality_rules", sql.QUALITY_RULES)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query("op6_near_dedup", sql.NEAR_DEDUP)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), size=3, num=85, den=100)

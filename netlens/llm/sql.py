@@ -54,3 +54,22 @@ WITH d AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT beyond AS kept FROM v
 """
+
+NEAR_DEDUP = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM d
+), n AS (SELECT doc_id, len(s)::BIGINT AS n FROM s
+), item AS (SELECT doc_id, hash(unnest(s)) AS h FROM s
+), pair AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM item a JOIN item b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2
+), link AS (
+  SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)
+), two AS (SELECT a, b FROM link UNION SELECT b, a FROM link
+), reach(node, seen) AS (
+  SELECT doc_id, doc_id FROM n UNION SELECT two.a, reach.seen FROM reach JOIN two ON two.b = reach.node
+), comp AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN comp ON node = doc_id
+"""
