@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: A word: a run without blanks (space, tab to carriage return).
@@ -47,6 +50,39 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(f"({WORD})"), 1), F.array().cast("array<string>"))
 
 
+def in_groups(df: DataFrame, keys: Sequence[str], handle: Callable[[pa.Table], Sequence[Sequence]], schema: pa.Schema, ddl: str) -> DataFrame:
+    """``handle`` on the rows of each key, a table of whole-number keys with groups of bounded size.
+
+    It returns columns in the order of ``schema``. Groups come one after another in sorted partitions,
+    so that many small ones cost little.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def results(groups: list[pa.Table]) -> pa.RecordBatch:
+            cols: list[list] = [[] for _ in schema]
+            for g in groups:
+                for col, new in zip(cols, handle(g)):
+                    col.extend(new)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            k = np.stack([t.column(c).to_numpy() for c in keys])
+            ends = np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1
+            starts = np.append(0, ends)
+            rest = t.slice(int(starts[-1]))
+            yield results([t.slice(int(a), int(b - a)) for a, b in zip(starts, ends)])
+        if rest is not None:
+            yield results([rest])
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, ddl)
+
+
 # --- mergeable quantile sketch ------------------------------------------------------
 
 def cell_of(x: Column) -> Column:

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from netlens.llm import sql
+from netlens.llm.mixing import mix_sources
 from netlens.llm.near_dedup import near_duplicates
+from netlens.llm.packing import pack
 from netlens.llm.quality_rules import quality_rules
+from netlens.llm.secrets import secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +40,18 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_near_dedup", sql.NEAR_DEDUP)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, num=85, den=100)
+
+
+@query("op7_secret_scan")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
+@query("op5_mixing", sql.MIXING)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+@query("op3_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -73,3 +73,37 @@ WITH RECURSIVE d AS (
 ), comp AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY 1)
 SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN comp ON node = doc_id
 """
+
+MIXING = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    coalesce(0.1 + 0.9 * length(regexp_replace(text, '[^\p{L}\s]+', '', 'g'))::DOUBLE / nullif(length(text), 0), 0.1) AS w,
+    (('0x' || md5_number_prefix)::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
+  FROM (SELECT *, substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':11'), 1, 12) AS md5_number_prefix FROM documents)
+), k AS (
+  SELECT doc_id, source, size, least(floor((1 - pow(u, 1 / w)) * 1099511627776.0), 1099511627775)::BIGINT AS x FROM d
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM k GROUP BY source
+), r AS (
+  SELECT *, 2.0::DOUBLE * source_size AS stop, row_number() OVER (ORDER BY 2.0 * source_size / w, source NULLS LAST) AS i FROM s
+), c AS (
+  SELECT *, coalesce(sum(stop) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+    sum(w) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open, sum(source_size) OVER () AS total FROM r
+), lam AS (
+  SELECT first((1.5::DOUBLE * total - capped) / open ORDER BY i) AS rate FROM c WHERE w * ((1.5::DOUBLE * total - capped) / open) < stop
+), t AS (
+  SELECT source, source_size, least(stop, w * rate) AS target FROM r, lam
+), p AS (
+  SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0)::BIGINT AS epochs FROM t
+), o AS (
+  SELECT k.*, source_size, target, epochs, target - epochs * source_size AS budget,
+    coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY x, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM k JOIN p ON k.source IS NOT DISTINCT FROM p.source
+), q AS (
+  SELECT *, round(least(greatest(budget - start, 0), size))::BIGINT AS part FROM o
+), e AS (
+  SELECT *, coalesce(min(CASE WHEN start + size >= budget THEN x END) OVER (PARTITION BY source), max(x) OVER (PARTITION BY source)) AS stop_at FROM q
+)
+SELECT doc_id, size, source_size, target, epochs * size + part AS taken,
+  epochs + CASE WHEN size > 0 THEN (2 * part > size)::BIGINT ELSE (x < stop_at)::BIGINT END AS copies FROM e
+"""
