@@ -131,7 +131,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     )
 
     def digest(t: DataFrame):
-        return tuple(t.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("v").cast("decimal(20,0)"))).first())
+        return tuple(t.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
 
     seen = digest(now)
     while seen[0]:

@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from netlens.llm import sql
+from netlens.llm.embedding_dedup import near_duplicate_vectors
 from netlens.llm.mixing import mix_sources
 from netlens.llm.near_dedup import near_duplicates
 from netlens.llm.packing import pack
 from netlens.llm.quality_rules import quality_rules
 from netlens.llm.secrets import secret_scan
+from netlens.llm.url_filters import filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +57,18 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_packing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op1_embedding_dedup", sql.EMBEDDING_DEDUP)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+#: The query's rules: host, path, verdict.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+@query("op8_url_filters", sql.URL_FILTERS)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return filter_urls(table(spark, sf_dir, "pages"), rules)

@@ -107,3 +107,48 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, epochs * size + part AS taken,
   epochs + CASE WHEN size > 0 THEN (2 * part > size)::BIGINT ELSE (x < stop_at)::BIGINT END AS copies FROM e
 """
+
+EMBEDDING_DEDUP = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0
+), link AS (
+  SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.label = q.label AND p.vec_id <> q.vec_id AND len(p.x) = len(q.x)
+  WHERE list_dot_product(p.x, q.x) / (sqrt(list_dot_product(p.x, p.x)) * sqrt(list_dot_product(q.x, q.x))) >= 0.98
+), n AS (SELECT a, count(*)::BIGINT AS n FROM link GROUP BY 1
+), reach(node, seen) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT link.a, reach.seen FROM reach JOIN link ON link.b = reach.node
+), comp AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY 1)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN comp ON node = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+_RULES = "(VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')) AS r(rh, rp, say)"
+
+URL_FILTERS = rf"""
+WITH RECURSIVE p AS (
+  SELECT page_id, url, html, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path, coalesce(regexp_extract(url, '^.*?://[^/?#]*[^?#]*(\??[^#]*)', 1, 's'), '') AS rest FROM pages
+), node AS (
+  SELECT *, CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END || rest END AS node FROM p
+), raw AS (
+  SELECT node, regexp_extract(regexp_extract(html, '<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0, 'is'), '\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'is') AS link FROM node
+  UNION ALL SELECT node, regexp_extract(regexp_extract(html, '<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0, 'is'), '\burl\s*=\s*["'']?([^"''\s>]+)', 1, 'is') FROM node
+), full_ AS (
+  SELECT node, CASE WHEN contains(link, '://') THEN link WHEN link LIKE '//%' THEN 'x:' || link WHEN link LIKE '/%' THEN 'x://' || split_part(node, '/', 1) || link
+    ELSE 'x://' || regexp_replace(split_part(node, '?', 1), '[^/]*$', '') || link END AS link FROM raw WHERE link <> '' AND node IS NOT NULL
+), edge AS (
+  SELECT node AS a, translate(regexp_extract(link, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_replace(regexp_extract(link, '://[^/?#]*([^#]*)', 1), '^(\?|$)', '/\1') AS b FROM full_
+), two AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge
+), reach(node, seen) AS (
+  SELECT a, a FROM two UNION SELECT two.a, reach.seen FROM reach JOIN two ON two.b = reach.node
+), ends AS (
+  SELECT DISTINCT node, regexp_extract(node, '^([^/?]*)', 1) AS host, regexp_extract(node, '^[^/?]*([^?]*)', 1) AS path FROM reach
+), endrule AS (
+  SELECT node, arg_max(say, length(rh) + length(rp)) AS say FROM ends JOIN {_RULES} ON (host = rh OR host LIKE '%.' || rh) AND starts_with(path, rp) GROUP BY 1
+), spread AS (SELECT reach.node, min(say) AS spread FROM reach JOIN endrule ON endrule.node = seen GROUP BY 1
+), own AS (
+  SELECT page_id, arg_max(rh || rp, length(rh) + length(rp)) AS rule, arg_max(say, length(rh) + length(rp)) AS say FROM p
+  JOIN {_RULES} ON (host = rh OR host LIKE '%.' || rh) AND starts_with(path, rp) GROUP BY 1
+)
+SELECT page_id, host, path, rule, coalesce(say, spread, 'allow') AS verdict FROM node LEFT JOIN own USING (page_id) LEFT JOIN spread USING (node)
+"""
