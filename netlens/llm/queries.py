@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from netlens.llm import sql
 from netlens.llm.embedding_dedup import near_duplicate_vectors
+from netlens.llm.lang_id import identify
+from netlens.llm.licenses import license_scan
 from netlens.llm.mixing import mix_sources
 from netlens.llm.near_dedup import near_duplicates
 from netlens.llm.packing import pack
+from netlens.llm.quality_model import classify
 from netlens.llm.quality_rules import quality_rules
 from netlens.llm.secrets import secret_scan
 from netlens.llm.url_filters import filter_urls
@@ -72,3 +75,18 @@ URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return filter_urls(table(spark, sf_dir, "pages"), rules)
+
+
+@query("op9_quality_model")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_language_id")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+@query("op4_license_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
