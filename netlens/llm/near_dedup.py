@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from netlens.llm.common import components, stash
+from netlens.llm.common import components, in_groups, stash
 
 BASE = 1.001
 RATE = 20.0
@@ -75,20 +75,20 @@ def band_keys(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def may_link(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold: float, doubt: float = 12.5) -> np.ndarray:
     """Pairs whose similarity can be ``threshold`` or more, by the joint likelihood of their registers and set sizes.
 
-    A pair is left out where its best estimate is below the threshold and the threshold is less likely
-    than that estimate by ``doubt`` in log likelihood (five standard deviations).
+    A pair is left out where an estimate below the threshold is more likely than the threshold by ``doubt``
+    in log likelihood (five standard deviations).
     """
     up, down = (a > b).sum(axis=-1)[..., None], (a < b).sum(axis=-1)[..., None]
     u = (na / (na + nb))[..., None]
     v = 1 - u
     p = lambda x: -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / np.log(BASE)
-    grid = np.append(np.linspace(0, 1, 101), threshold)
+    grid = np.append(np.linspace(0, threshold, 20, endpoint=False), threshold)
     j = np.minimum(grid, np.minimum(u / v, v / u))
     pu, pd = p(u - v * j), p(v - u * j)
     tiny = 1e-12
     like = up * np.log(pu + tiny) + down * np.log(pd + tiny) + (REGISTERS - up - down) * np.log(np.maximum(1 - pu - pd, tiny))
     best = like.argmax(axis=-1)
-    return (grid[best] >= threshold) | (like.max(axis=-1) - like[..., -1] <= doubt)
+    return (best == len(grid) - 1) | (like.max(axis=-1) - like[..., -1] <= doubt)
 
 
 _SKETCH = "doc_id long, n_shingles long, cls binary, registers binary, bands array<long>"
@@ -185,8 +185,7 @@ def near_duplicates(
     )
     open_keys = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
     open_keys = stash(open_keys.select("key", F.ceil(F.col("k") / block).cast("int").alias("blocks")))
-    pairs = stash(_across(labelled.join(open_keys, "key"), sets, num, den).distinct())
-    links = links.union(confirm(pairs))
+    links = links.union(_across(labelled.join(open_keys, "key"), sets, num, den).distinct())
     final = stash(components(links))
     where = stash(
         classes.join(final, classes.rep == final.node, "left").select("cls", F.coalesce("component", "rep").alias("component_id"))
@@ -199,28 +198,70 @@ def near_duplicates(
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
 
 
+_GROUP = ["key", "i", "j"]
+_LIKELY = pa.schema([("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("mine", pa.int32()), ("rep", pa.int64()), ("comp", pa.int64())])
+_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
 def _across(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of a bucket in different components that may link; blocks of members meet block by block."""
-    regs = sets.select(F.col("doc_id").alias("rep"), "registers")
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int")
-    dealt = members.join(regs, "rep").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "n", "comp", "registers")
+    """Links between components of a bucket; blocks of its classes meet block by block.
 
-    def compare(df):
-        import pandas as pd
+    Registers first tell which classes have a likely partner in another component; only their sets are
+    then sent to the group, which compares them exactly and returns links that join components, at most
+    one a class. No list of pairs is made.
+    """
+    mine = F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int")
+    dealt = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "n", "comp")
+    regs = sets.select(F.col("doc_id").alias("rep"), "registers")
 
-        reg = np.stack([np.frombuffer(x, np.uint16) for x in df.registers])
-        n, comp, rep, mine = df.n.to_numpy(), df.comp.to_numpy(), df.rep.to_numpy(), df.mine.to_numpy()
-        same = df.i.iloc[0] == df.j.iloc[0]
+    def columns(g: pa.Table, *names: str) -> list[np.ndarray]:
+        return [g.column(c).to_numpy() for c in names]
+
+    def partners(x: int, n: np.ndarray, comp: np.ndarray, mine: np.ndarray, same: bool) -> np.ndarray:
+        ok = (comp[x + 1 :] != comp[x]) & (np.minimum(n[x + 1 :], n[x]) * den >= np.maximum(n[x + 1 :], n[x]) * num)
+        if not same:
+            ok &= mine[x + 1 :] != mine[x]
+        return np.flatnonzero(ok) + x + 1
+
+    def likely(g: pa.Table) -> list[list]:
+        n, comp, mine, i, j = columns(g, "n", "comp", "mine", "i", "j")
+        reg = np.stack([np.frombuffer(r, np.uint16) for r in g.column("registers").to_pylist()])
+        hit = np.zeros(len(n), bool)
+        least = REGISTERS * num / den - 5.5 * np.sqrt(REGISTERS * num / den * (1 - num / den))
+        for x in range(len(n)):
+            y = partners(x, n, comp, mine, i[0] == j[0])
+            y = y[(reg[y] == reg[x]).sum(axis=1) >= least]  # registers agree as often as sets are similar
+            todo = y if not hit[x] else y[~hit[y]]
+            if len(todo):
+                ok = todo[may_link(reg[x][None], reg[todo], n[x : x + 1], n[todo], num / den)]
+                hit[ok] = True
+                hit[x] |= len(ok) > 0
+        return [g.column(c).filter(pa.array(hit)).to_pylist() for c in _LIKELY.names]
+
+    def exact(g: pa.Table) -> list[list]:
+        rep, comp, mine, i, j = columns(g, "rep", "comp", "mine", "i", "j")
+        comp = comp.copy()
+        items = [np.frombuffer(r, np.uint64) for r in g.column("items").to_pylist()]
+        n = np.array([len(s) for s in items])
+        starts = np.append(0, np.cumsum(n)[:-1])
+        vocabulary, place = np.unique(np.concatenate(items), return_inverse=True)
         a, b = [], []
-        for x in range(len(df)):
-            y = np.arange(x + 1, len(df))
-            ok = (comp[y] != comp[x]) & (np.minimum(n[y], n[x]) * den >= np.maximum(n[y], n[x]) * num) & (same | (mine[y] != mine[x]))
-            y = y[ok]
-            if len(y):
-                y = y[may_link(reg[x][None], reg[y], n[x : x + 1], n[y], num / den)]
-                a += [min(rep[x], r) for r in rep[y]]
-                b += [max(rep[x], r) for r in rep[y]]
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-
-    return dealt.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
+        for x in range(len(n)):
+            y = partners(x, n, comp, mine, i[0] == j[0])
+            if not len(y):
+                continue
+            mark = np.zeros(len(vocabulary), np.int32)
+            mark[place[starts[x] : starts[x] + n[x]]] = 1
+            base = starts[y[0]]
+            common = np.add.reduceat(mark[place[base:]], starts[y[0] :] - base)[y - y[0]]
+            for z in y[den * common >= num * (n[x] + n[y] - common)]:
+                if comp[z] != comp[x]:
+                    a.append(min(rep[x], rep[z]))
+                    b.append(max(rep[x], rep[z]))
+                    comp[comp == comp[z]] = comp[x]
+        return [a, b]
+
+    near = in_groups(dealt.join(regs, "rep"), _GROUP, likely, _LIKELY, "key long, i int, j int, mine int, rep long, comp long")
+    with_sets = stash(near).join(sets.select(F.col("doc_id").alias("rep"), "items"), "rep")
+    return in_groups(with_sets, _GROUP, exact, _LINK, "a long, b long")
