@@ -130,14 +130,14 @@ def _confirm(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[
 
 
 def near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100, block: int = 256,
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100, block: int = 1024, items: int = 2_000_000,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; similarity num/den or more on word shingles links.
 
     Words are runs without blanks, A-Z in lower case. Texts with the same words are one class and are
     compared once, so copies cost nothing. In each bucket of equal register bands every class meets two
-    centres; where a bucket still has several components, its classes are compared in blocks of bounded
-    size, and only pairs across components go on. Links are confirmed on the full sets.
+    centres; where a bucket still has several components, its classes are compared in blocks of about
+    ``block`` classes and ``items`` shingles at most, and only pairs across components go on. Links are confirmed on the full sets.
 
     Null and blank texts have no shingles and link with nothing. Rows that share a doc_id are one
     document; a row with a null doc_id links with nothing, has a null component and is kept. An empty
@@ -183,8 +183,8 @@ def near_duplicates(
         members.select("key", "rep", "n").join(joined, members.rep == joined.node, "left")
         .select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
     )
-    open_keys = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    open_keys = stash(open_keys.select("key", F.ceil(F.col("k") / block).cast("int").alias("blocks")))
+    open_keys = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    open_keys = stash(open_keys.select("key", F.greatest(F.ceil(F.col("k") / block), F.ceil(F.col("s") / items)).cast("int").alias("blocks")))
     links = links.union(_across(labelled.join(open_keys, "key"), sets, num, den).distinct())
     final = stash(components(links))
     where = stash(
