@@ -139,13 +139,14 @@ def scan(text: str, index: Index, least: float, band: int, known: dict[str, int]
     seeds = sorted({(int(index.template[e]), int(p - index.at[e])) for p, a, b in zip(hit, lo, hi) for e in range(a, b)})
     found, last = [], (-1, 0)
     for k, shift in seeds:
-        if last[0] == k and shift - last[1] <= band // 2:  # the same place a few words on
+        t = index.words[k]
+        side = min(band, len(t) // 2)  # so that a short notice and the next one are two places
+        if last[0] == k and shift - last[1] <= side // 2:  # the same place a few words on
             continue
         last = (k, shift)
-        t = index.words[k]
-        from_ = max(0, shift - band)
-        part = h[from_ : shift + len(t) + band]
-        n, a, b = align(t, part, shift - from_, band)
+        from_ = max(0, shift - side)
+        part = h[from_ : max(0, shift + len(t) + side)]
+        n, a, b = align(t, part, shift - from_, side)
         if n >= least * len(t):
             found.append((n, k, a + from_, b + from_))
     if not found:
@@ -173,7 +174,7 @@ def license_scan(
 
     Words are runs of letters and digits in lower case. Templates are cut to winnowed fingerprints of ``gram`` words; all
     n-grams of every document are looked up, so each run of ``gram + window - 1`` words shared with a template is seen.
-    A place is reported where an alignment within ``band`` words of a seed's diagonal matches ``least`` of the template;
+    A place is reported where an alignment within ``band`` words, or half the template, of a seed's diagonal matches ``least`` of the template;
     of overlapping places the one with most words stays. Null and empty texts have no rows; rows that repeat, or have a
     null id, are scanned each for itself; other columns are not read. Each row is handled by itself: nothing is shuffled.
     """
