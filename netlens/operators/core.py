@@ -7,6 +7,7 @@ small summary row per (key, slice) is carried across the slice borders.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -24,10 +25,13 @@ MINUTE = 60 * SECOND
 
 def scratch_path(spark: SparkSession) -> str:
     """A new folder under the shared one of the session."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="netlens-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="netlens-"))
+        root = context.getCheckpointDir()
     return f"{root.rstrip('/')}/netlens-{uuid.uuid4().hex}"
 
 
@@ -35,8 +39,8 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write an intermediate once and read it back, where several branches need it.
 
     The table goes to the shared folder the session names in ``spark.checkpoint.dir``, so a
-    lost executor never costs the work before it. Only sessions without that setting (tests)
-    get a temporary folder of their own.
+    lost executor never costs the work before it. Only a session on one machine without that
+    setting (tests) gets a temporary folder; on a cluster its absence is an error.
     """
     path = scratch_path(df.sparkSession)
     df.write.parquet(path)
@@ -262,6 +266,14 @@ def _advance(ts, value, gap_us, inclusive, state, i, swap):
     return i, None
 
 
+def _fold_key(keys: Sequence[str]) -> Column:
+    return F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("~")) for k in keys])
+
+
+def _fold_id(order: Sequence[str]) -> Column:
+    return F.concat_ws("#", *[F.col(c).cast("string") for c in order])
+
+
 def retained_fold(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str, gap_us: int,
     inclusive: bool = False, value: str | None = None, slice_us: int | None = None,
@@ -279,10 +291,8 @@ def retained_fold(
     order = list(order)
     slice_us = max(slice_us or 4096 * gap_us, 2 * gap_us)
     swap = value is not None
-    rid = F.concat_ws("#", *[F.col(c).cast("string") for c in order])
     base = df.select(
-        F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("~")) for k in keys]).alias("fold_key"),
-        rid.alias("fold_id"), F.col(ts).alias("t"),
+        _fold_key(keys).alias("fold_key"), _fold_id(order).alias("fold_id"), F.col(ts).alias("t"),
         F.struct(*order).alias("ord"),
         (F.col(value) if swap else F.lit(0)).cast("long").alias("v"),
     )
@@ -377,10 +387,10 @@ def retained_fold(
 
 
 def drop_repeats(df, keys, order, ts, gap_us, inclusive=False, value=None, slice_us=None) -> DataFrame:
-    """``df`` without the rows that :func:`retained_fold` names."""
-    gone = retained_fold(df, keys, order, ts, gap_us, inclusive, value, slice_us).select("fold_id")
-    rid = F.concat_ws("#", *[F.col(c).cast("string") for c in order])
-    return df.withColumn("fold_id", rid).join(gone, "fold_id", "left_anti").drop("fold_id")
+    """``df`` without the rows that :func:`retained_fold` names; rows of other keys at the same place in the order stay."""
+    gone = retained_fold(df, keys, order, ts, gap_us, inclusive, value, slice_us).select("fold_key", "fold_id")
+    named = df.withColumns({"fold_key": _fold_key(keys), "fold_id": _fold_id(order)})
+    return named.join(gone, ["fold_key", "fold_id"], "left_anti").drop("fold_key", "fold_id")
 
 
 # --- exact order statistics -------------------------------------------------------------

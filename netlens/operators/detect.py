@@ -73,27 +73,29 @@ def fit_iforest(
 
     Each tree gets ``sample`` rows without replacement: the smallest exponential keys
     -ln(u)/weight, u a hash of (row, tree, seed), so the same seed gives the same forest
-    whatever the partitioning. Only keys below a bound leave the scan (about three times
-    the sample per tree), and when there are rows enough every row competes for one tree
-    only. A group therefore holds a bounded sample, never the table.
+    whatever the partitioning. Only keys below a bound leave the scan; the bound is raised
+    until every tree has its sample below it, so that it changes how much is sent and never
+    which rows are drawn, under any weights.
     """
     names = sorted({n for f in configs.values() for n in f})
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     n, mass = rows.agg(F.count(F.lit(1)), F.sum(w)).first()
     psi = min(sample, n)
-    bound = 3.0 * sample / mass if mass else 0.0
     k = F.col(key).cast("string")
     base = rows.select(k.alias("k"), w.alias("w"), F.array(*[F.col(c).cast("double") for c in names]).alias("x"))
-    if n >= 4 * sample * trees:
-        x = base.withColumn("tree", F.pmod(F.xxhash64("k", F.lit(seed), F.lit(-1)), F.lit(trees)).cast("int"))
-        bound *= trees
-    else:
-        every = n <= 3 * sample
-        expo = lambda t: -F.ln(_unit(F.col("k"), t, F.lit(seed))) / F.col("w")
-        pick = F.sequence(F.lit(0), F.lit(trees - 1))
-        x = base.withColumn("tree", F.explode(pick if every else F.filter(pick, lambda t: expo(t) < bound)))
-        bound = float("inf") if every else bound
-    x = x.withColumn("e", -F.ln(_unit(F.col("k"), F.col("tree"), F.lit(seed))) / F.col("w")).where(F.col("e") < bound)
+
+    def below(bound: float) -> DataFrame:
+        e = lambda t: -F.ln(_unit(F.col("k"), t, F.lit(seed))) / F.col("w")
+        drawn = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), e(t).alias("e"))), lambda d: d["e"] < bound)
+        return base.select("k", "x", F.explode(drawn).alias("d")).select("k", "x", "d.tree", "d.e")
+
+    bound = 3.0 * sample / mass if mass else 0.0
+    while psi:
+        trees_full = below(bound).groupBy("tree").count().where(F.col("count") >= psi).count()
+        if trees_full == trees:
+            break
+        bound *= 4
+    x = below(bound)
     limit = max(1, math.ceil(math.log2(max(psi, 2))))
     columns = {c: [names.index(f) for f in fs] for c, fs in configs.items()}
 
@@ -123,7 +125,7 @@ def average_path(n: float) -> float:
 
 
 def score_iforest(rows: DataFrame, model: DataFrame, configs: dict[str, list[str]]) -> DataFrame:
-    """Rows with ``score_<config>`` = -2^(-E[h]/c); decision = score + 0.5.
+    """Rows with ``score_<config>`` = -2^(-E[h/c]), c of each tree's own sample; decision = score + 0.5.
 
     A forest has at most trees x (2 x sample - 1) nodes per config whatever it was fitted
     on, so it is collected once and shipped with the function; rows stay where they are and
@@ -144,7 +146,7 @@ def score_iforest(rows: DataFrame, model: DataFrame, configs: dict[str, list[str
             for config, fs in configs.items():
                 x = data[:, [names.index(f) for f in fs]]
                 total = np.zeros(len(x))
-                for left, right, feature, cut, length, _ in forests[config]:
+                for left, right, feature, cut, length, size in forests[config]:
                     node = np.zeros(len(x), dtype=int)
                     while True:
                         f = feature[node]
@@ -153,9 +155,8 @@ def score_iforest(rows: DataFrame, model: DataFrame, configs: dict[str, list[str
                             break
                         go = x[at, np.maximum(f, 0)] <= cut[node]
                         node = np.where(inner, np.where(go, left[node], right[node]), node)
-                    total += length[node]
-                c = average_path(forests[config][0][5]) or 1.0
-                arrays.append(pa.array(-np.power(2.0, -total / len(forests[config]) / c)))
+                    total += length[node] / (average_path(size) or 1.0)
+                arrays.append(pa.array(-np.power(2.0, -total / len(forests[config]))))
             yield pa.RecordBatch.from_arrays(arrays, names=[*b.schema.names, *[f"score_{c}" for c in configs]])
 
     return rows.mapInArrow(score, out_schema)

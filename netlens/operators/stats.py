@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from itertools import combinations
 
@@ -24,8 +25,14 @@ def _sign_test(k: pd.Series, n: pd.Series) -> pd.Series:
         low = min(a, m - a)
         if 2 * low == m:
             return 1.0
-        logs = [math.lgamma(m + 1) - math.lgamma(i + 1) - math.lgamma(m - i + 1) - m * math.log(2) for i in range(low + 1)]
-        return min(1.0, 2 * math.fsum(map(math.exp, logs)))
+        # from the largest term downwards, until the rest cannot change the sum
+        share, term, i = 1.0, 1.0, low
+        while i > 0 and term > share * 1e-18:
+            term *= i / (m - i + 1)
+            share += term
+            i -= 1
+        first = math.lgamma(m + 1) - math.lgamma(low + 1) - math.lgamma(m - low + 1) - m * math.log(2)
+        return min(1.0, 2 * math.exp(first) * share)
     return pd.Series([one(int(a), int(m)) for a, m in zip(k, n)])
 
 
@@ -59,7 +66,7 @@ def _beta_cdf(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
         front = np.exp(lg(aa + bb) - lg(aa) - lg(bb) + aa * np.log(xx) + bb * np.log1p(-xx)) / aa
     tiny = 1e-300
     f = np.ones_like(xx); c = np.ones_like(xx); d = np.zeros_like(xx)
-    for i in range(0, 400):
+    for i in itertools.count():
         m = i // 2
         if i == 0:
             num = np.ones_like(xx)
@@ -71,6 +78,8 @@ def _beta_cdf(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
         d = 1 / np.where(np.abs(d) < tiny, tiny, d)
         c = 1 + num / np.where(np.abs(c) < tiny, tiny, c)
         f = f * c * d
+        if i > 2 and not (np.abs(c * d - 1) > 1e-15).any():
+            break
     value = np.where(xx <= 0, 0.0, np.where(xx >= 1, 1.0, front * (f - 1)))
     return np.where(flip, 1 - value, value)
 

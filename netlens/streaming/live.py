@@ -89,7 +89,8 @@ def scan_stream(
         newest = seen.agg(F.max("ts_us")).first()[0]
         if newest is None:
             return
-        done = _progress(spark, out, epoch) or -1
+        done = _progress(spark, out, epoch)
+        done = -1 if done is None else done
         upto = newest - grace_us
         recent = seen.where(F.col("ts_us") > done - retention_us)
         f = failure_events(syn_attempts(recent, scope, gap_us, slice_us), grace_us, causal=True).withColumn("window_us", F.lit(window_us).cast("long"))

@@ -112,3 +112,29 @@ def test_quantile_conventions(spark):
     n = len(s)
     assert got["b"] == s[int(0.99 * (n - 1))] and got["c"] == s[round(0.9 * (n - 1))] and got["d"] == s[n // 2]
     assert got["e"] == s[int(0.95 * n) - 1] and got["f"] == s[math.floor(0.03 * n)]
+
+
+def test_repeats_of_one_key_leave_other_keys_alone(spark):
+    from netlens.operators.core import drop_repeats
+
+    rows = spark.createDataFrame([("A", 0, 0), ("A", 10, 1), ("B", 10, 1)], "k string, ts_us long, arrival long")
+    kept = drop_repeats(rows, ["k"], ["ts_us", "arrival"], "ts_us", 100)
+    assert sorted(map(tuple, kept.collect())) == [("A", 0, 0), ("B", 10, 1)]
+
+
+def test_every_tree_has_its_sample_under_uneven_weights(spark):
+    from pyspark.sql import functions as F
+
+    from netlens.operators.detect import fit_iforest
+
+    rows = spark.range(2000).select("id", F.rand(1).alias("x"), F.when(F.col("id") == 0, 1e7).otherwise(1.0).alias("w"))
+    model = fit_iforest(rows, "id", {"c": ["x"]}, trees=6, sample=128, weight="w")
+    assert {r["size"] for r in model.where("node = 0").collect()} == {128} and model.select("tree").distinct().count() == 6
+
+
+def test_exact_tests_converge_for_large_counts(spark):
+    import numpy as np
+
+    from netlens.operators.stats import _beta_cdf
+
+    assert abs(_beta_cdf(np.array([5e6]), np.array([5e6]), np.array([0.5]))[0] - 0.5) < 1e-5
