@@ -113,24 +113,17 @@ FROM epx e LEFT JOIN decs d ON d.entity_ip=e.entity_ip AND window_us > t0_us-{LE
 ORIGIN = "10.10.1.12"
 
 
-def few(s, d):
-    """Episodes of five entities only, so that most windows lie outside all of them."""
-    return eps(s, d).where(F.col("entity_ip").isin([f"10.10.1.{i}" for i in (12, 13)]))
-
-
-view("few", "epx", "SELECT * FROM epx WHERE entity_ip IN ('10.10.1.12','10.10.1.13')")
 CFG = {"HEUR": "{h}", **{f"IF_{a}": f"coalesce(score < {u}, false)" for a, u in E.ALPHAS.items()}, **{f"HIB_{a}": f"(coalesce(score < {u}, false) OR {{h}})" for a, u in E.ALPHAS.items()}}
-INSIDE = f"EXISTS (SELECT 1 FROM few f WHERE d.window_us > f.t0_us-{LEAD} AND d.window_us <= f.t1_us+{TAIL})"
-add("E06_seven_configs", lambda s, d: E.seven_configs(decs(s, d), few(s, d), ORIGIN, LEAD, TAIL, D), sql("decs few", " UNION ALL ".join(f"""
-SELECT '{c}' AS config, (SELECT CAST(count(*) AS BIGINT) FROM (SELECT episode_id FROM decs d JOIN few e ON d.entity_ip=e.entity_ip AND d.entity_ip='{ORIGIN}' AND window_us > t0_us-{LEAD} AND window_us <= t1_us+{TAIL} WHERE {x.format(h='(rule1=expected_rule OR rule2=expected_rule)')} GROUP BY 1)) AS detected,
- (SELECT CAST(coalesce(sum(m),0) AS BIGINT) FROM (SELECT min(logged_us)-any_value(t0_us) AS m FROM decs d JOIN few e ON d.entity_ip=e.entity_ip AND d.entity_ip='{ORIGIN}' AND window_us > t0_us-{LEAD} AND window_us <= t1_us+{TAIL} WHERE {x.format(h='(rule1=expected_rule OR rule2=expected_rule)')} GROUP BY episode_id)) AS total_delay_us,
+add("E06_seven_configs", lambda s, d: E.seven_configs(decs(s, d), eps(s, d), ORIGIN, LEAD, TAIL, D), sql("decs epx", " UNION ALL ".join(f"""
+SELECT '{c}' AS config, (SELECT CAST(count(*) AS BIGINT) FROM (SELECT episode_id FROM decs d JOIN epx e ON d.entity_ip=e.entity_ip AND d.entity_ip='{ORIGIN}' AND window_us > t0_us-{LEAD} AND window_us <= t1_us+{TAIL} WHERE {x.format(h='(rule1=expected_rule OR rule2=expected_rule)')} GROUP BY 1)) AS detected,
+ (SELECT CAST(coalesce(sum(m),0) AS BIGINT) FROM (SELECT min(logged_us)-any_value(t0_us) AS m FROM decs d JOIN epx e ON d.entity_ip=e.entity_ip AND d.entity_ip='{ORIGIN}' AND window_us > t0_us-{LEAD} AND window_us <= t1_us+{TAIL} WHERE {x.format(h='(rule1=expected_rule OR rule2=expected_rule)')} GROUP BY episode_id)) AS total_delay_us,
  CAST(count(*) FILTER (WHERE NOT ins) AS BIGINT) AS outside, CAST(count(DISTINCT entity_ip) FILTER (WHERE NOT ins) AS BIGINT) AS outside_entities,
  CAST(count(*) FILTER (WHERE ins AND entity_ip<>'{ORIGIN}') AS BIGINT) AS others_inside, CAST(count(DISTINCT entity_ip) FILTER (WHERE ins AND entity_ip<>'{ORIGIN}') AS BIGINT) AS others_inside_entities
-FROM (SELECT d.*, EXISTS (SELECT 1 FROM few f WHERE f.entity_ip='{ORIGIN}' AND d.window_us > f.t0_us-{LEAD} AND d.window_us <= f.t1_us+{TAIL}) AS ins FROM decs d) d WHERE {x.format(h="(rule1<>'' OR rule2<>'')")}""" for c, x in CFG.items())))
-add("E07_rule_matrix", lambda s, d: E.rule_matrix(decs(s, d), few(s, d), ORIGIN, TAIL, D), sql("decs few", f"""
+FROM (SELECT d.*, EXISTS (SELECT 1 FROM epx f WHERE f.entity_ip='{ORIGIN}' AND d.window_us > f.t0_us-{LEAD} AND d.window_us <= f.t1_us+{TAIL}) AS ins FROM decs d) d WHERE {x.format(h="(rule1<>'' OR rule2<>'')")}""" for c, x in CFG.items())))
+add("E07_rule_matrix", lambda s, d: E.rule_matrix(decs(s, d), eps(s, d), ORIGIN, TAIL, D), sql("decs epx", f"""
 WITH o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_ip, window_us ORDER BY logged_us, decision_id) AS rn FROM decs) WHERE rn=1),
 h AS (SELECT entity_ip, window_us, rule1 AS rule FROM o WHERE rule1<>'' UNION ALL SELECT entity_ip, window_us, rule2 FROM o WHERE rule2<>'' UNION ALL SELECT entity_ip, window_us, 'IF_ALERT' FROM o WHERE decision='ALERT' AND entity_ip='{ORIGIN}'),
-x AS (SELECT h.*, (SELECT arg_min(scenario, (t0_us, episode_id)) FROM few f WHERE f.entity_ip='{ORIGIN}' AND window_us > t0_us AND window_us <= t1_us+{TAIL}) AS sc FROM h)
+x AS (SELECT h.*, (SELECT arg_min(scenario, (t0_us, episode_id)) FROM epx f WHERE f.entity_ip='{ORIGIN}' AND window_us > t0_us AND window_us <= t1_us+{TAIL}) AS sc FROM h)
 SELECT CASE WHEN entity_ip='{ORIGIN}' THEN 'attacker' ELSE 'legitimate' END AS side, coalesce(sc,'outside') AS scenario, rule, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT entity_ip) AS BIGINT) AS entities FROM x GROUP BY 1, 2, 3"""))
 
 
@@ -192,15 +185,15 @@ view("spans", "bur", "SELECT src_ip, CAST(burst AS BIGINT) AS burst, min(ts_us)
 
 def e11(s, d):
     spans, top = E.http_bursts(web(s, d), GAP, ["dest_ip", "status", "url"], D)
-    over = E.overlapping(spans, few(s, d), D)
+    over = E.overlapping(spans, eps(s, d), D)
     return top.groupBy("src_ip", "burst").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("attribute", "rank", "value", "n"))), lambda x: F.concat_ws("=", x["attribute"], x["value"], x["n"].cast("string"))), ";").alias("top3")).join(over, ["src_ip", "burst"])
 
 
-add("E11_http_bursts", e11, sql("bur spans few", """
+add("E11_http_bursts", e11, sql("bur spans epx", """
 WITH l AS (SELECT src_ip, burst, 'dest_ip' AS attribute, dest_ip AS value FROM bur UNION ALL SELECT src_ip, burst, 'status', CAST(status AS STRING) FROM bur UNION ALL SELECT src_ip, burst, 'url', url FROM bur),
 c AS (SELECT src_ip, burst, attribute, value, count(*) AS n FROM l GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY src_ip, burst, attribute ORDER BY n DESC, value) AS rank FROM c),
 t AS (SELECT src_ip, burst, string_agg(attribute||'='||value||'='||n, ';' ORDER BY attribute, rank) AS top3 FROM r WHERE rank<=3 GROUP BY 1, 2)
-SELECT s.src_ip, s.burst, from_us, to_us, CAST(requests AS BIGINT) AS requests, top3, (SELECT CAST(count(*) AS BIGINT) FROM few f WHERE f.t0_us <= to_us AND from_us <= f.t1_us) AS episodes FROM spans s JOIN t ON t.src_ip=s.src_ip AND t.burst=s.burst"""))
+SELECT s.src_ip, s.burst, from_us, to_us, CAST(requests AS BIGINT) AS requests, top3, (SELECT CAST(count(*) AS BIGINT) FROM epx f WHERE f.t0_us <= to_us AND from_us <= f.t1_us) AS episodes FROM spans s JOIN t ON t.src_ip=s.src_ip AND t.burst=s.burst"""))
 
 
 def e12(s, d):
@@ -242,7 +235,11 @@ view("secc", "dns", f"SELECT src_ip, second, count(*) AS n FROM (SELECT DISTINCT
 
 
 def shorts(s, d):
-    return few(s, d).where("episode_id % 3 = 0")
+    """Every episode, cut to its first two minutes, so that some of the traffic is outside all of them."""
+    return eps(s, d).withColumn("t1_us", F.col("t0_us") + F.lit(120 * U))
+
+
+view("shorts", "epx", f"SELECT episode_id, t0_us, t0_us + {120 * U} AS t1_us FROM epx")
 
 
 def e14(s, d):
@@ -252,10 +249,10 @@ def e14(s, d):
     return r6(r.join(F.broadcast(sep)))
 
 
-view("rates", "secc few", f"""SELECT o.src_ip, CAST(count(*) AS BIGINT) AS seconds, max(n) AS max_1s, CAST(sum(n) AS BIGINT) AS total, min(second) AS s0, max(second) AS s1, CAST(list_sort(list(n))[CAST(floor(0.99*(count(*)-1)) AS BIGINT)+1] AS DOUBLE) AS p99_1s
-  FROM (SELECT * FROM secc c WHERE NOT EXISTS (SELECT 1 FROM few f WHERE episode_id%3=0 AND second*{HS} BETWEEN t0_us AND t1_us)) o GROUP BY 1""")
+view("rates", "secc shorts", f"""SELECT o.src_ip, CAST(count(*) AS BIGINT) AS seconds, max(n) AS max_1s, CAST(sum(n) AS BIGINT) AS total, min(second) AS s0, max(second) AS s1, CAST(list_sort(list(n))[CAST(floor(0.99*(count(*)-1)) AS BIGINT)+1] AS DOUBLE) AS p99_1s
+  FROM (SELECT * FROM secc c WHERE NOT EXISTS (SELECT 1 FROM shorts f WHERE second*{HS} BETWEEN t0_us AND t1_us)) o GROUP BY 1""")
 view("rates2", "rates secc", """SELECT r.*, m.m AS max_mean_10s FROM rates r JOIN (SELECT src_ip, max(b)/CAST(10 AS DOUBLE) AS m FROM (SELECT r.src_ip, (second-s0)//10 AS blk, sum(n) AS b FROM secc c JOIN rates r ON r.src_ip=c.src_ip AND second>=s0 AND s0+((second-s0)//10)*10 <= s1 GROUP BY 1, 2) GROUP BY 1) m USING (src_ip)""")
-add("E14_dns_rates", e14, sql("rates2 few", f"""WITH t AS (SELECT min(episode_id%5+CAST(0.5 AS DOUBLE)) AS t FROM few WHERE episode_id%3=0), l AS (SELECT max(max_1s) AS a, max(max_mean_10s) AS b FROM rates2 WHERE src_ip<>'{ORIGIN}')
+add("E14_dns_rates", e14, sql("rates2 shorts", f"""WITH t AS (SELECT min(episode_id%5+CAST(0.5 AS DOUBLE)) AS t FROM shorts), l AS (SELECT max(max_1s) AS a, max(max_mean_10s) AS b FROM rates2 WHERE src_ip<>'{ORIGIN}')
 SELECT src_ip, seconds, CAST(max_1s AS BIGINT) AS max_1s, total, round(max_mean_10s,6) AS max_mean_10s, p99_1s, CAST(l.a AS BIGINT) AS legit_max_1s, round(l.b,6) AS legit_max_10s, round(t.t,6) AS test_min_rate, t.t > l.b AS separates FROM rates2, t, l"""))
 add("E15_http_peaks", lambda s, d: E.http_peaks(web(s, d), S), sql("web", f"""
 WITH h AS (SELECT *, unnest(generate_series((ts_us+{S}-1)//{S}, (ts_us+{S}-1)//{S}+5)) AS a FROM web), g AS (SELECT src_ip, a, count(*) AS n, count(*) FILTER (WHERE status IN (401,403)) AS b FROM h GROUP BY 1, 2)
@@ -345,11 +342,11 @@ add("E21_sustained_effect", e21, sql("e3", "SELECT * FROM e3"))
 
 def e22(s, d):
     c = table(s, d, "ev").select(F.col("ts_us").alias("t_us"), (F.col("k") % 6 > 0).alias("ok"), (F.col("event_type") == "error").alias("attributable"))
-    return E.control_failures(few(s, d), c, 2 * H, 3 * H, D)
+    return E.control_failures(eps(s, d), c, 2 * H, 3 * H, D)
 
 
-add("E22_control_failures", e22, sql("few ev", f"""SELECT episode_id, CAST(count(v.ts_us) AS BIGINT) AS transactions, CAST(count(v.ts_us) FILTER (WHERE k%6=0 AND event_type='error') AS BIGINT) AS bad,
- CASE WHEN count(v.ts_us)=0 THEN 'fallo_experimento' WHEN count(v.ts_us) FILTER (WHERE k%6=0 AND event_type='error')>0 THEN 'fallo' ELSE 'cumple' END AS e4 FROM few f LEFT JOIN ev v ON v.ts_us BETWEEN t0_us-{2 * H} AND t1_us+{3 * H} GROUP BY 1"""))
+add("E22_control_failures", e22, sql("epx ev", f"""SELECT episode_id, CAST(count(v.ts_us) AS BIGINT) AS transactions, CAST(count(v.ts_us) FILTER (WHERE k%6=0 AND event_type='error') AS BIGINT) AS bad,
+ CASE WHEN count(v.ts_us)=0 THEN 'fallo_experimento' WHEN count(v.ts_us) FILTER (WHERE k%6=0 AND event_type='error')>0 THEN 'fallo' ELSE 'cumple' END AS e4 FROM epx f LEFT JOIN ev v ON v.ts_us BETWEEN t0_us-{2 * H} AND t1_us+{3 * H} GROUP BY 1"""))
 
 
 def e23(s, d):

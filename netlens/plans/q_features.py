@@ -137,21 +137,18 @@ SELECT * FROM (SELECT entity_ip, a AS anchor, CAST({N1} AS BIGINT) AS packet_cou
 
 
 def f34(s, d):
-    o = prep.attribute(table(s, d, "packets").where("user_id % 2 = 0"), SCOPE)
-    app = table(s, d, "app").where("kind = 'tls'")
-    return FT.features(o, app, table(s, d, "l2"), S, FT.L2_COUNTS)
+    o = obs(s, d)
+    return FT.features(o, table(s, d, "app"), table(s, d, "l2"), S, FT.L2_COUNTS)
 
 
 def f35(s, d):
-    o = prep.attribute(table(s, d, "packets").where("user_id % 2 = 0"), SCOPE)
-    app = table(s, d, "app").where("kind = 'tls'")
-    x = FT.features(o, app, table(s, d, "l2"), S, ["packet_count_10s", "l2_frame_count_30s", "eligible_training", "history_coverage_s"])
+    o = obs(s, d)
+    x = FT.features(o, table(s, d, "app"), table(s, d, "l2"), S, ["packet_count_10s", "l2_frame_count_30s", "eligible_training", "history_coverage_s"])
     return r6(x)
 
 
-view("o2", "obs packets", "SELECT * FROM obs WHERE arrival IN (SELECT arrival FROM packets WHERE user_id % 2 = 0)")
-view("gridb", "o2 app", f"""SELECT entity_ip, CAST(unnest(generate_series(lo // {S} + 1, (hi + {S} - 1) // {S})) AS BIGINT) AS a FROM
- (SELECT entity_ip, min(ts_us) AS lo, max(ts_us) AS hi FROM (SELECT entity_ip, ts_us FROM o2 UNION ALL SELECT entity_ip, ts_us FROM app WHERE kind='tls') GROUP BY 1)
+view("gridb", "obs app", f"""SELECT entity_ip, CAST(unnest(generate_series(lo // {S} + 1, (hi + {S} - 1) // {S})) AS BIGINT) AS a FROM
+ (SELECT entity_ip, min(ts_us) AS lo, max(ts_us) AS hi FROM (SELECT entity_ip, ts_us FROM obs UNION ALL SELECT entity_ip, ts_us FROM app) GROUP BY 1)
  WHERE lo // {S} + 1 <= (hi + {S} - 1) // {S}""")
 view("allgrid", "gridb l2grid", "SELECT entity_ip, a FROM gridb UNION SELECT entity_ip, a FROM l2grid")
 add("F34_l2_counts", f34, sql("allgrid l2grid own_l2 native", f"""
@@ -159,9 +156,9 @@ SELECT g.entity_ip, g.a AS anchor, coalesce(any_value(v.native_vlan), 0) AS nati
  CAST(count(o.arrival) FILTER (WHERE o.arp_request AND o.ts_us > (g.a-1)*{S}) AS BIGINT) AS arp_request_count_10s, CAST(count(o.arrival) AS BIGINT) AS l2_frame_count_30s
 FROM allgrid g LEFT JOIN native v ON v.sender_ip = g.entity_ip LEFT JOIN (l2grid k JOIN own_l2 o ON k.entity_ip = o.sender_ip AND o.ts_us > (k.a-3)*{S} AND o.ts_us <= k.a*{S})
  ON k.entity_ip = g.entity_ip AND k.a = g.a GROUP BY 1, 2"""))
-add("F35_l2_only_rows", f35, sql("allgrid l2grid own_l2 o2 app", f"""
-WITH st AS (SELECT least((SELECT min(ts_us) FROM o2), (SELECT min(ts_us) FROM app WHERE kind='tls')) AS t0),
-pk AS (SELECT g.entity_ip, g.a, count(*) AS n FROM gridb g JOIN o2 o ON o.entity_ip = g.entity_ip AND o.ts_us > (g.a-1)*{S} AND o.ts_us <= g.a*{S} GROUP BY 1, 2),
+add("F35_l2_only_rows", f35, sql("allgrid l2grid own_l2 obs app", f"""
+WITH st AS (SELECT least((SELECT min(ts_us) FROM obs), (SELECT min(ts_us) FROM app)) AS t0),
+pk AS (SELECT g.entity_ip, g.a, count(*) AS n FROM gridb g JOIN obs o ON o.entity_ip = g.entity_ip AND o.ts_us > (g.a-1)*{S} AND o.ts_us <= g.a*{S} GROUP BY 1, 2),
 fr AS (SELECT g.entity_ip, g.a, count(*) AS n FROM l2grid g JOIN own_l2 o ON o.sender_ip = g.entity_ip AND o.ts_us > (g.a-3)*{S} AND o.ts_us <= g.a*{S} GROUP BY 1, 2)
 SELECT g.entity_ip, g.a AS anchor, CAST(coalesce(pk.n, 0) AS BIGINT) AS packet_count_10s, CAST(coalesce(fr.n, 0) AS BIGINT) AS l2_frame_count_30s,
  g.a*{S} - t0 >= {6 * S} AS eligible_training, round(greatest(0, least({6 * S}, g.a*{S} - t0)) / 1000000.0, 6) AS history_coverage_s

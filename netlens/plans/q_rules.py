@@ -51,11 +51,11 @@ add("R03_dns_view", lambda s, d: r6(dview(s, d)), sql("dview", """SELECT entity_
 
 
 def web(s, d):
-    return table(s, d, "http").where("event_type in ('view', 'purchase', 'click')"), table(s, d, "packets").where("event_type <> 'click'")
+    return table(s, d, "http"), table(s, d, "packets")
 
 
-view("wpair", "http", """SELECT *, least(src_ip||':'||src_port, dest_ip||':'||dest_port)||'|'||greatest(src_ip||':'||src_port, dest_ip||':'||dest_port) AS pair FROM http WHERE event_type IN ('view','purchase','click')""")
-view("fpair", "packets", """SELECT *, least(src_ip||':'||src_port, dst_ip||':'||dst_port)||'|'||greatest(src_ip||':'||src_port, dst_ip||':'||dst_port) AS pair FROM packets WHERE protocol=6 AND event_type<>'click'""")
+view("wpair", "http", """SELECT *, least(src_ip||':'||src_port, dest_ip||':'||dest_port)||'|'||greatest(src_ip||':'||src_port, dest_ip||':'||dest_port) AS pair FROM http""")
+view("fpair", "packets", """SELECT *, least(src_ip||':'||src_port, dst_ip||':'||dst_port)||'|'||greatest(src_ip||':'||src_port, dst_ip||':'||dst_port) AS pair FROM packets WHERE protocol=6""")
 view("wev", "wpair fpair", f"""SELECT w.*, f.frame_ts FROM wpair w LEFT JOIN (SELECT w.arrival, min(f.ts_us) AS frame_ts FROM wpair w JOIN fpair f ON w.pair=f.pair AND f.ts_us BETWEEN w.ts_us-{TOL} AND w.ts_us+{TOL} GROUP BY 1) f USING (arrival)""")
 add("R04_http_evidence", lambda s, d: V.http_evidence(*web(s, d), TOL, DAY_US).select("arrival", "frame_ts"), sql("wev", "SELECT arrival, frame_ts FROM wev"))
 
