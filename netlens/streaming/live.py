@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from netlens.operators.actions import DECAY_S, MAX_EXPIRY_S, _climb
+from netlens.operators.actions import DECAY_S, MAX_EXPIRY_S, NO_PAST, changes
 from netlens.operators.core import SECOND, drop_repeats, materialize
 from netlens.operators.features import features_at_horizon
 from netlens.operators.scan import failed_ports, failure_events, syn_attempts
@@ -156,40 +156,21 @@ def pending_windows(marks: DataFrame, expiry_us: int, delay: str) -> DataFrame:
 def stream_actions(actions: DataFrame, second_us: int, delay: str) -> DataFrame:
     """New and escalated measures as decisions arrive (the rest only moves the state).
 
-    The same ladder and the same comparison as the batch fold, with the entry in force and
-    the ladder kept as keyed state; state that has decayed is dropped by an event-time timer.
+    The same leaps as the batch form, from the measures in force and the ladder kept as keyed state; state that has decayed is dropped by an event-time timer.
     """
     schema = "event_id string, state string, in_force string, until_us long, level int"
-    sev = {"BLOCK": 2, "LIMIT": 1}
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        s = json.loads(state.get[0]) if state.exists else {"force": {}, "climb": None}
-        rows = pd.concat(list(batches)).sort_values(["t_us", "event_id"])
-        out = []
-        for r in rows.to_dict("records"):
-            prev, t = s["force"].get(r["scope"]), int(r["t_us"])
-            if prev is None or prev["until"] <= t:
-                kind = "nueva"
-            elif sev[r["action"]] > sev[prev["action"]]:
-                kind = "escalada"
-            elif sev[r["action"]] == sev[prev["action"]] and r["from_us"] >= prev["to"]:
-                kind = "renovada"
-            else:
-                continue
-            s["climb"], timeout, level, _ = _climb(s["climb"], r["action"], t, second_us)
-            until = t + timeout * second_us
-            if kind == "renovada":
-                until = max(until, prev["until"])
-            s["force"][r["scope"]] = {"action": r["action"], "until": until, "to": int(r["to_us"])}
-            if kind != "renovada":
-                out.append((r["event_id"], kind, r["action"], until, level))
-        state.update((json.dumps(s),))
+        rows = pd.concat(list(batches)).sort_values(["t_us", "event_id"], ignore_index=True)
+        found, past = changes(rows, json.loads(state.get[0]) if state.exists else NO_PAST, second_us)
+        state.update((json.dumps(past),))
         keep = (DECAY_S + MAX_EXPIRY_S) * second_us
         state.setTimeoutTimestamp(max((int(rows["t_us"].max()) + keep) // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["event_id", "state", "in_force", "until_us", "level"])
+        told = found[found["state"] != "renovada"]
+        yield told.assign(event_id=rows["event_id"].reindex(told["row"]).to_numpy())[["event_id", "state", "in_force", "until_us", "level"]]
 
     x = actions.withColumn("at", F.timestamp_micros("t_us")).withWatermark("at", delay)
     return x.groupBy("entity_ip", "target").applyInPandasWithState(step, schema, "state string", "append", GroupStateTimeout.EventTimeTimeout)
