@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from netlens.llm.common import components, in_groups, stash
+from netlens.llm.common import components, discard, in_groups, stash
 
 BASE = 1.001
 RATE = 20.0
@@ -190,6 +190,8 @@ def near_duplicates(
     where = stash(
         classes.join(final, classes.rep == final.node, "left").select("cls", F.coalesce("component", "rep").alias("component_id"))
     ).withColumnRenamed("cls", "_cls")
+    for used in (classes, buckets, members, active, sets, labelled, open_keys, joined, final):
+        discard(docs.sparkSession, used)  # the result reads ``sk`` and ``where`` only
     rest = sk.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("cls")).alias("cls"))
     # rows without a class would all meet under the null key
     salted = rest.withColumn("cls", F.coalesce("cls", F.concat(F.lit("-"), F.coalesce(F.col("doc_id"), F.monotonically_increasing_id()).cast("string")).cast("binary")))
