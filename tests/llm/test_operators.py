@@ -238,6 +238,71 @@ def test_quality_model_finds_junk(spark):
     assert classify(docs(spark, rows), labels.where("quality = 5")).where("kept").count() == len(rows)
 
 
+def test_quality_model_reads_words_of_any_script(spark):
+    rng = np.random.default_rng(11)
+    alphabets = {"ru": "абвгдежзиклмнопрст", "zh": "的一是不了人我在有他这中大来上国"}
+    rows, bad = [], set()
+    for lang, letters in alphabets.items():
+        phrase = ["".join(rng.choice(list(letters), 5)) for _ in range(40)]
+        phrase = [[phrase[k] for k in rng.integers(0, 40, 8)] for _ in range(12)]
+        at = len(rows)
+        prose = lambda: [w for k in rng.integers(0, 12, 12) for w in phrase[k]]
+        rows += [(at + i, " ".join(prose()), lang) for i in range(100)]
+        for i in range(10):
+            w = prose()
+            gibberish = ["".join(rng.choice(list(letters), len(x))) for x in w]
+            rows += [(at + 100 + 2 * i, " ".join(rng.permutation(w)), lang), (at + 101 + 2 * i, " ".join(gibberish), lang)]
+        bad |= set(range(at + 100, at + 120))
+    labels = spark.createDataFrame([(i, 1, 0) for i, _, _ in rows if i not in bad and i % 2 == 0], "doc_id long, quality int, toxic int")
+    got = classify(docs(spark, rows), labels).collect()
+    assert {r.doc_id for r in got if r.kept} == {i for i, _, _ in rows} - bad
+
+
+def test_quality_scores_match_a_direct_model(spark):
+    from netlens.llm import quality_model as q
+
+    rng = np.random.default_rng(12)
+    rows = [(i, " ".join(rng.choice(list("abcde"), 30)), "en") for i in range(30)]
+    d = docs(spark, rows)
+    weights, base = q.train(d, pooled=False)
+    w, lowest = {r.key: (r.d, r.b) for r in weights.collect()}, {r.model: r.base for r in base.collect()}
+    start = ["<s>"] * (q.ORDER - 1)
+    halves = {r.doc_id: r.f for r in d.select("doc_id", q._fold(d.text).alias("f")).collect()}
+    for f in (0, 1):
+        own = [start + t.split() + ["</s>"] for i, t, _ in rows if halves[i] == f]
+        seen = {n: {} for n in range(1, q.ORDER + 1)}
+        for t in own:
+            for i in range(q.ORDER - 1, len(t)):
+                g = tuple(t[i - q.ORDER + 1 : i + 1])
+                seen[q.ORDER][g] = seen[q.ORDER].get(g, 0) + 1
+        for n in range(q.ORDER - 1, 0, -1):
+            for g in seen[n + 1]:
+                seen[n][g[1:]] = seen[n].get(g[1:], 0) + 1
+        cuts = {}
+        for n, c in seen.items():
+            n1, n2, n3, n4 = (list(c.values()).count(k) for k in (1, 2, 3, 4))
+            y = n1 / (n1 + 2 * n2) if n1 + 2 * n2 else 0.5
+            cuts[n] = [max(0.01, max(0.0, min(float(k), k - (k + 1) * y * (b / a if a else 0.0)))) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+
+        def p(g):
+            if not g:
+                return 1 / (len(seen[1]) + 1)
+            n, c = len(g), seen[len(g)]
+            same = [v for k, v in c.items() if k[:-1] == g[:-1]]
+            if not same:
+                return p(g[1:])
+            cut = lambda v: cuts[n][min(v, 3) - 1]
+            return ((c[g] - cut(c[g]) if g in c else 0) + sum(map(cut, same)) * p(g[1:])) / sum(same)
+
+        got = {r.doc_id: r.bits for r in q.surprise(d, (weights, base)).collect()}
+        for i, t, _ in rows:
+            if halves[i] != f:
+                t = start + t.split() + ["</s>"]
+                want = np.mean([-np.log2(p(tuple(t[k - q.ORDER + 1 : k + 1]))) for k in range(q.ORDER - 1, len(t))])
+                assert abs(got[i] - want) < 1e-6
+    assert len(w) > 500 and set(lowest) == {"en\u00010", "en\u00011"}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
