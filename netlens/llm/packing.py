@@ -16,6 +16,8 @@ from netlens.llm.common import in_groups, stash
 
 #: A full stop or comma after a lower-case letter and before a blank is a token of its own anyway.
 _TAIL = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|$)")
+#: Letters that normalizing maps to one letter each, whatever stands beside them.
+_PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 
 
 class WordTokens(dict):
@@ -56,8 +58,9 @@ class WordTokens(dict):
     def settle(self) -> None:
         new = [w.decode() for w in self.new]
         self.new.clear()
-        plain = np.fromiter((w.isalpha() for w in new), bool, len(new))
-        # words of letters alone end with an end-of-word id, so many are encoded as one text
+        # words of Latin-1 letters end with their only end-of-word id, so many are encoded as one text;
+        # normalizing turns some other letters into a letter and a mark, where a word is cut
+        plain = np.fromiter((_PLAIN.fullmatch(w) is not None for w in new), bool, len(new))
         letters = [w for w, k in zip(new, plain) if k]
         joined = self.encode([" ".join(letters[i : i + 50]) for i in range(0, len(letters), 50)])
         a = np.fromiter((i for e in joined for i in e), np.uint32)

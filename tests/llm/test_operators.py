@@ -162,6 +162,18 @@ def test_packing_round_trip(spark):
     assert sum(len(r["ids"]) // 4 for r in sequences(packed).collect()) == sum(r["length"] for r in rows)
 
 
+def test_packing_of_letters_that_normalize_to_marks(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(TOKENIZER)
+    latin = [chr(i) for i in range(0xC0, 0x100) if chr(i).isalpha()]
+    texts = {0: " ".join(f"{a}{b} x{a}{b}y" for a in latin for b in latin[::7]), 1: "İstanbul plain words", 2: "\u09dfab \u0958 word", 3: "straße ça Москва 東京 plain"}
+    rows = pack(docs(spark, list(texts.items())), TOKENIZER, with_ids=True).collect()
+    for i, text in texts.items():
+        ids = np.array(t.encode(text, add_special_tokens=False).ids + [1], "<u4")
+        assert b"".join(bytes(r["ids"]) for r in sorted(rows, key=lambda r: r.piece) if r.doc_id == i) == ids.tobytes()
+
+
 def test_sum_of_squares_and_groups(spark):
     rng = np.random.default_rng(6)
     sizes = rng.integers(1, 60, 3000)
