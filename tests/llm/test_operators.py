@@ -131,6 +131,28 @@ def test_random_tokens_are_found_and_names_are_not(spark):
     assert sum(got[i] for i in range(20)) >= 17 and sum(got[100 + i] for i in range(20)) == 0
 
 
+def test_random_pieces_inside_longer_runs_are_found(spark):
+    rng = np.random.default_rng(13)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+    ways = ["AWS_SECRET_ACCESS_KEY={}", "client_id={}", "sig={}&x=1", "https://host/a_b/{}", "x_y/{}=="]
+    rows, at = [], {}
+    for i in range(100):
+        alphabet = letters if i % 20 == 0 else [*letters, *"0123456789", *"+/"[: 2 * (i % 5 == 0)]]
+        key = "".join(rng.choice(alphabet, 46))
+        text = "é see " + ways[i % 5].format(key) + " now"
+        rows.append((i, text))
+        at[i] = (text.index(key), text.index(key) + len(key))
+    rows += [(200 + i, f"https://host/the_states/internationalization{i}/settlement_of_the_counterrevolutionaries=yes") for i in range(20)]
+    got = {r.doc_id: r for r in secret_scan(docs(spark, rows)).collect()}
+    found = 0
+    for i, (a, b) in at.items():
+        spans = [tuple(map(int, s.split(":")[1:])) for s in got[i].spans.split(",") if s.startswith("random")]
+        assert got[i].n_random == len(spans) and all(y <= p for (_, y), (p, _) in zip(spans, spans[1:]))
+        found += any(x <= a and b <= y for x, y in spans)
+    assert found >= 80 and any(got[i].n_random for i in range(0, 100, 20))
+    assert sum(got[200 + i].n_random for i in range(20)) == 0
+
+
 def test_mix_meets_targets_and_repeats(spark):
     rng = np.random.default_rng(5)
     rows = [(i, "w " * int(rng.integers(0, 40)), "en", s) for i, s in enumerate(rng.choice(["a", "b", "c", None], 400, p=[0.1, 0.3, 0.3, 0.3]))]
