@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from netlens.llm import sql
+from netlens.llm.divergence import source_divergence
 from netlens.llm.embedding_dedup import near_duplicate_vectors
 from netlens.llm.lang_id import identify
 from netlens.llm.licenses import license_scan
@@ -90,3 +91,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_license_scan")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
+
+
+@query("op13_source_divergence", sql.SOURCE_DIVERGENCE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))

@@ -152,3 +152,33 @@ WITH RECURSIVE p AS (
 )
 SELECT page_id, host, path, rule, coalesce(say, spread, 'allow') AS verdict FROM node LEFT JOIN own USING (page_id) LEFT JOIN spread USING (node)
 """
+
+SOURCE_DIVERGENCE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+), tok AS (SELECT r, lang, source, unnest(t) AS item FROM d
+), kept AS (SELECT lang, item FROM tok GROUP BY 1, 2 HAVING count(DISTINCT r) >= 3
+), v AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY 1
+), grp AS (SELECT DISTINCT lang, source FROM d
+), n AS (SELECT lang, source, item, count(*)::HUGEINT AS n FROM tok JOIN kept USING (lang, item) GROUP BY 1, 2, 3
+), total AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM n GROUP BY 1, 2
+), g AS (SELECT lang, source, coalesce(total, 0)::HUGEINT AS total, v FROM grp JOIN v USING (lang) LEFT JOIN total USING (lang, source)
+), p AS (
+  SELECT lang, source, item, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 1)) // (total + v) AS p
+  FROM g JOIN kept USING (lang) LEFT JOIN n USING (lang, source, item)
+), q AS (
+  SELECT lang, item, 1 + (1000000000::HUGEINT * (sum(n) + 1)) // (any_value(lt.total) + any_value(v)) AS q
+  FROM n JOIN (SELECT lang, sum(total)::HUGEINT AS total FROM total GROUP BY 1) lt USING (lang) JOIN v USING (lang) GROUP BY 1, 2
+), term AS (
+  SELECT lang, source, 'term' AS part, item, (((p - q) * (p - q)) // q)::BIGINT AS value FROM p JOIN q USING (lang, item) WHERE n > 0 AND p > q
+), pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p)::BIGINT AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.item = b.item AND a.source <> b.source GROUP BY 1, 2, 4
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+)
+SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INT AS rank
+FROM (SELECT * FROM term UNION ALL SELECT * FROM pairs) QUALIFY part = 'pair' OR rank <= 200
+"""
