@@ -50,6 +50,14 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(f"({WORD})"), 1), F.array().cast("array<string>"))
 
 
+class Places(dict):
+    """word -> its place among the words met so far."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 def in_groups(df: DataFrame, keys: Sequence[str], handle: Callable[[pa.Table], Sequence[Sequence]], schema: pa.Schema, ddl: str) -> DataFrame:
     """``handle`` on the rows of each key, a table of whole-number keys with groups of bounded size.
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from netlens.llm.common import discard, stash
+from netlens.llm.common import Places, discard, stash
 
 SCALE = 1_000_000_000
 #: Bytes of terms (ASCII letters in lower case, all bytes of other characters); the rest are blanks.
@@ -30,7 +30,7 @@ class _Block:
     """Counts of the terms of some texts: arrays by (group, term), strings once a term."""
 
     def __init__(self, bits: int):
-        self.bits, self.places = bits, {}
+        self.bits, self.places = bits, Places()
         self.groups: dict[tuple[int, int], int] = {}
         self.key, self.n, self.docs = (np.zeros(0, np.int64) for _ in range(3))
         self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -40,7 +40,7 @@ class _Block:
         terms = [t.translate(_BYTES).split() for t in texts]
         size = np.fromiter(map(len, terms), np.int64, len(terms))
         places = self.places
-        flat = np.fromiter((places.setdefault(w, len(places)) for ws in terms for w in ws), np.int64, int(size.sum()))
+        flat = np.fromiter(map(places.__getitem__, chain.from_iterable(terms)), np.int64, int(size.sum()))
         one, n = np.unique(np.repeat(np.arange(len(terms)) << 32, size) | flat, return_counts=True)
         group = np.fromiter((self.groups.setdefault(g, len(self.groups)) for g in zip(lids, gids)), np.int64, len(gids))
         self.new.append(((group[one >> 32] << 32) | (one & 0xFFFFFFFF), n, np.ones(len(one), np.int64)))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from netlens.llm import sql
+from netlens.llm import decontamination, sql
 from netlens.llm.divergence import source_divergence
 from netlens.llm.embedding_dedup import near_duplicate_vectors
 from netlens.llm.lang_id import identify
@@ -96,3 +96,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_source_divergence", sql.SOURCE_DIVERGENCE)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
+
+
+@query("op12_decontamination", sql.DECONTAMINATION)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.digest(found)
