@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from netlens.llm import decontamination, sql
+from netlens.llm.conversations import repaired_after_damage
 from netlens.llm.divergence import source_divergence
 from netlens.llm.embedding_dedup import near_duplicate_vectors
 from netlens.llm.lang_id import identify
@@ -102,3 +103,8 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontamination.digest(found)
+
+
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_after_damage(table(spark, sf_dir, "conversations"))
