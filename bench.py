@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from netlens.session import local_session
 
 HEADLINE = [
-    "flagship_top_entities", "D01_dedup_mirror", "D07_attribute", "F05_unique_dst_ip_ratio_30s", "F22_http_method_entropy_60s", "F33_counts", "F35_l2_only_rows",
+    "flagship_top_entities", "D01_dedup_mirror", "D07_attribute", "F05_unique_dst_ip_ratio_30s", "F22_http_method_entropy_60s", "F33_counts", "F35_l2_only_rows", "F37_live_horizon_rows",
     "R03_dns_view", "R05_http_view", "R12_all_rules", "N03_scan_triggers", "A08_apply_actions", "A17_coverage", "B05_audit", "B09_duplicate_vectors",
     "L02_sanitize", "L05_psi", "M04_score_iforest", "M08_lower_tail", "X18_ranking_metrics", "E06_seven_configs", "E16_token_envelope", "Q02_measure_drops", "S03_decode_packets",
 ]

@@ -12,9 +12,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from netlens.functions.columns import TCP, ceil_bucket, clamped_ratio, flow_key, in_scope, safe_ratio
-from netlens.operators.core import SECOND, dense_grid, hop, materialize
-from netlens.operators.prep import ORDER, flow_owner, in_native_vlan, mac_transitions, native_vlan, packet_flags
+from netlens.functions.columns import ACK, ICMP, RST, SYN, TCP, ceil_bucket, clamped_ratio, flow_key, has_flag, in_scope, safe_ratio
+from netlens.operators.core import SECOND, asof, dense_grid, hop, materialize, previous
+from netlens.operators.prep import ORDER, flow_owner, in_native_vlan, mac_transitions, native_vlan
 
 # Feature names in contract order, with the measures they need.
 PACKET_FEATURES = (
@@ -265,63 +265,97 @@ def features(
     return rows.select(*keys, *[exprs[c].alias(c) for c in wanted])
 
 
+# --- live rows ------------------------------------------------------------------------
+
+_SUMS = ("n", "bytes", "large", "icmp", "tcp", "ttl", "frag", "rst", "data", "retr", "syns", "synacks")
+
+
+def horizon_parts(packets: DataFrame, step_us: int, horizon_steps: int) -> tuple[DataFrame, DataFrame]:
+    """What live rows need of the packets, whatever the anchor: sums and firsts per (flow, bucket).
+
+    Sums are kept by sender, as the direction depends on the owner. ``retr`` counts data segments whose
+    (direction, sequence) was used before in the horizon of the bucket's own anchor: all of a bucket if an
+    earlier bucket of the horizon has the sequence, else all but the first.
+    """
+    flags, tcp = F.col("tcp_flags"), F.col("protocol") == TCP
+    syn, ack = has_flag(flags, SYN), has_flag(flags, ACK)
+    data, ln = tcp & (F.col("tcp_payload_length") > 0), F.col("ip_length").cast("long")
+    p = packets.withColumn("flow", flow_key()).withColumn("bucket", ceil_bucket(F.col("ts_us"), step_us))
+    side = ["flow", "bucket", "src_ip", "protocol"]
+    sums = materialize(p.groupBy(*side).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(ln).alias("bytes"), _n(F.col("ip_length").between(500, 1500)).alias("large"),
+        _n(F.col("protocol") == ICMP).alias("icmp"), _n(tcp).alias("tcp"), F.sum(F.col("ttl").cast("long")).alias("ttl"),
+        _n(F.col("fragmented")).alias("frag"), _n(tcp & has_flag(flags, RST)).alias("rst"), _n(data).alias("data"),
+        _n(tcp & syn & ~ack).alias("syns"), _n(tcp & syn & ack).alias("synacks"), F.max("ts_us").alias("last_us"),
+        F.min_by(F.struct(flow_owner().alias("owner"), F.struct(*ORDER).alias("at")), F.struct(*ORDER)).alias("first"),
+    ))
+    used = ["flow", "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "tcp_seq"]
+    segments = p.where(data).groupBy(*used, "bucket").agg(F.count(F.lit(1)).alias("m"))
+    segments = previous(materialize(segments), used, ["bucket"], {"bucket": "before"}, "bucket", 64 * horizon_steps)
+    fresh = F.when(F.col("before") > F.col("bucket") - horizon_steps, 0).otherwise(1)
+    retr = segments.groupBy(*side).agg(F.sum(F.col("m") - fresh).alias("retr"))
+    firsts = sums.groupBy("flow", "bucket").agg(F.min_by("first.owner", "first.at").alias("o"))
+    zero = F.lit(0).cast("long")
+    sums = sums.drop("first").join(retr, side, "left").withColumn("retr", F.coalesce("retr", zero))
+    return sums, firsts
+
+
+def horizon_owners(firsts: DataFrame, horizon_steps: int) -> tuple[DataFrame, DataFrame]:
+    """(flow, anchor) -> owner for the anchors with a packet of the flow in their longest window; and the attempts.
+
+    Behind anchor A a flow begins with its first packet in the buckets after A - horizon: a forward as-of lookup. So the
+    first packet of a bucket is an attempt from the anchor on whose horizon no longer holds the flow's bucket before.
+    """
+    firsts = materialize(firsts)
+    wide = 64 * horizon_steps
+    asked = hop(firsts.select("flow", "bucket"), 6).select("flow", "anchor").distinct()
+    asked = asked.withColumn("from_bucket", F.col("anchor") - (horizon_steps - 1))
+    owners = asof(asked, firsts, ["flow"], "from_bucket", "bucket", {"o": "o"}, wide, forward=True)
+    before = previous(firsts, ["flow"], ["bucket"], {"bucket": "before"}, "bucket", wide)
+    least = F.greatest(F.lit(0).cast("long"), F.coalesce(F.col("before") + horizon_steps - F.col("bucket"), F.lit(0).cast("long")))
+    attempts = hop(before.withColumn("least", least).where("least < 3"), 3).where("off >= least")
+    return owners.select("flow", "anchor", "o.*"), attempts.select("anchor", "off", "o.*")
+
+
 def features_at_horizon(
     packets: DataFrame, app: DataFrame, scope: str, step_us: int, horizon_steps: int,
     columns: Sequence[str],
 ) -> DataFrame:
     """Live rows: the flow state behind anchor A only knows packets in (A - horizon, A].
 
-    Instead of recomputing each horizon, every packet is sent to the anchors of its
-    horizon; per (anchor, flow) the first packet fixes the owner, per (anchor, direction,
-    sequence) the first use fixes retransmissions. Both are map-side combined minima.
+    Packets are reduced to (flow, bucket, sender) before anything is sent to anchors; those rows go to the six
+    anchors of the longest window, where the owner of (flow, anchor) says to whom they belong.
     """
-    p = packets.withColumn("flow", flow_key()).withColumn("bucket", ceil_bucket(F.col("ts_us"), step_us))
-    p = hop(p, horizon_steps)
-    first = p.groupBy("anchor", "flow").agg(F.min_by(flow_owner(), F.struct(*ORDER)).alias("o"))
-    x = p.join(first.where(in_scope(F.col("o.entity_ip"), scope)), ["anchor", "flow"]).select(
-        *p.columns, "o.entity_ip", "o.peer_ip", "o.target_port",
-        ((F.col("ts_us") == F.col("o.t0")) & (F.col("arrival") == F.col("o.a0"))).alias("flow_attempt"),
-        (F.col("ts_us") - F.col("o.t0")).alias("flow_duration_us"),
-    )
-    direction = ["anchor", "src_ip", "src_port", "dst_ip", "dst_port", "tcp_seq"]
-    data = (F.col("protocol") == TCP) & (F.col("tcp_payload_length") > 0)
-    seen = x.where(data).groupBy(*direction).agg(F.min(F.struct(*ORDER)).alias("seen"))
-    x = x.withColumn("data_segment", data).join(seen.withColumn("data_segment", F.lit(True)), [*direction, "data_segment"], "left")
-    again = F.col("data_segment") & (F.struct(*[F.col(c) for c in ORDER]) > F.col("seen"))
-    x = packet_flags(x.withColumn("retransmission", F.coalesce(again, F.lit(False))).drop("seen"))
-    # The anchor is already fixed, so each window is a filter on the offset.
-    x = x.where(F.col("off") < 6)
+    if horizon_steps < 6:
+        raise ValueError("a horizon is at least as long as the longest window")
+    sums, firsts = horizon_parts(packets, step_us, horizon_steps)
+    return _horizon_rows(sums, firsts, app.withColumn("bucket", ceil_bucket(F.col("ts_us"), step_us)), scope, step_us, horizon_steps, columns)
+
+
+def _horizon_rows(sums: DataFrame, firsts: DataFrame, app: DataFrame, scope: str, step_us: int, horizon_steps: int, columns: Sequence[str]) -> DataFrame:
+    owners, attempts = horizon_owners(firsts, horizon_steps)
+    x = hop(sums, 6).join(owners.where(in_scope(F.col("entity_ip"), scope)), ["flow", "anchor"])
+    x = x.withColumn("outbound", F.col("src_ip") == F.col("entity_ip"))
+    att = attempts.where(in_scope(F.col("entity_ip"), scope))
     keys = ["entity_ip", "anchor"]
-    one, three = F.col("off") == 0, F.col("off") < 3
-    tcp = F.col("protocol") == 6
-    ln = F.col("ip_length").cast("long")
-    zero = lambda cond, v: F.sum(F.when(cond, v).otherwise(0))
+    one, three, ported = F.col("off") == 0, F.col("off") < 3, F.col("target_port") > 0
+    total = lambda cond, c: F.sum(F.when(cond, F.col(c)).otherwise(0))
     base = x.groupBy(*keys).agg(
-        _n(one).alias("n_1"), zero(one, ln).alias("bytes_1"), _n(one & F.col("ip_length").between(500, 1500)).alias("large_1"),
-        _n(one & (F.col("protocol") == 1)).alias("icmp_1"), _n(one & F.col("flow_attempt")).alias("att_1"),
-        _n(one & F.col("syn")).alias("syn_1"), _n(one & F.col("syn_ack")).alias("synack_1"), _n(one & F.col("rst")).alias("rst_1"),
-        _n(one & tcp).alias("tcp_1"), zero(one, F.col("ttl").cast("long")).alias("ttl_1"), _n(one & F.col("fragmented")).alias("frag_1"),
-        _n(one & F.col("retransmission")).alias("retr_1"), _n(one & F.col("data_segment")).alias("data_1"),
-        _n(three).alias("n_3"), zero(three, ln).alias("bytes_3"), _n(three & F.col("flow_attempt")).alias("att_3"),
-        _n(three & F.col("flow_attempt") & (F.col("target_port") > 0)).alias("attp_3"),
-        zero(three & F.col("outbound"), ln).alias("tx_3"),
+        *[total(one, c).alias(f"{c}_1") for c in _SUMS if c not in ("syns", "synacks")],
+        total(one & F.col("outbound"), "syns").alias("syn_1"), total(one & ~F.col("outbound"), "synacks").alias("synack_1"),
+        total(three, "n").alias("n_3"), total(three, "bytes").alias("bytes_3"), total(three & F.col("outbound"), "bytes").alias("tx_3"),
     )
-    kinds = F.array_compact(F.array(
-        F.when(F.col("flow_attempt"), F.struct(F.lit("peer").alias("kind"), F.col("peer_ip").alias("val"))),
-        F.when(F.col("flow_attempt") & (F.col("target_port") > 0), F.struct(F.lit("port").alias("kind"), F.col("target_port").cast("string").alias("val"))),
-        F.struct(F.lit("proto").alias("kind"), F.col("protocol").cast("string").alias("val")),
-        F.struct(F.lit("flow").alias("kind"), F.concat_ws("|", "peer_ip", "target_port", "protocol").alias("val")),
-    ))
+    begun = att.groupBy(*keys).agg(_n(one).alias("att_1"), F.count(F.lit(1)).alias("att_3"), _n(ported).alias("attp_3"))
     kind = F.col("kind")
-    distinct = (
-        x.where(three).select(*keys, "flow_duration_us", F.inline(kinds))
-        .groupBy(*keys, "kind", "val").agg(F.max("flow_duration_us").alias("dur"))
-        .groupBy(*keys).agg(
-            _n(kind == "peer").alias("peers"), _n(kind == "port").alias("ports"), _n(kind == "proto").alias("protos"),
-            F.avg(F.when(kind == "flow", F.col("dur"))).alias("dur_us"),
-        )
+    text = lambda k, c: F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("val"))
+    none = F.lit(None).cast("long")
+    values = att.select(*keys, none.alias("dur"), F.inline(F.array_compact(F.array(text("peer", "peer_ip"), F.when(ported, text("port", "target_port"))))))
+    flows = F.struct(F.lit("flow").alias("kind"), F.concat_ws("|", "peer_ip", "target_port", "protocol").alias("val"))
+    values = values.unionByName(x.where(three).select(*keys, (F.col("last_us") - F.col("t0")).alias("dur"), F.inline(F.array(text("proto", "protocol"), flows))))
+    distinct = values.groupBy(*keys, "kind", "val").agg(F.max("dur").alias("dur")).groupBy(*keys).agg(
+        _n(kind == "peer").alias("peers"), _n(kind == "port").alias("ports"), _n(kind == "proto").alias("protos"),
+        F.avg(F.when(kind == "flow", F.col("dur"))).alias("dur_us"),
     )
-    app = app.withColumn("bucket", ceil_bucket(F.col("ts_us"), step_us))
-    rows = base.join(distinct, keys, "left").join(_app_part(app), keys, "full_outer").join(_app_distinct_part(app), keys, "left")
+    rows = base.join(begun, keys, "left").join(distinct, keys, "left").join(_app_part(app), keys, "full_outer").join(_app_distinct_part(app), keys, "left")
     exprs = _expressions(step_us / SECOND)
     return rows.select(*keys, *[exprs[c].alias(c) for c in columns])

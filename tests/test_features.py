@@ -101,17 +101,49 @@ def test_dense_rows_match_the_definitions(spark, no_app):
 
 def test_horizon_rows_equal_rows_computed_on_the_horizon_alone(spark, no_app):
     packets = ring(200, 9)
-    names = ["packet_count_10s", "flow_attempt_count_30s", "unique_dst_port_ratio_30s", "tcp_retransmission_ratio_10s"]
+    names = ["packet_count_10s", "flow_attempt_count_30s", "unique_dst_port_ratio_30s", "unique_dst_ip_ratio_30s", "protocol_diversity_30s", "syn_count_10s", "tx_rx_byte_ratio_30s",
+             "tcp_retransmission_ratio_10s", "flow_duration_mean_30s", "rst_ratio_10s", "ttl_mean_10s"]
     df = spark.createDataFrame(packets, SCHEMA)
     live = {(r["entity_ip"], r["anchor"]): r for r in FT.features_at_horizon(df, no_app, "10.10.0.0/16", 10 * SEC, 7, names).collect()}
-    anchors = sorted({a for _, a in live})
-    for a in anchors[2::4]:
+    last = max(a for _, a in live)
+    seen = set()
+    for a in range(min(a for _, a in live), last + 1):
         part = [p for p in packets if (a * 10 - 70) * SEC < p["ts_us"] <= a * 10 * SEC]
         obs = attributed(part)
         for e in {o["entity"] for o in obs if o["ts_us"] > (a * 10 - 60) * SEC}:
+            seen.add((e, a))
             mine = [o for o in obs if o["entity"] == e]
-            assert live[e, a]["packet_count_10s"] == sum(o["ts_us"] > (a * 10 - 10) * SEC for o in mine)
-            assert live[e, a]["flow_attempt_count_30s"] == sum(o["new"] and o["ts_us"] > (a * 10 - 30) * SEC for o in mine)
+            w = lambda s: [o for o in mine if o["ts_us"] > (a * 10 - s) * SEC]  # noqa: B023, E731
+            r = lambda x, y: x / y if y else 0.0
+            w10, w30 = w(10), w(30)
+            att, data, flows = [o for o in w30 if o["new"]], [o for o in w10 if o["protocol"] == 6 and o["tcp_payload_length"]], {}
+            for o in w30:
+                k = (o["peer"], o["port"], o["protocol"])
+                flows[k] = max(flows.get(k, 0), o["dur"])
+            want = dict(
+                packet_count_10s=len(w10), flow_attempt_count_30s=len(att), unique_dst_port_ratio_30s=r(len({o["port"] for o in att if o["port"]}), len([1 for o in att if o["port"]])),
+                unique_dst_ip_ratio_30s=r(len({o["peer"] for o in att}), len(att)), protocol_diversity_30s=r(len({o["protocol"] for o in w30}), len(w30)),
+                syn_count_10s=sum(o["out"] and o["protocol"] == 6 and o["tcp_flags"] & 18 == 2 for o in w10), tx_rx_byte_ratio_30s=r(sum(o["ip_length"] for o in w30 if o["out"]), sum(o["ip_length"] for o in w30)),
+                tcp_retransmission_ratio_10s=r(sum(o["rt"] for o in data), len(data)), flow_duration_mean_30s=r(sum(flows.values()), len(flows)) / SEC,
+                rst_ratio_10s=r(sum(o["protocol"] == 6 and o["tcp_flags"] & 4 > 0 for o in w10), sum(o["protocol"] == 6 for o in w10)), ttl_mean_10s=r(sum(o["ttl"] for o in w10), len(w10)),
+            )
+            for n, v in want.items():
+                assert math.isclose(live[e, a][n], v, abs_tol=1e-9), (e, a, n)
+    assert seen == set(live) - {k for k in live if k[1] > last}
+
+
+def test_owner_changes_when_the_first_packet_leaves_the_horizon(spark, no_app):
+    """A flow's reply owns it once the horizon has lost the SYN; each packet goes to six anchors at most."""
+    base = dict(ring(1)[0], protocol=6, src_ip="10.10.0.1", dst_ip="10.10.0.2", src_port=1000, dst_port=80, tcp_payload_length=0)
+    syn = dict(base, ts_us=BASE + 5 * SEC, arrival=0, tcp_flags=2)
+    late = [dict(base, ts_us=BASE + t * SEC, arrival=i + 1, src_ip="10.10.0.2", dst_ip="10.10.0.1", src_port=80, dst_port=1000, tcp_flags=16) for i, t in enumerate((35, 75, 115))]
+    rows = FT.features_at_horizon(spark.createDataFrame([syn, *late], SCHEMA), no_app, "10.10.0.0/16", 10 * SEC, 7, ["packet_count_10s", "flow_attempt_count_30s"]).collect()
+    first = BASE // (10 * SEC) + 1
+    got = {(r["entity_ip"], r["anchor"] - first): (r["packet_count_10s"], r["flow_attempt_count_30s"]) for r in rows}
+    assert got["10.10.0.1", 3] == (1, 0) and ("10.10.0.2", 3) not in got  # the SYN is in the horizon
+    assert got["10.10.0.2", 7] == (1, 0) and ("10.10.0.1", 7) not in got  # now the packet of 35 s is the first
+    assert got["10.10.0.2", 11] == (1, 0) and len(rows) == 17
+    assert got["10.10.0.2", 7 + 3] == (0, 0)
 
 
 def test_window_is_open_left_closed_right_and_grid_guard(spark, no_app):
