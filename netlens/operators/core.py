@@ -47,6 +47,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, df: DataFrame) -> None:
+    """Remove a materialized table that nothing reads any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 # --- hopping windows -------------------------------------------------------------
 
 def hop(df: DataFrame, buckets: int, bucket: str = "bucket", anchor: str = "anchor") -> DataFrame:

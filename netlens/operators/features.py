@@ -267,7 +267,8 @@ def features(
 
 # --- live rows ------------------------------------------------------------------------
 
-_SUMS = ("n", "bytes", "large", "icmp", "tcp", "ttl", "frag", "rst", "data", "retr", "syns", "synacks")
+#: What is summed of a flow's packets in a bucket.
+LIVE_SUMS = ("n", "bytes", "large", "icmp", "tcp", "ttl", "frag", "rst", "data", "retr", "syns", "synacks")
 
 
 def horizon_parts(packets: DataFrame, step_us: int, horizon_steps: int) -> tuple[DataFrame, DataFrame]:
@@ -329,19 +330,20 @@ def features_at_horizon(
     if horizon_steps < 6:
         raise ValueError("a horizon is at least as long as the longest window")
     sums, firsts = horizon_parts(packets, step_us, horizon_steps)
-    return _horizon_rows(sums, firsts, app.withColumn("bucket", ceil_bucket(F.col("ts_us"), step_us)), scope, step_us, horizon_steps, columns)
-
-
-def _horizon_rows(sums: DataFrame, firsts: DataFrame, app: DataFrame, scope: str, step_us: int, horizon_steps: int, columns: Sequence[str]) -> DataFrame:
     owners, attempts = horizon_owners(firsts, horizon_steps)
     x = hop(sums, 6).join(owners.where(in_scope(F.col("entity_ip"), scope)), ["flow", "anchor"])
+    begun = attempts.where(in_scope(F.col("entity_ip"), scope))
+    return rows_of_anchors(x, begun, app.withColumn("bucket", ceil_bucket(F.col("ts_us"), step_us)), step_us, columns)
+
+
+def rows_of_anchors(x: DataFrame, att: DataFrame, app: DataFrame, step_us: int, columns: Sequence[str]) -> DataFrame:
+    """Live rows from owned sums per (anchor, offset, sender), the attempts per (anchor, offset) and events with their bucket."""
     x = x.withColumn("outbound", F.col("src_ip") == F.col("entity_ip"))
-    att = attempts.where(in_scope(F.col("entity_ip"), scope))
     keys = ["entity_ip", "anchor"]
     one, three, ported = F.col("off") == 0, F.col("off") < 3, F.col("target_port") > 0
     total = lambda cond, c: F.sum(F.when(cond, F.col(c)).otherwise(0))
     base = x.groupBy(*keys).agg(
-        *[total(one, c).alias(f"{c}_1") for c in _SUMS if c not in ("syns", "synacks")],
+        *[total(one, c).alias(f"{c}_1") for c in LIVE_SUMS if c not in ("syns", "synacks")],
         total(one & F.col("outbound"), "syns").alias("syn_1"), total(one & ~F.col("outbound"), "synacks").alias("synack_1"),
         total(three, "n").alias("n_3"), total(three, "bytes").alias("bytes_3"), total(three & F.col("outbound"), "bytes").alias("tx_3"),
     )

@@ -9,7 +9,7 @@ from netlens.plans import q_actions as QA, q_features as QF, q_scan as QS
 from netlens.plans.adapt import DAY_US as D, SCOPE, SQL_VIEWS, STEP_US as S, sql, table, view
 from netlens.plans.q_prep import H
 from netlens.plans.registry import ORACLES, add, r6
-from netlens.streaming import live as L
+from netlens.streaming import live as L, windows as W
 
 CHUNKS = 3
 
@@ -47,7 +47,7 @@ def streamed(s, d):
     app = table(s, d, "app")
     out, check = scratch_path(s), scratch_path(s)
     events = lambda lo, hi: app.where((F.col("ts_us") > lo) & (F.col("ts_us") <= hi))
-    L.stream_features(replay(s, table(s, d, "packets"), "ts_us"), events, out, check, SCOPE, S, QF.H, QF.LIVE).awaitTermination()
+    W.stream_features(replay(s, table(s, d, "packets"), "ts_us"), events, out, check, SCOPE, S, QF.H, QF.LIVE, shards=8).awaitTermination()
     return s.read.parquet(f"{out}/rows").drop("epoch")
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,9 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from netlens.operators.actions import DECAY_S, MAX_EXPIRY_S, NO_PAST, changes
-from netlens.operators.core import SECOND, drop_repeats, materialize
-from netlens.operators.features import features_at_horizon
+from netlens.operators.core import SECOND, drop_repeats, materialize, remove
 from netlens.operators.scan import failed_ports, failure_events, syn_attempts
+from netlens.streaming.marks import delete, mark, marked, numbers
 
 
 def closed_file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1, max_age: str | None = None) -> DataFrame:
@@ -22,90 +22,49 @@ def closed_file_stream(spark: SparkSession, path: str, schema, files_per_batch:
     return (r.option("maxFileAge", max_age) if max_age else r).parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
-def _progress(spark: SparkSession, out: str, epoch: int) -> int | None:
-    """Last mark written by an earlier epoch (a repeated epoch does not see its own)."""
-    path = f"{out}/progress"
-    if not _exists(spark, path):
-        return None
-    return spark.read.schema("epoch long, mark long").json(path).where(F.col("epoch") < epoch).agg(F.max("mark")).first()[0]
-
-
-def _mark(spark: SparkSession, out: str, epoch: int, mark: int) -> None:
-    spark.createDataFrame([(epoch, mark)], "epoch long, mark long").write.mode("overwrite").json(f"{out}/progress/batch={epoch}")
-
-
-def stream_features(
-    packets: DataFrame, events: Callable[[int, int], DataFrame], out: str, checkpoint: str, scope: str,
-    step_us: int, horizon_steps: int, columns: list[str], guard_us: int = 5_000,
-) -> StreamingQuery:
-    """Feature rows of each window once the packets have passed its end.
-
-    Packets drive time: a window is decided when the newest packet is ``guard_us`` past it,
-    however quiet the events are. Its rows come from the batch operator over the window's
-    own horizon. A decided window is never computed again, later packets only reach later
-    windows. Every epoch writes folders of its own and overwrites them when it is repeated.
-    """
-
-    def step(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{out}/packets/epoch={epoch}")
-        seen = spark.read.parquet(f"{out}/packets").where(F.col("epoch") <= epoch).drop("epoch")
-        newest, oldest = seen.agg(F.max("ts_us"), F.min("ts_us")).first()
-        if newest is None:
-            return
-        done = _progress(spark, out, epoch)
-        first = done + 1 if done is not None else (oldest + step_us - 1) // step_us
-        last = (newest - guard_us) // step_us
-        if last < first:
-            return
-        lo, hi = (first - horizon_steps) * step_us, last * step_us
-        slice_ = seen.where((F.col("ts_us") > lo) & (F.col("ts_us") <= hi))
-        rows = features_at_horizon(slice_, events(lo, hi), scope, step_us, horizon_steps, columns)
-        rows.where(F.col("anchor").between(first, last)).write.mode("overwrite").parquet(f"{out}/rows/epoch={epoch}")
-        _mark(spark, out, epoch, last)
-
-    return packets.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def scan_stream(
     packets: DataFrame, out: str, checkpoint: str, scope: str, k: int, window_us: int, grace_us: int,
-    refractory_us: int, retention_us: int, gap_us: int, slice_us: int,
+    refractory_us: int, retention_us: int, gap_us: int, slice_us: int, trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Scan triggers as the packets arrive, the same as the batch rule gives on causal failures.
+    """Scan triggers as the packets arrive, the same as the batch rule gives on causal failures, by ``trigger``.
 
     An attempt is judged when its grace time has passed, so instants up to the newest packet
-    minus the grace are final. Triggers already published take part in the refractory rule.
+    minus the grace are final. Triggers already published take part in the refractory rule. Each batch
+    keeps the packets and triggers that later ones can need as one table of its own and removes those
+    before the last, so what a batch reads grows with the retention, not with the time the stream is up.
     """
 
     def step(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{out}/packets/epoch={epoch}")
-        seen = spark.read.parquet(f"{out}/packets").where(F.col("epoch") <= epoch).drop("epoch")
-        newest = seen.agg(F.max("ts_us")).first()[0]
-        if newest is None:
-            return
-        done = _progress(spark, out, epoch)
+        before = [n for n in numbers(spark, f"{out}/held") if n < epoch]
+        fresh = batch
+        if before:
+            fresh = fresh.unionByName(spark.read.parquet(f"{out}/held/epoch={before[-1]}/packets"))
+        done = marked(spark, out, epoch)
         done = -1 if done is None else done
-        upto = newest - grace_us
-        recent = seen.where(F.col("ts_us") > done - retention_us)
+        recent = materialize(fresh.where(F.col("ts_us") > done - retention_us))
+        newest = recent.agg(F.max("ts_us")).first()[0]
+        upto = done if newest is None else max(newest - grace_us, done)
         f = failure_events(syn_attempts(recent, scope, gap_us, slice_us), grace_us, causal=True).withColumn("window_us", F.lit(window_us).cast("long"))
         f = f.where(F.col("fail_us") <= upto)
         hot = failed_ports(f, ["src_ip", "dst_ip"], max(slice_us, 2 * window_us)).where((F.col("failed_ports") >= k) & (F.col("fail_us") > done) & (F.col("fail_us") <= upto))
         cols = ["src_ip", "dst_ip", "fail_us", "syn_us", "port", "attempt_id", "failed_ports"]
         hot = hot.select(*cols, F.lit(True).alias("new"))
-        if _exists(spark, f"{out}/triggers"):
-            old = spark.read.parquet(f"{out}/triggers").where((F.col("epoch") < epoch) & (F.col("fail_us") > done - refractory_us))
-            hot = hot.unionByName(old.select(*cols, F.lit(False).alias("new")))
+        if before:
+            old = spark.read.parquet(f"{out}/held/epoch={before[-1]}/triggers")
+            hot = hot.unionByName(old.where(F.col("fail_us") > done - refractory_us).select(*cols, F.lit(False).alias("new")))
         kept = drop_repeats(materialize(hot), ["src_ip", "dst_ip"], ["fail_us", "syn_us", "port", "attempt_id"], "fail_us", refractory_us, slice_us=64 * refractory_us)
+        kept = materialize(kept)
         kept.where("new").select(*cols).write.mode("overwrite").parquet(f"{out}/triggers/epoch={epoch}")
-        _mark(spark, out, epoch, upto)
+        recent.where(F.col("ts_us") > upto - retention_us).write.mode("overwrite").parquet(f"{out}/held/epoch={epoch}/packets")
+        kept.where(F.col("fail_us") > upto - refractory_us).select(*cols).write.mode("overwrite").parquet(f"{out}/held/epoch={epoch}/triggers")
+        mark(spark, out, epoch, upto)
+        for past in numbers(spark, f"{out}/held")[:-2]:  # a batch before the last is never repeated
+            delete(spark, f"{out}/held/epoch={past}")
+        remove(spark, recent)
+        remove(spark, kept)
 
-    return packets.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return packets.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def bucket_counts(packets: DataFrame, step_us: int, delay: str) -> DataFrame:
@@ -189,7 +148,12 @@ def tail_view(records: DataFrame, cursor: tuple[int, int], rows: int, ts: str =
     return records.where(after).orderBy(ts, tie).limit(rows)
 
 
+def to_table(df: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """An append stream into Parquet, by ``trigger`` (default: everything available, then stop)."""
+    w = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
+    return w.trigger(**(trigger or {"availableNow": True})).start()
+
+
 def run_to_table(df: DataFrame, out: str, checkpoint: str) -> None:
     """Run an append stream over everything available into Parquet."""
-    q = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
+    to_table(df, out, checkpoint).awaitTermination()
