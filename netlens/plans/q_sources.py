@@ -9,7 +9,7 @@ from netlens.operators.learn import content_digest
 from netlens.plans.adapt import DAY_US as D, SCOPE, STEP_US as S, sql, table, view
 from netlens.plans.q_prep import H
 from netlens.plans.registry import add
-from netlens.sources import events as EV, pcap as P, tables as TB
+from netlens.sources import capture as C, events as EV, pcap as P, tables as TB
 
 PER_FILE = 500
 
@@ -43,10 +43,10 @@ def frame_hex(p: DataFrame) -> Column:
     return F.concat(F.lit("0200000000bb0200000000"), hx(n % 4, 2), tags, F.when(is_arp, arp).otherwise(F.concat(F.lit("0800"), ip, body)))
 
 
-def captures(s, d, damaged: bool = False) -> DataFrame:
+def captures(s, d, damaged: bool = False, p: DataFrame | None = None, fno: Column | None = None) -> DataFrame:
     """Capture files of 500 packets each in all four formats; on request some lose their tail."""
-    p = table(s, d, "packets")
-    fno = F.floor(F.col("arrival") / PER_FILE).cast("long")
+    p = table(s, d, "packets") if p is None else p
+    fno = F.floor(F.col("arrival") / PER_FILE).cast("long") if fno is None else fno
     x = p.select(fno.alias("fno"), "arrival", "ts_us", frame_hex(p).alias("h"))
     big, nano = F.col("fno") % 2 == 1, F.col("fno") % 4 >= 2
     word = lambda v: F.when(big, hx(v, 8)).otherwise(swap(hx(v, 8), 4))
@@ -68,7 +68,22 @@ def frames(s, d):
 
 
 view("frm", "packets", f"SELECT *, 'f'||(arrival//{PER_FILE}) AS file, row_number() OVER (PARTITION BY arrival//{PER_FILE} ORDER BY arrival)-1 AS rec_no FROM packets")
-add("S01_pcap_frames", lambda s, d: frames(s, d).select("file", "rec_no", "ts_us", F.length("frame").cast("int").alias("size")), sql("frm", """SELECT file, rec_no, ts_us,
+SPLIT = 8192
+
+
+def read_in_ranges(s, files: DataFrame, split: int = SPLIT) -> DataFrame:
+    """The files written to the shared folder and read by ranges of bytes."""
+    folder = scratch_path(s)
+    C.write_files(files, folder)
+    return C.read_capture(s, folder, split)
+
+
+def s01(s, d):
+    x = C.numbered(read_in_ranges(s, captures(s, d)), SPLIT)
+    return x.select(F.element_at(F.split("file", "/"), -1).alias("file"), "rec_no", "ts_us", F.length("frame").cast("int").alias("size"))
+
+
+add("S01_pcap_frames", s01, sql("frm", """SELECT file, rec_no, ts_us,
  CAST(14+CASE WHEN arrival%5=0 THEN 0 WHEN arrival%7=0 THEN 8 ELSE 4 END+CASE WHEN arrival%13=0 THEN 28 WHEN protocol=6 THEN 40 ELSE 28 END AS INT) AS size FROM frm"""))
 add("S02_unreadable_files", lambda s, d: P.unreadable(P.frames_of(captures(s, d, True), "count")), sql("frm", """SELECT CASE WHEN n%6=5 THEN 'truncated frame' ELSE 'unsupported magic' END AS error, CAST(count(*) AS BIGINT) AS files
  FROM (SELECT DISTINCT CAST(substr(file,2) AS BIGINT) AS n FROM frm) WHERE n%6=5 OR n%9=4 GROUP BY 1"""))

@@ -124,8 +124,12 @@ PACKETS = ("file string, rec_no long, ts_us long, src_ip string, dst_ip string,
            "src_port int, dst_port int, tcp_flags int, tcp_seq long, tcp_payload_length int, icmp_type int, icmp_id int, vlan int, ip_id int")
 
 
-def decode_packets(frames: DataFrame) -> DataFrame:
-    """IPv4 headers of the frames: 14 packet columns, VLAN and IP id. Other frames are dropped."""
+def decode_packets(frames: DataFrame, place: str = "rec_no") -> DataFrame:
+    """IPv4 headers of the frames: 14 packet columns, VLAN and IP id. Other frames are dropped.
+
+    ``place`` is the column that orders frames of one instant: ``rec_no`` in a file, or ``arrival`` over all files.
+    """
+    columns = PACKETS.replace("rec_no", place)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
@@ -140,15 +144,15 @@ def decode_packets(frames: DataFrame) -> DataFrame:
             data = np.maximum(0, total - head - (b.u8(t + 12) >> 4) * 4)
             ints = [z(tcp | udp, b.u16(t)), z(tcp | udp, b.u16(t + 2)), z(tcp, b.u8(t + 13))]
             cols = [
-                rb.column("file"), rb.column("rec_no"), rb.column("ts_us"), pa.array(b.ip(at + 12), pa.string()), pa.array(b.ip(at + 16), pa.string()),
+                rb.column("file"), rb.column(place), rb.column("ts_us"), pa.array(b.ip(at + 12), pa.string()), pa.array(b.ip(at + 16), pa.string()),
                 pa.array(total, pa.int32()), pa.array(proto, pa.int32()), pa.array(b.u8(at + 8), pa.int32()), pa.array((frag & 0x2000 > 0) | (frag & 0x1FFF > 0)),
                 *[pa.array(v, pa.int32()) for v in ints], pa.array(z(tcp, b.u32(t + 4)), pa.int64()), pa.array(z(tcp, data), pa.int32()),
                 pa.array(z(icmp, b.u8(t), -1), pa.int32()), pa.array(z(icmp, b.u16(t + 4)), pa.int32()), pa.array(vlan, pa.int32()), pa.array(b.u16(at + 4), pa.int32()),
             ]
-            names = [f.split()[0] for f in PACKETS.split(", ")]
+            names = [f.split()[0] for f in columns.split(", ")]
             yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(ok))
 
-    return frames.where("frame is not null").select("file", "rec_no", "ts_us", "frame").mapInArrow(decode, PACKETS)
+    return frames.where("frame is not null").select("file", place, "ts_us", "frame").mapInArrow(decode, columns)
 
 
 def decode_packets_basic(frames: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 import struct
 
+import numpy as np
 import pytest
 
-from netlens.sources import events as EV, pcap as P, tables as TB
+from netlens.sources import capture as C, events as EV, pcap as P, tables as TB
+from netlens.streaming import live as L
 
 
 def capture(frames, order="<", nano=False, cut=0):
@@ -79,3 +81,65 @@ def test_header_contract(spark, tmp_path):
     assert TB.read_features_csv(spark, str(tmp_path / "x"), ["campaign_id"], ["a", "b"]).first()["b"] == 0.12345679
     with pytest.raises(ValueError, match="header differs"):
         TB.read_features_csv(spark, str(tmp_path / "x"), ["campaign_id"], ["b", "a"])
+
+
+def written(spark, tmp_path, **contents):
+    folder = tmp_path / "caps"
+    folder.mkdir()
+    for k, v in contents.items():
+        (folder / k).write_bytes(v)
+    return str(folder)
+
+
+def nested(n, rng):
+    """Frames of many lengths, some of which hold a whole capture as payload."""
+    out = []
+    for i in range(n):
+        f = tcp("10.0.0.1", "10.0.0.2", 40000 + i % 7, 80, 2, i) + rng.bytes(int(rng.choice([0, 0, 3, 200, 1400, 9000])))
+        if i % 9 == 0:
+            f += capture([(1_700_000_000_000_000 + k, f[:54]) for k in range(int(rng.integers(1, 40)))])[24 * int(i % 2) :]
+        out.append((1_700_000_000_000_000 + i // 3, f))
+    return out
+
+
+@pytest.mark.parametrize("order, nano", [("<", False), (">", True)])
+def test_ranges_of_bytes_give_the_same_frames(spark, tmp_path, order, nano):
+    rng = np.random.default_rng(2)
+    a, b = nested(260, rng), nested(70, rng)
+    path = written(spark, tmp_path, a=capture(a, order, nano), b=capture(b, order, nano), c=capture([], order, nano))
+    for split, longest in ((1 << 20, C.LONGEST), (5_000, 14_000), (40_000, 14_000)):
+        df = C.read_capture(spark, path, split, longest=longest)
+        if split == 5_000:
+            assert df.rdd.getNumPartitions() > 50
+        rows = C.numbered(df, split).orderBy("arrival").collect()
+        assert [(r.file[-1], r.rec_no, r.ts_us, bytes(r.frame)) for r in rows] == [(n, i, t, f) for n, x in (("a", a), ("b", b)) for i, (t, f) in enumerate(x)]
+        assert C.torn_ranges(df, split).count() == 0 and len({r.arrival for r in rows}) == len(rows)
+
+
+def test_damaged_files_by_ranges(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    f = nested(120, rng)
+    path = written(spark, tmp_path, cut=capture(f, cut=5), good=capture(f), head=capture(f) + b"\x01" * 7, bad=b"nonsense" * 500, empty=b"")
+    for split, longest in ((1 << 20, C.LONGEST), (3_000, 14_000)):
+        df = C.read_capture(spark, path, split, "count", longest)
+        assert {r["file"].rsplit("/")[-1]: r["error"] for r in df.where("error is not null").collect()} == {"cut": "truncated frame", "head": "truncated record header", "bad": "unsupported magic", "empty": "unsupported magic"}
+        assert {r["file"].rsplit("/")[-1]: r["count"] for r in df.where("frame is not null").groupBy("file").count().collect()} == {"cut": 119, "good": 120, "head": 120}
+    with pytest.raises(Exception, match="truncated frame"):
+        C.read_capture(spark, path + "/cut", 3_000).collect()
+
+
+def test_stream_reads_closed_files_once(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    parts = [nested(40, rng) for _ in range(4)]
+    path = written(spark, tmp_path, f0=capture(parts[0]), f1=capture(parts[1]))
+    out, check = str(tmp_path / "out"), str(tmp_path / "check")
+
+    def run():
+        L.run_to_table(C.stream_captures(spark, path, 2_000), out, check)
+        return [bytes(r.frame) for r in spark.read.parquet(out).orderBy("arrival").collect()]
+
+    assert run() == [f for _, f in parts[0]]  # the newest file may still be written
+    for i in (2, 3):
+        (tmp_path / "caps" / f"f{i}").write_bytes(capture(parts[i]))
+    assert run() == [f for p in parts[:3] for _, f in p]
+    assert run() == [f for p in parts[:3] for _, f in p]
