@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from netlens.operators import features as FT, prep, rules as R
 from netlens.operators.core import scratch_path
 from netlens.operators.learn import content_digest
-from netlens.plans.adapt import DAY_US as D, SCOPE, STEP_US as S, sql, table, view
+from netlens.plans import q_features  # noqa: F401  (named subqueries)
+from netlens.plans.adapt import DAY_US as D, SCOPE, SQL_VIEWS, STEP_US as S, sql, table, view
 from netlens.plans.q_prep import H
-from netlens.plans.registry import add
+from netlens.plans.registry import add, r6
 from netlens.sources import capture as C, events as EV, pcap as P, tables as TB
 
 PER_FILE = 500
@@ -272,3 +276,44 @@ def s27(s, d):
 
 
 add("S27_content_digest", s27, sql("ds", "WITH g AS (SELECT CAST(count(*) AS BIGINT) AS n, bit_xor(CAST('0x'||substr(sha256(row_id||'|'||label),1,15) AS BIGINT)) AS x FROM ds) SELECT n AS rows, x AS xor_digest, n AS rows_back, x AS digest_back FROM g"))
+
+
+# --- from capture files to rules ------------------------------------------------------------------
+
+# Packets of one hour share their instant and are dealt to seven files, so that time alone orders few of them
+# and record numbers repeat from file to file: only (time, file, record) tells which packet of a flow came first.
+FILES = 7
+CHAIN = ("packets", "flowed", "firsts", "owned", "obs", "stamps", "grid", "g3")
+
+
+def _in_files(text: str) -> str:
+    return re.sub(rf"\b({'|'.join(CHAIN)})\b(?!\.)", r"\1_cap", text)
+
+
+view("packets_cap", "packets", f"""SELECT ts_us - ts_us % {H} AS ts_us, (arrival % {FILES}) * 1000000000 + arrival AS arrival, src_ip, dst_ip, protocol, src_port, dst_port, ip_length, ttl, fragmented,
+ tcp_flags, tcp_seq, tcp_payload_length, icmp_type, CASE WHEN protocol=1 THEN icmp_id ELSE 0 END AS icmp_id FROM packets WHERE arrival % 13 <> 0""")
+for _name in CHAIN[1:]:
+    _needs, _text = SQL_VIEWS[_name]
+    view(f"{_name}_cap", _in_files(" ".join(_needs)), _in_files(_text))
+LOW = R.THRESHOLDS | {"port_scan": R.THRESHOLDS["port_scan"] | {
+    "min_flow_attempt_30s": 3, "min_unique_dst_port_ratio_30s": 0.6, "max_syn_completion_ratio_10s": 0.2, "min_flow_attempt_burst_30s": 4, "max_syn_completion_burst_10s": 0.5, "min_unique_dst_port_ratio_burst_30s": 0.9}}
+
+
+def capture_to_rules(s, d):
+    p = table(s, d, "packets").withColumn("ts_us", F.col("ts_us") - F.pmod("ts_us", F.lit(H)))
+    frames = read_in_ranges(s, captures(s, d, p=p, fno=F.pmod("arrival", F.lit(FILES)).cast("long")))
+    packets = P.decode_packets(frames, "arrival")
+    names = ["flow_attempt_count_30s", "unique_dst_port_ratio_30s", "syn_completion_ratio_10s", "tcp_retransmission_ratio_10s", "flow_duration_mean_30s"]
+    rows = FT.features(prep.attribute(packets, SCOPE), table(s, d, "app"), None, S, names)
+    top = R.top_rule(R.all_rules(rows, LOW))
+    return r6(top.select("entity_ip", "anchor", *names, F.col("top.rule").alias("rule"))).withColumn("flow_duration_mean_30s", F.floor(F.col("flow_duration_mean_30s") * 1000 + 0.2603).cast("long"))
+
+
+add("T05_capture_to_rules", capture_to_rules, sql("g3_cap", """
+WITH d AS (SELECT entity_ip, a, avg(m) AS m FROM (SELECT entity_ip, a, max(flow_duration_us) AS m FROM g3_cap WHERE ts_us IS NOT NULL GROUP BY entity_ip, a, peer_ip, target_port, protocol) GROUP BY 1, 2),
+f AS (SELECT entity_ip, a, count(*) FILTER (WHERE flow_attempt) AS att, count(DISTINCT target_port) FILTER (WHERE flow_attempt AND target_port > 0) AS ports, count(*) FILTER (WHERE flow_attempt AND target_port > 0) AS attp,
+  count(*) FILTER (WHERE here AND syn) AS syn, count(*) FILTER (WHERE here AND syn_ack) AS ack, count(*) FILTER (WHERE here AND retransmission) AS re, count(*) FILTER (WHERE here AND protocol=6 AND tcp_payload_length>0) AS seg FROM g3_cap GROUP BY 1, 2),
+r AS (SELECT *, CASE WHEN attp=0 THEN 0.0 ELSE ports/CAST(attp AS DOUBLE) END AS up, CASE WHEN syn=0 THEN 0.0 ELSE least(syn, ack)/CAST(syn AS DOUBLE) END AS sc, CASE WHEN seg=0 THEN 0.0 ELSE re/CAST(seg AS DOUBLE) END AS rr FROM f LEFT JOIN d USING (entity_ip, a))
+SELECT entity_ip, CAST(a AS BIGINT) AS anchor, CAST(att AS BIGINT) AS flow_attempt_count_30s, round(up,6) AS unique_dst_port_ratio_30s, round(sc,6) AS syn_completion_ratio_10s, round(rr,6) AS tcp_retransmission_ratio_10s,
+ CAST(floor(round(coalesce(m,0)/1000000,6)*1000 + 0.2603) AS BIGINT) AS flow_duration_mean_30s,
+ CASE WHEN (att >= 3 AND up >= 0.6 AND sc <= 0.2) OR (att >= 4 AND sc <= 0.5 AND up >= 0.9) THEN 'port_scan' END AS rule FROM r"""))
