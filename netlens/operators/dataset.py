@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
+from decimal import Decimal
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from netlens.functions.columns import idiv, in_scope, safe_ratio
-from netlens.operators.core import SECOND, previous, quantiles, to_long
+from netlens.operators.core import SECOND, materialize, previous, quantiles, to_long
 
 # Fixed value: the cyclic pattern of time blocks.
 PATTERN = ("train", "train", "validation", "train", "test")
@@ -257,19 +259,46 @@ def episode_weights(rows: DataFrame) -> DataFrame:
     return rows.join(n, "episode_id").withColumn("weight", 1.0 / F.col("_n")).drop("_n")
 
 
-def balance_lcm(rows: DataFrame, most_rows: int = 2**40) -> DataFrame:
-    """Repeat rows until every episode contributes the same number (the LCM of the sizes).
-
-    The distinct sizes are few; an expansion beyond ``most_rows`` is an error, not a sample.
+def _prime_powers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(p, power) of each prime of each size, by trial division."""
+    for b in batches:
+        out: list[tuple[int, int]] = []
+        for n in b.column(0).to_pylist():
+            p = 2
+            while n > 1:
+                if p * p > n:
+                    p = n
+                power = 1
+                while n % p == 0:
+                    n, power = n // p, power * p
+                if power > 1:
+                    out.append((p, power))
+                p += 1
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["p", "power"])
+
+
+def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(episode size, common multiple) -> how often a row of such an episode counts."""
+    kind = pa.decimal128(38, 0)
+    for b in batches:
+        sizes, common = b.column(0).to_pylist(), b.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([Decimal(int(c) // n) for n, c in zip(sizes, common)], kind)], names=["_n", "copies"])
+
+
+def balance_lcm(rows: DataFrame) -> DataFrame:
+    """Rows with ``copies``: how often each counts, so that every episode counts the same number (the LCM of the sizes).
+
+    The LCM has the largest power of each prime over the distinct sizes; it and the copies are exact decimals, and an LCM of
+    more than 38 digits is an error. Rows are not repeated: whoever needs them so expands ``copies``.
     """
     n = rows.groupBy("episode_id").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = [r[0] for r in n.select("_n").distinct().collect()]  # at most sqrt(2 * rows) values
-    common = math.lcm(*sizes) if sizes else 1
-    if common * n.count() > most_rows:
-        raise ValueError(f"balanced size {common} rows per episode exceeds the limit")
-    x = rows.join(n, "episode_id")
-    copies = F.sequence(F.lit(1).cast("long"), (F.lit(common) / F.col("_n")).cast("long"))
-    return x.withColumn("copy", F.explode(copies)).drop("_n")
+    sizes = materialize(n).select("_n").distinct()
+    powers = sizes.mapInArrow(_prime_powers, "p long, power long").groupBy("p").agg(F.max("power").alias("power"))
+    wide = "decimal(38,0)"
+    # an LCM in range has less than forty prime powers, whatever the number of episodes
+    common = powers.agg(F.aggregate(F.collect_list("power"), F.lit(1).cast(wide), lambda a, x: (a * x).cast(wide)).alias("common"))
+    copies = sizes.join(F.broadcast(common)).mapInArrow(_copies, f"_n long, copies {wide}")
+    return rows.join(n, "episode_id").join(copies, "_n").drop("_n")
 
 
 def duration_distribution(rows: DataFrame, value: str, cuts: list[float]) -> DataFrame:

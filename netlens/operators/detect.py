@@ -75,10 +75,12 @@ def fit_iforest(
     -ln(u)/weight, u a hash of (row, tree, seed), so the same seed gives the same forest
     whatever the partitioning. Only keys below a bound leave the scan; the bound is raised
     until every tree has its sample below it, so that it changes how much is sent and never
-    which rows are drawn, under any weights.
+    which rows are drawn, under any weights. Rows whose weight is null, zero, negative or not finite are never
+    drawn; a tree has min(sample, rows with a weight) rows, and without such rows there is no tree.
     """
     names = sorted({n for f in configs.values() for n in f})
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    rows = rows.where((w > 0) & (w < float("inf")))  # NaN is above all numbers
     n, mass = rows.agg(F.count(F.lit(1)), F.sum(w)).first()
     psi = min(sample, n)
     k = F.col(key).cast("string")
@@ -86,15 +88,16 @@ def fit_iforest(
 
     def below(bound: float) -> DataFrame:
         e = lambda t: -F.ln(_unit(F.col("k"), t, F.lit(seed))) / F.col("w")
-        drawn = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), e(t).alias("e"))), lambda d: d["e"] < bound)
+        drawn = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), e(t).alias("e"))), lambda d: d["e"] <= bound)
         return base.select("k", "x", F.explode(drawn).alias("d")).select("k", "x", "d.tree", "d.e")
 
-    bound = 3.0 * sample / mass if mass else 0.0
+    # the bound ends at infinity, which all keys reach
+    bound, more = max(3.0 * sample / mass, 1e-300) if mass else 1.0, 4.0
     while psi:
         trees_full = below(bound).groupBy("tree").count().where(F.col("count") >= psi).count()
         if trees_full == trees:
             break
-        bound *= 4
+        bound, more = bound * more, min(more * more, 1e300)
     x = below(bound)
     limit = max(1, math.ceil(math.log2(max(psi, 2))))
     columns = {c: [names.index(f) for f in fs] for c, fs in configs.items()}

@@ -143,7 +143,7 @@ add("B17_episode_weights", lambda s, d: r6(B.episode_weights(ds(s, d)).select("r
 def b18(s, d):
     """Conversations are episodes of a few turns."""
     x = table(s, d, "conversations").select(F.col("conv_id").alias("episode_id"), "turn")
-    return B.balance_lcm(x).groupBy("episode_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("copy") == 1).alias("turns"))
+    return B.balance_lcm(x).groupBy("episode_id").agg(F.sum("copies").cast("long").alias("rows"), F.count(F.lit(1)).alias("turns"))
 
 
 add("B18_balance_lcm", b18, """WITH n AS (SELECT conv_id AS e, count(*) AS n FROM conversations GROUP BY 1)

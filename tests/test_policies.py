@@ -179,3 +179,23 @@ def test_missing_counters_are_absent_not_zero(spark):
     assert state(base[:18] + base[22:])["state"] == "cobertura_insuficiente"
     assert state(base[:20] + [sample(i, 0, (i - 20) * 8) for i in range(20, 41)])["state"] == "cobertura_insuficiente"
     assert state(base[:25])["state"] == "desactualizada"
+
+
+def test_forest_draws_only_rows_with_a_weight(spark):
+    rows = [(i, float(i % 7), w) for i, w in enumerate([1.0, None, 0.0, -2.0, float("nan"), float("inf"), 1e-300, 5.0] * 12)]
+    df = spark.createDataFrame(rows, "id long, x double, w double")
+    for sample in (8, 256):
+        roots = M.fit_iforest(df, "id", {"c": ["x"]}, 5, sample, 1, "w").where("node = 0").collect()
+        assert len(roots) == 5 and {r["size"] for r in roots} == {min(sample, 36)}
+    assert M.fit_iforest(df.where("w = 0"), "id", {"c": ["x"]}, 5, 8, 1, "w").count() == 0
+
+
+def test_balanced_copies_are_exact(spark):
+    sizes = [1, 2, 3, 4, 6, 9, 32, 27, 25, 49, 11, 97, 30, 30]
+    df = spark.createDataFrame([(e, k) for e, n in enumerate(sizes) for k in range(n)], "episode_id int, k int")
+    got = B.balance_lcm(df).groupBy("episode_id").agg({"copies": "sum", "k": "count"}).collect()
+    common = math.lcm(*sizes)
+    assert {r["episode_id"]: (int(r["sum(copies)"]), r["count(k)"]) for r in got} == {e: (common, n) for e, n in enumerate(sizes)}
+    many = spark.createDataFrame([(e, k) for e in range(1, 130) for k in range(e)], "episode_id int, k int")
+    with pytest.raises(Exception, match="(?i)overflow|out.of.range|cannot be represented"):
+        B.balance_lcm(many).collect()
