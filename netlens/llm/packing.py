@@ -151,10 +151,10 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 _PLACED = pa.schema([("uid", pa.int64()), ("piece", pa.int32()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("length", pa.int64())])
 
 
-def _place(rows: DataFrame, capacity: int, group: int) -> tuple[DataFrame, int]:
-    """(uid, piece, length) -> their places; groups of about ``group`` rows are packed side by side."""
+def _place(rows: DataFrame, capacity: int, group: int, turn: int = 0) -> tuple[DataFrame, int]:
+    """(uid, piece, length) -> their places; groups of about ``group`` rows, others each turn, are packed side by side."""
     groups = -(-rows.count() // group)
-    dealt = rows.select("uid", "piece", "length", F.pmod(F.xxhash64("uid", "piece"), F.lit(max(groups, 1)).cast("long")).cast("int").alias("g"))
+    dealt = rows.select("uid", "piece", "length", F.pmod(F.xxhash64("uid", "piece", *[F.lit(turn)] * (turn > 0)), F.lit(max(groups, 1)).cast("long")).cast("int").alias("g"))
 
     def handle(t: pa.Table) -> list:
         # the order of rows in a group must not depend on the run
@@ -172,8 +172,8 @@ def pack(
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece, with ``ids`` on demand.
 
     Pieces are dealt to groups of bounded size by a hash and packed by ``sum_of_squares``. What a group leaves half
-    empty is packed again, as whole bins, with that of the other groups, until one group is left; so bins are lost to
-    grouping only within a group. A null or empty text is the end id alone; rows with equal or null ids are packed each
+    empty is packed again, as whole bins in other groups, until one group is left or a turn saves less than one bin in a
+    thousand; bins that fit with no other drop out on the way. A null or empty text is the end id alone; rows with equal or null ids are packed each
     for itself; an empty table gives an empty result; other columns are not read.
     """
     pieces = token_pieces(docs, tokenizer, doc_id, text, capacity, end)
@@ -188,8 +188,10 @@ def pack(
         least = bins.agg(F.min("length")).first()[0]
         # uid is the bin's number now
         loose = stash(bins.where(F.col("length") + least <= capacity).select(F.col("sequence_id").alias("uid"), F.lit(0).alias("piece"), "length"))
+        turn = 0
         while groups > 1:
-            again, groups = _place(loose, capacity, group)
+            turn += 1
+            again, groups = _place(loose, capacity, group, turn)
             again = stash(again)
             first = again.where("offset = 0").select("sequence_id", F.col("uid").alias("to"))
             step = again.join(first, "sequence_id").select("uid", "to", F.col("offset").alias("base"), "length")
@@ -198,7 +200,11 @@ def pack(
             else:
                 later = step.select(F.col("uid").alias("to"), F.col("to").alias("to2"), F.col("base").alias("base2"))
                 moved = stash(moved.join(later, "to").select("uid", F.col("to2").alias("to"), (F.col("base") + F.col("base2")).alias("base")))
-            loose = stash(step.groupBy("to").agg(F.sum("length").alias("length")).select(F.col("to").alias("uid"), F.lit(0).alias("piece"), "length"))
+            bins = stash(step.groupBy("to").agg(F.sum("length").alias("length")).select(F.col("to").alias("uid"), F.lit(0).alias("piece"), "length"))
+            before, (after, least) = again.count(), bins.agg(F.count(F.lit(1)), F.min("length")).first()
+            if before - after < max(before // 1000, 1):
+                break
+            loose = bins.where(F.col("length") + least <= capacity)
     if moved is not None:
         out = out.join(moved.withColumnRenamed("uid", "_bin"), F.col("sequence_id") == F.col("_bin"), "left")
         out = out.withColumn("sequence_id", F.coalesce("to", "sequence_id")).withColumn("offset", F.col("offset") + F.coalesce("base", F.lit(0)))
