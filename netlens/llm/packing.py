@@ -27,7 +27,7 @@ class WordTokens(dict):
     ``settle`` fills the tables for the words met since its last call. Emptied when it passes ``bound``.
     """
 
-    def __init__(self, path: str, bound: int = 400_000):
+    def __init__(self, path: str, bound: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.bound, self.tokenizer = bound, Tokenizer.from_file(path)
