@@ -72,7 +72,7 @@ def frames(s, d):
 
 
 view("frm", "packets", f"SELECT *, 'f'||(arrival//{PER_FILE}) AS file, row_number() OVER (PARTITION BY arrival//{PER_FILE} ORDER BY arrival)-1 AS rec_no FROM packets")
-SPLIT = 8192
+SPLIT = 16_384
 
 
 def read_in_ranges(s, files: DataFrame, split: int = SPLIT) -> DataFrame:
@@ -301,7 +301,7 @@ LOW = R.THRESHOLDS | {"port_scan": R.THRESHOLDS["port_scan"] | {
 
 def capture_to_rules(s, d):
     p = table(s, d, "packets").withColumn("ts_us", F.col("ts_us") - F.pmod("ts_us", F.lit(H)))
-    frames = read_in_ranges(s, captures(s, d, p=p, fno=F.pmod("arrival", F.lit(FILES)).cast("long")))
+    frames = read_in_ranges(s, captures(s, d, p=p, fno=F.pmod("arrival", F.lit(FILES)).cast("long")), 4 * SPLIT)
     packets = P.decode_packets(frames, "arrival")
     names = ["flow_attempt_count_30s", "unique_dst_port_ratio_30s", "syn_completion_ratio_10s", "tcp_retransmission_ratio_10s", "flow_duration_mean_30s"]
     rows = FT.features(prep.attribute(packets, SCOPE), table(s, d, "app"), None, S, names)
