@@ -257,6 +257,18 @@ SELECT src_ip, seconds, CAST(max_1s AS BIGINT) AS max_1s, total, round(max_mean_
 add("E15_http_peaks", lambda s, d: E.http_peaks(web(s, d), S), sql("web", f"""
 WITH h AS (SELECT *, unnest(generate_series((ts_us+{S}-1)//{S}, (ts_us+{S}-1)//{S}+5)) AS a FROM web), g AS (SELECT src_ip, a, count(*) AS n, count(*) FILTER (WHERE status IN (401,403)) AS b FROM h GROUP BY 1, 2)
 SELECT src_ip, CAST(n AS BIGINT) AS max_requests, CAST(b AS BIGINT) AS auth_failures, CAST(a AS BIGINT) AS anchor FROM (SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY n DESC, a) AS rn FROM g) WHERE rn=1"""))
+
+
+def web_episodes(s, d):
+    """All episodes as those of a source, some without an end."""
+    x = eps(s, d)
+    return x.select(F.col("entity_ip").alias("src_ip"), "episode_id", "t0_us", F.when(F.col("episode_id") % 6 > 0, F.col("t1_us")).alias("t1_us"))
+
+
+add("E15_http_peaks_by_episode", lambda s, d: E.episode_http_peaks(web(s, d), web_episodes(s, d), S), sql("web epx", f"""
+WITH g AS (SELECT src_ip, a*{S} AS w, count(*) AS n, count(*) FILTER (WHERE status IN (401,403)) AS b FROM (SELECT *, unnest(generate_series((ts_us+{S}-1)//{S}, (ts_us+{S}-1)//{S}+5)) AS a FROM web) GROUP BY 1, 2),
+e AS (SELECT entity_ip AS src_ip, episode_id, t0_us, CASE WHEN episode_id%6>0 THEN t1_us ELSE t0_us END AS t1 FROM epx)
+SELECT e.episode_id, e.src_ip, CAST(coalesce(max(n),0) AS BIGINT) AS max_requests, CAST(coalesce(max(b),0) AS BIGINT) AS max_auth_failures, min(w)-any_value(t0_us) AS first_after_us FROM e LEFT JOIN g ON g.src_ip=e.src_ip AND w > t0_us AND w <= t1+6*{S} GROUP BY 1, 2"""))
 RATES = [0.25, 1.0, 2.0]
 
 
@@ -295,23 +307,31 @@ SELECT src_ip, CAST(day AS BIGINT) AS day, CAST(udp AS BIGINT) AS udp, CAST(tcp
 
 # --- restrictions in time --------------------------------------------------------------------------------------
 
+AGENT = "concat(split_part(entity_ip, '.', 3), '/', cast(cast(split_part(entity_ip, '.', 4) AS int) {div} 2 AS {text}))"  # two clients share an agent
+SPARK_AGENT, SQL_AGENT = AGENT.format(div="div", text="string"), AGENT.format(div="//", text="varchar")
+
+
 def judged_eps(s, d):
     n = F.col("episode_id")
-    return episodes_of(s, d).withColumns({"u_us": F.lit(H), "expected": F.when(n % 7 > 0, F.when(n % 2 == 0, "BLOCK").otherwise("LIMIT"))})
+    seen = F.when(n % 3 == 0, F.col("t1_us") - n % 5 * H)
+    return episodes_of(s, d).withColumns({"agent": F.expr(SPARK_AGENT), "u_us": F.lit(H), "expected": F.when(n % 7 > 0, F.when(n % 2 == 0, "BLOCK").otherwise("LIMIT")), "seen_us": seen})
 
 
 def trace_of(s, d):
-    x = table(s, d, "dec").where("decision = 'ALERT'")
-    return x.select("entity_ip", F.col("logged_us").alias("applied_us"), (F.col("logged_us") - F.col("k").cast("long") * 60 * U).alias("received_us"),
-                    F.when(F.col("user_id") % 2 == 0, "BLOCK").otherwise("LIMIT").alias("action"), F.when(F.col("k") % 4 > 0, F.col("k") % 4 < 3).alias("confirmed"))
+    """Alerts are applications, permits and errors are other events of the agent."""
+    x = table(s, d, "dec")
+    alert = F.col("decision") == "ALERT"
+    return x.select("entity_ip", F.expr(SPARK_AGENT).alias("agent"), F.col("logged_us").alias("applied_us"), (F.col("logged_us") - F.col("k").cast("long") * 60 * U).alias("received_us"),
+                    F.when(alert, F.when(F.col("user_id") % 2 == 0, "BLOCK").otherwise("LIMIT")).alias("action"), F.when(F.col("k") % 8 > 0, F.col("k") % 8 < 7).alias("confirmed"),
+                    F.col("decision_id").alias("rule_id"), (F.col("logged_us") + D).alias("until_us"))
 
 
-view("je", "eps", f"SELECT *, CAST({H} AS BIGINT) AS u, CASE WHEN episode_id%7>0 THEN (CASE WHEN episode_id%2=0 THEN 'BLOCK' ELSE 'LIMIT' END) END AS expected FROM eps")
-view("tr", "dec", f"SELECT entity_ip, logged_us AS ap, logged_us-CAST(k AS BIGINT)*60*{U} AS rc, CASE WHEN user_id%2=0 THEN 'BLOCK' ELSE 'LIMIT' END AS action, CASE WHEN k%4>0 THEN k%4<3 END AS conf FROM dec WHERE decision='ALERT'")
-view("e2", "je tr", f"""SELECT e.*, x.sup AS applied_us, CASE WHEN expected IS NULL THEN 'no_aplica' WHEN viol>0 THEN 'fallo' WHEN coalesce(n,0)=0 THEN 'fallo_experimento' WHEN sup IS NULL THEN 'fallo' WHEN conf=false THEN 'fallo'
-  WHEN conf IS NULL AND sup+u < t1_us THEN 'indeterminado' WHEN sup+u < t1_us THEN 'cumple' WHEN inf-u >= t1_us THEN 'fallo' ELSE 'indeterminado' END AS e2 FROM je e LEFT JOIN
-  (SELECT episode_id, count(*) AS n, count(*) FILTER (WHERE action<>expected) AS viol, min(ap) FILTER (WHERE action=expected) AS sup, arg_min(rc, ap) FILTER (WHERE action=expected) AS inf, arg_min_null(conf, ap) FILTER (WHERE action=expected) AS conf
-   FROM je e JOIN tr ON tr.entity_ip=e.entity_ip AND ap BETWEEN t0_us-{2 * H} AND t1_us+{6 * H} GROUP BY 1) x USING (episode_id)""")
+view("je", "eps", f"SELECT *, {SQL_AGENT} AS agent, CAST({H} AS BIGINT) AS u, CASE WHEN episode_id%7>0 THEN (CASE WHEN episode_id%2=0 THEN 'BLOCK' ELSE 'LIMIT' END) END AS expected, CASE WHEN episode_id%3=0 THEN t1_us-episode_id%5*{H} ELSE t1_us END AS fin FROM eps")
+view("tr", "dec", f"SELECT entity_ip, {SQL_AGENT} AS agent, logged_us AS ap, logged_us-CAST(k AS BIGINT)*60*{U} AS rc, CASE WHEN decision='ALERT' THEN (CASE WHEN user_id%2=0 THEN 'BLOCK' ELSE 'LIMIT' END) END AS action, CASE WHEN k%8>0 THEN k%8<7 END AS conf, decision_id AS rule_id, event_type, k FROM dec")
+view("e2", "je tr", f"""SELECT e.*, CASE WHEN expected IS NOT NULL AND viol=0 THEN x.sup END AS applied_us, x.inf, x.rule_id, CASE WHEN expected IS NULL THEN 'no_aplica' WHEN viol>0 THEN 'fallo' WHEN coalesce(n,0)=0 THEN 'fallo_experimento' WHEN sup IS NULL THEN 'fallo' WHEN conf=false THEN 'fallo'
+  WHEN conf IS NULL AND sup+u < fin THEN 'indeterminado' WHEN sup+u < fin THEN 'cumple' WHEN inf-u >= fin THEN 'fallo' ELSE 'indeterminado' END AS e2 FROM je e LEFT JOIN
+  (SELECT episode_id, count(*) AS n, count(*) FILTER (WHERE action IS NOT NULL AND (action IS DISTINCT FROM expected OR rule_ip<>entity_ip)) AS viol, min(ap) FILTER (WHERE good) AS sup, arg_min(rc, ap) FILTER (WHERE good) AS inf, arg_min_null(conf, ap) FILTER (WHERE good) AS conf, arg_min(rule_id, ap) FILTER (WHERE good) AS rule_id
+   FROM (SELECT e.episode_id, e.entity_ip, e.expected, tr.entity_ip AS rule_ip, tr.* EXCLUDE (entity_ip, agent), action=expected AND tr.entity_ip=e.entity_ip AS good FROM je e JOIN tr ON tr.agent=e.agent AND ap BETWEEN t0_us-{2 * H} AND t1_us+{6 * H}) x GROUP BY 1) x USING (episode_id)""")
 
 
 def judged(s, d):
@@ -322,21 +342,32 @@ add("E20_applied_in_time", lambda s, d: judged(s, d).select("episode_id", "expec
 
 
 def e21(s, d):
-    j = judged(s, d).withColumn("host_drop_us", F.when(F.col("episode_id") % 5 > 0, F.col("applied_us")))
+    """Twelve blocks an episode, some missing and some unknown; the rule's own drops follow its application."""
+    t = trace_of(s, d).where("action is not null")
+    drops = t.where(F.substring("rule_id", -1, 1) != "5").select("rule_id", "entity_ip", (F.col("applied_us") + H).alias("t_us"))
+    j = E.first_host_drop(judged(s, d), drops, 6 * H)
     cells = judged_eps(s, d).where("expected is not null").select("episode_id", "t0_us", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("i"))
-    b = cells.select("episode_id", (F.col("t0_us") + F.col("i") * H).alias("t_us"), (F.lit(5) + F.col("i") % 3).alias("syn"),
-                     F.when((F.col("episode_id") + F.col("i")) % 4 > 0, F.lit(0)).otherwise(F.lit(4)).alias("accepted"))
-    return r6(E.sustained_effect(b, j, 2, 2, H, 0.8, 0.5))
-
-
-view("e3", "e2", f"""WITH b AS (SELECT episode_id, t0_us+i*{H} AS t, 5+i%3 AS syn, CASE WHEN (episode_id+i)%4>0 THEN 0 ELSE 4 END AS acc FROM je, (SELECT unnest(generate_series(0,11)) AS i) WHERE expected IS NOT NULL),
-x AS (SELECT b.*, e.applied_us, e.t1_us, e.u FROM b JOIN e2 e USING (episode_id)),
-base AS (SELECT episode_id, count(*) AS nb, sum(acc)/CAST(2 AS DOUBLE) AS b0 FROM (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY t DESC) AS rn FROM x WHERE t+{H} <= applied_us) WHERE rn<=2 GROUP BY 1),
-a AS (SELECT x.*, b0, syn >= 0.5*b0 AS tr, acc <= CAST(1-0.8 AS DOUBLE)*b0 AS ok, lead(syn) OVER w AS syn2, lead(acc) OVER w AS acc2 FROM x LEFT JOIN base USING (episode_id) WHERE t >= applied_us AND t+{H} <= t1_us WINDOW w AS (PARTITION BY episode_id ORDER BY t)),
-r AS (SELECT episode_id, count(*) AS na, max(CASE WHEN tr AND syn2 >= 0.5*b0 THEN 1 ELSE 0 END) AS tried, min(t) FILTER (WHERE tr AND ok AND syn2 >= 0.5*b0 AND acc2 <= CAST(0.2 AS DOUBLE)*b0) AS eff FROM a GROUP BY 1)
-SELECT e.episode_id, e2, CASE WHEN e2 IN ('no_aplica','fallo','fallo_experimento') THEN e2 WHEN coalesce(nb,0)<2 OR coalesce(na,0)<2 THEN 'indeterminado' WHEN eff IS NULL THEN (CASE WHEN tried=1 THEN 'fallo' ELSE 'indeterminado' END)
-  WHEN eff+{H}+u < t1_us THEN (CASE WHEN episode_id%5=0 OR e2='indeterminado' THEN 'indeterminado' ELSE 'cumple' END) WHEN eff-u >= t1_us THEN 'fallo' ELSE 'indeterminado' END AS e3, eff AS effect_us, round(b0,6) AS b0
- FROM e2 e LEFT JOIN base USING (episode_id) LEFT JOIN r USING (episode_id)""")
+    mix = F.col("episode_id") + F.col("i")
+    b = cells.where(mix % 11 > 0).select(
+        "episode_id", (F.col("t0_us") + F.col("i") * H).alias("t_us"), (F.lit(3) + F.col("episode_id") % 4 * F.col("i") % 5).alias("syn"),
+        F.when(mix % 17 > 0, F.when(mix % 4 > 1, F.lit(0)).otherwise(F.lit(4))).alias("accepted"), F.when(mix % 19 > 0, F.when(mix % 5 > 0, F.lit(0)).otherwise(F.lit(2))).alias("answers"))
+    return r6(E.sustained_effect(b, j, 3, 2, 2, H, 0.5, 0.5, 1.0, 0.1))
+
+
+LIM = "expected='LIMIT'"
+view("e3", "e2 tr", f"""WITH je_ AS (SELECT * FROM e2 WHERE expected IS NOT NULL),
+b AS (SELECT episode_id, t0_us+i*{H} AS t, 3+episode_id%4*i%5 AS syn, CASE WHEN (episode_id+i)%17>0 THEN (CASE WHEN (episode_id+i)%4>1 THEN 0 ELSE 4 END) END AS acc, CASE WHEN (episode_id+i)%19>0 THEN (CASE WHEN (episode_id+i)%5>0 THEN 0 ELSE 2 END) END AS ans FROM je_, (SELECT unnest(generate_series(0,11)) AS i) WHERE (episode_id+i)%11>0),
+hd AS (SELECT episode_id, min(ap+{H}) AS hd FROM e2 JOIN tr USING (rule_id) WHERE applied_us IS NOT NULL AND tr.entity_ip=e2.entity_ip AND action IS NOT NULL AND right(rule_id,1)<>'5' AND ap+{H} BETWEEN inf AND t1_us+{6 * H} GROUP BY 1),
+x AS (SELECT b.*, expected, applied_us, t0_us, fin FROM b JOIN je_ USING (episode_id) WHERE e2 IN ('cumple','indeterminado')),
+pr AS (SELECT episode_id, count(DISTINCT t) AS present FROM x WHERE t < fin GROUP BY 1),
+base AS (SELECT episode_id, count(*) AS nb, sum(acc)/CAST(2 AS DOUBLE) AS b0 FROM (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY t DESC) AS rn FROM x WHERE t+{H} <= applied_us AND acc IS NOT NULL) WHERE rn<=2 GROUP BY 1),
+a AS (SELECT x.*, coalesce(CASE WHEN {LIM} THEN syn >= 0.5*b0 ELSE syn>=1 END, false) AS tr, coalesce(CASE WHEN {LIM} THEN syn >= 0.5*b0 AND acc <= 0.5*b0 ELSE syn>=1 AND ans<=0 END, false) AS ok FROM x LEFT JOIN base USING (episode_id) WHERE t >= ((applied_us+{H}-1)//{H})*{H} AND t+{H} <= fin),
+r AS (SELECT *, tr AND lead(tr,1,false) OVER w AND ({LIM} IS FALSE OR lead(tr,2,false) OVER w) AS tried, ok AND lead(ok,1,false) OVER w AND ({LIM} IS FALSE OR lead(ok,2,false) OVER w) AS hit FROM a WINDOW w AS (PARTITION BY episode_id ORDER BY t)),
+g AS (SELECT episode_id, count(*) AS na, bool_or(tried) AS tried, min(t) FILTER (WHERE hit) AS eff FROM r GROUP BY 1),
+y AS (SELECT e.*, nb, b0, eff, hd, CASE WHEN e2 IN ('no_aplica','fallo','fallo_experimento') THEN e2 WHEN 1-coalesce(present,0)/CAST(greatest(1,(fin-t0_us)//{H}) AS DOUBLE) > CAST(0.1 AS DOUBLE) THEN 'I3' WHEN {LIM} AND (coalesce(nb,0)<2 OR b0<1) THEN 'I5'
+  WHEN coalesce(na,0) < (CASE WHEN {LIM} THEN 3 ELSE 2 END) THEN 'I1' WHEN eff IS NULL AND NOT tried THEN 'I2' WHEN eff IS NULL THEN 'fallo' END AS why FROM e2 e LEFT JOIN pr USING (episode_id) LEFT JOIN base USING (episode_id) LEFT JOIN g USING (episode_id) LEFT JOIN hd USING (episode_id))
+SELECT episode_id, e2, CASE WHEN why LIKE 'I%' THEN 'indeterminado' WHEN why IS NOT NULL THEN why WHEN eff+{H}+u < fin THEN (CASE WHEN hd IS NULL OR e2='indeterminado' THEN 'indeterminado' ELSE 'cumple' END) WHEN eff-u >= fin THEN 'fallo' ELSE 'indeterminado' END AS e3,
+ CASE WHEN why LIKE 'I%' THEN why END AS why, CASE WHEN why IS NULL THEN eff END AS effect_us, CASE WHEN {LIM} AND nb>=2 THEN round(b0,6) END AS b0 FROM y""")
 add("E21_sustained_effect", e21, sql("e3", "SELECT * FROM e3"))
 
 
@@ -350,16 +381,22 @@ add("E22_control_failures", e22, sql("epx ev", f"""SELECT episode_id, CAST(count
 
 
 def e23(s, d):
-    j = judged(s, d).withColumns({"next_us": F.when(F.col("episode_id") % 3 > 0, F.col("t1_us") + F.lit(D)), "until_us": F.col("applied_us") + F.lit(D), "retired_us": F.when(F.col("episode_id") % 2 == 0, F.col("t1_us") + F.lit(6 * H))})
-    r = table(s, d, "app").select(F.col("ts_us").alias("t_us"), F.array("entity_ip", F.lit("10.10.1.9"), F.lit("10.10.1.30")).alias("members"))
+    """Each event is a reading of both sets of its agent: the client itself is blocked, its even partner limited."""
+    n = F.col("episode_id")
+    j = judged(s, d).withColumns({"next_us": F.when(n % 3 > 0, F.col("t1_us") + n % 9 * D), "retired_us": F.when(n % 2 == 0, F.col("t1_us") - F.lit(H))})
+    x = table(s, d, "app").withColumn("agent", F.expr(SPARK_AGENT))
+    r = x.select("agent", F.lit("BLOCK").alias("action"), F.col("ts_us").alias("t_us"), F.array("entity_ip", F.lit("10.10.1.9")).alias("members")).unionByName(
+        x.select("agent", F.lit("LIMIT").alias("action"), F.col("ts_us").alias("t_us"), F.when(F.col("arrival") % 4 > 0, F.array("entity_ip")).otherwise(F.array().cast("array<string>")).alias("members")))
     return E.retired(j, r, D)
 
 
 add("E23_retired", e23, sql("e2 app", f"""
-WITH j AS (SELECT *, coalesce(CASE WHEN episode_id%3>0 THEN t1_us+{D} END, t1_us+{D}) AS hi FROM e2),
-l AS (SELECT j.episode_id, arg_max(r.entity_ip=j.entity_ip OR j.entity_ip IN ('10.10.1.9','10.10.1.30'), r.ts_us) AS still FROM j JOIN app r ON r.ts_us BETWEEN t1_us AND hi GROUP BY 1)
-SELECT episode_id, CASE WHEN expected IS NULL THEN 'no_aplica' WHEN e2='fallo_experimento' THEN e2 WHEN e2='fallo' AND applied_us IS NULL THEN 'no_aplica' WHEN still IS NULL THEN 'indeterminado' WHEN still THEN 'fallo' ELSE 'cumple' END AS e5,
- CASE WHEN still IS NOT NULL THEN (CASE WHEN episode_id%2=0 AND (applied_us IS NULL OR t1_us+{6 * H} < applied_us+{D}) THEN 'retirada_explicita' ELSE 'caducidad_natural' END) END AS way FROM j LEFT JOIN l USING (episode_id)"""))
+WITH j AS (SELECT *, CASE WHEN episode_id%3>0 THEN t1_us+episode_id%9*{D} END AS nx, CASE WHEN episode_id%2=0 THEN t1_us-{H} END AS d5 FROM e2),
+ra AS (SELECT {SQL_AGENT} AS agent, ts_us, entity_ip AS ip, arrival FROM app),
+rd AS (SELECT agent, 'BLOCK' AS action, ts_us, [ip, '10.10.1.9'] AS m FROM ra UNION ALL SELECT agent, 'LIMIT', ts_us, CASE WHEN arrival%4>0 THEN [ip] ELSE [] END FROM ra),
+l AS (SELECT j.episode_id, max(ts_us) AS read_at, arg_max(list_contains(m, j.entity_ip), ts_us) AS still FROM j JOIN rd ON rd.agent=j.agent AND action=expected AND ts_us >= fin AND (nx IS NULL OR ts_us <= nx) GROUP BY 1),
+o AS (SELECT *, CASE WHEN expected IS NULL THEN 'no_aplica' WHEN e2='fallo_experimento' THEN e2 WHEN e2='fallo' AND applied_us IS NULL THEN 'no_aplica' WHEN still IS NULL THEN 'indeterminado' WHEN still THEN 'fallo' ELSE 'cumple' END AS e5 FROM j LEFT JOIN l USING (episode_id))
+SELECT episode_id, e5, CASE WHEN e5 IN ('cumple','fallo') THEN (CASE WHEN d5 < applied_us+{D} THEN 'retirada_explicita' ELSE 'caducidad_natural' END) END AS way, CASE WHEN e5 IN ('cumple','fallo') THEN read_at END AS read_us FROM o"""))
 
 
 def scenarios(s, d):
