@@ -167,38 +167,124 @@ def score_iforest(rows: DataFrame, model: DataFrame, configs: dict[str, list[str
 
 # --- neighbours --------------------------------------------------------------------------------
 
-def knn(train: DataFrame, queries: DataFrame, key: str, names: list[str], k: int, cell_rows: int = 2048, skip_self: bool = False) -> DataFrame:
-    """Exact k nearest training rows of each query: (key, neighbours array<struct<dist, id>>).
+MOST_PIVOTS, MOST_RINGS = 256, 64
+SLACK = 1e-9  # of a distance: bounds from rounded numbers must not cut off a tie
+
+
+def _between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of all rows of a to all rows of b, some rows of a at a time."""
+    step = max(1, 4_000_000 // max(1, b.size))
+    return np.concatenate([np.sqrt(((a[i:i + step, None, :] - b[None, :, :]) ** 2).sum(axis=2)) for i in range(0, len(a), step)] or [np.zeros((0, len(b)))])
+
+
+def _vectors(column) -> np.ndarray:
+    return np.array(column.to_pylist(), dtype=float)
 
-    Train blocks x query chunks form cells of bounded size; a cell returns each query's k
-    best, so no pair leaves it, and the best of all blocks are merged per query.
+
+def knn(train: DataFrame, queries: DataFrame, key: str, names: list[str], k: int, cell_rows: int = 2048, skip_self: bool = False) -> DataFrame:
+    """Exact k nearest training rows of each query: (key, neighbours array<struct<dist, id>>, compared).
+
+    Training rows go to the nearest of some pivots and there to a ring of distances, at most
+    ``MOST_PIVOTS`` x ``MOST_RINGS`` rings whatever the table's size; rings are cut into
+    blocks of about ``cell_rows`` by a hash, so copies of one row fill many blocks. A query
+    first meets the rings nearest to it that hold k rows, and then those rings only that the
+    triangle inequality does not put beyond the k-th distance found: |d(q, p) - d(x, p)|, and
+    half of d(q, p) - d(q, own pivot) as x is nearest to p. Ties go to the smaller key.
+    ``compared`` counts the training rows a query met. Queries travel with those of the same pivot, a
+    block goes once to each such chunk that needs it, and a cell returns each query's k best.
+    Rows with a null or non-finite component are nobody's neighbour and get no row.
     """
-    vec = F.array(*[F.col(n).cast("double") for n in names]).alias("x")
-    r = max(1, math.ceil(train.count() / cell_rows))
-    c = max(1, math.ceil(queries.count() / cell_rows))
-    spread = lambda m, salt: F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(m)).cast("int")
-    t = train.select(F.col(key).cast("long").alias("id"), vec, spread(r, 1).alias("r"), F.explode(F.sequence(F.lit(0), F.lit(c - 1))).alias("c"))
-    q = queries.select(F.col(key).cast("long").alias("id"), vec, spread(c, 2).alias("c"), F.explode(F.sequence(F.lit(0), F.lit(r - 1))).alias("r"))
+    vec = F.array(*[F.col(n).cast("double") for n in names])
+    whole = lambda df: df.select(F.col(key).cast("long").alias("id"), vec.alias("x")).where(F.forall("x", lambda v: v.isNotNull() & (F.abs(v) < float("inf"))))
+    t, q = whole(train), whole(queries)
+    out = "id long, near array<struct<dist: double, id: long>>, compared long"
+    total = t.count()
+    if not total:
+        return q.sparkSession.createDataFrame([], out).withColumnRenamed("id", key)
+    marks = [r["x"] for r in t.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(min(MOST_PIVOTS, math.ceil(math.sqrt(total)))).collect()]
+    pivots = np.unique(np.array(marks, dtype=float), axis=0)
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                d = _between(_vectors(b["x"]), pivots)
+                own = d.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([b["id"], b["x"], pa.array(own, pa.int32()), pa.array(d[np.arange(len(d)), own])], names=["id", "x", "pivot", "d"])
+
+    schema = "id long, x array<double>, pivot int, d double"
+    t = materialize(t.mapInArrow(home, schema))
+    rings = min(MOST_RINGS, max(1, math.ceil(total / len(pivots) / cell_rows)))
+    if rings > 1:
+        cuts = t.groupBy("pivot").agg(F.percentile_approx("d", [i / rings for i in range(1, rings)], 1000).alias("cuts"))  # a row per pivot
+        t = t.join(F.broadcast(cuts), "pivot").withColumn("ring", F.size(F.filter("cuts", lambda c: c < F.col("d")))).drop("cuts")
+    else:
+        t = t.withColumn("ring", F.lit(0))
+    found = t.groupBy("pivot", "ring").agg(F.min("d"), F.max("d"), F.count(F.lit(1))).orderBy("pivot", "ring").collect()  # a row per ring
+    owner, number = (np.array([r[i] for r in found]) for i in (0, 1))
+    low, high, held = (np.array([r[i] for r in found], dtype=float) for i in (2, 3, 4))
+    parts = np.ceil(held / cell_rows).astype(int)
+    first = np.concatenate([[0], np.cumsum(parts)])
+    place = q.sparkSession.createDataFrame([(r[0], r[1], int(f), int(n)) for r, f, n in zip(found, first, parts)], "pivot int, ring int, first int, parts int")
+    share = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    t = t.join(F.broadcast(place), ["pivot", "ring"]).select("id", "x", (F.col("first") + share).alias("block"))  # a row per ring
+
+    q = materialize(q.mapInArrow(home, schema).drop("d"))
+    shares = q.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / cell_rows).alias("shares"))  # a row per pivot
+    q = q.join(F.broadcast(shares), "pivot").withColumn("chunk", F.concat_ws("/", "pivot", F.pmod(F.xxhash64("id", F.lit(2)), "shares").cast("string"))).select("id", "x", "chunk")
+    enough = k + int(skip_self)
+
+    def blocks_of(again: bool):
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                d = _between(_vectors(b["x"]), pivots)
+                far = d[:, owner]
+                bound = np.maximum(np.maximum(far - high, low - far), (far - d.min(axis=1)[:, None]) / 2)
+                order = np.argsort(bound, axis=1, kind="stable")
+                start = np.zeros(bound.shape, dtype=bool)
+                ahead = np.cumsum(held[order], axis=1) - held[order]
+                np.put_along_axis(start, order, ahead < enough, axis=1)
+                take = start
+                if again:
+                    reach = b["reach"].to_numpy(zero_copy_only=False)
+                    take = ~start & (bound <= (reach * (1 + SLACK) + SLACK * far.max(axis=1))[:, None])
+                rows, which = np.nonzero(take)
+                lists = [[] for _ in range(len(take))]
+                for r, w in zip(rows.tolist(), which.tolist()):
+                    lists[r].extend(range(first[w], first[w + 1]))
+                yield pa.RecordBatch.from_arrays([b["id"], b["x"], b["chunk"], pa.array(lists, pa.list_(pa.int32()))], names=["id", "x", "chunk", "blocks"])
+
+        return choose
 
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = {"id": pa.array([], pa.int64()), "dist": pa.array([], pa.float64()), "other": pa.array([], pa.int64())}
-        if not left.num_rows or not right.num_rows:
-            return pa.table(empty)
-        a, b = (np.array(s["x"].to_pylist(), dtype=float) for s in (left, right))
+        a, b = _vectors(left["x"]), _vectors(right["x"])
         ia, ib = left["id"].to_numpy(), right["id"].to_numpy()
-        d = np.sqrt(np.maximum(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2) if len(a) * len(b) * a.shape[1] < 5e7 else
-                               (a ** 2).sum(1)[:, None] + (b ** 2).sum(1)[None, :] - 2 * a @ b.T, 0))
-        if skip_self:
-            d[ia[:, None] == ib[None, :]] = np.inf
-        order = np.lexsort((np.broadcast_to(ib, d.shape), d), axis=1)[:, : min(k, len(b))]
-        rows = np.repeat(np.arange(len(a)), order.shape[1])
-        cols = order.ravel()
-        keep = np.isfinite(d[rows, cols])
-        return pa.table({"id": ia[rows][keep], "dist": d[rows, cols][keep], "other": ib[cols][keep]})
-
-    best = q.groupBy("r", "c").cogroup(t.groupBy("r", "c")).applyInArrow(nearest, "id long, dist double, other long")
-    near = F.slice(F.array_sort(F.collect_list(F.struct("dist", F.col("other").alias("id")))), 1, k)
-    return best.groupBy("id").agg(near.alias("near")).withColumnRenamed("id", key)
+        near, met = [], np.full(len(ia), len(ib))
+        for i in range(0, len(a), 64):
+            d = _between(a[i:i + 64], b)
+            if skip_self:
+                same = ia[i:i + 64, None] == ib[None, :]
+                d[same] = np.inf
+                met[i:i + 64] -= same.sum(axis=1)
+            order = np.lexsort((np.broadcast_to(ib, d.shape), d), axis=1)[:, : min(k, len(b))]
+            for row, best in zip(d, order):
+                near.append([{"dist": float(row[j]), "id": int(ib[j])} for j in best if np.isfinite(row[j])])
+        return pa.table({"id": left["id"], "near": pa.array(near, pa.list_(pa.struct([("dist", pa.float64()), ("id", pa.int64())]))), "compared": pa.array(met, pa.int64())})
+
+    def search(x: DataFrame, again: bool) -> DataFrame:
+        asked = x.mapInArrow(blocks_of(again), "id long, x array<double>, chunk string, blocks array<int>").select("id", "x", "chunk", F.explode("blocks").alias("block"))
+        asked = materialize(asked)
+        to = asked.select(F.col("block").alias("block"), F.col("chunk").alias("chunk")).distinct()
+        return asked.groupBy("block", "chunk").cogroup(t.join(to, "block").groupBy("block", "chunk")).applyInArrow(nearest, out)
+
+    def best(cells: DataFrame) -> DataFrame:
+        return cells.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"), F.sum("compared").alias("compared"))
+
+    near = materialize(best(search(q, False)))
+    reach = near.select("id", F.when(F.size("near") >= k, F.element_at("near", -1)["dist"]).otherwise(float("inf")).alias("reach"))
+    more = search(q.join(reach, "id").select("id", "x", "chunk", "reach"), True)
+    return best(near.unionByName(more)).withColumnRenamed("id", key)
 
 
 def fit_lof(train: DataFrame, key: str, names: list[str], k: int = 20) -> DataFrame:
@@ -226,27 +312,152 @@ def score_lof(queries: DataFrame, train: DataFrame, model: DataFrame, key: str,
 
 # --- robust covariance ------------------------------------------------------------------------------
 
-def fit_mahalanobis(rows: DataFrame, names: list[str], keep: float = 0.75, rounds: int = 3):
-    """Location and covariance of the most central part: (mean, inverse covariance).
+def chi2_quantile(p: float, d: int) -> float:
+    """Point below which a share p of a chi-squared variable with d degrees of freedom lies."""
+
+    def share(x: float) -> float:
+        a, x = d / 2, x / 2
+        term = total = 1 / a
+        n = a
+        while term > total * 1e-16:
+            n += 1
+            term *= x / n
+            total += term
+        return total * math.exp(a * math.log(x) - x - math.lgamma(a))
 
-    Moments come from one aggregate pass; each round keeps the ``keep`` share with the
-    smallest distance (exact quantile) and estimates again. d x d numbers reach the driver.
+    low, high = 0.0, d + 20 * math.sqrt(2 * d) + 20
+    while high - low > 1e-12 * high:
+        mid = (low + high) / 2
+        low, high = (mid, high) if share(mid) < p else (low, mid)
+    return (low + high) / 2
+
+
+def _moments(x: DataFrame, names: list[str]) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+    """Count, mean and covariance per ``start``, from sums that each batch makes and Spark adds up.
+
+    starts x d x d numbers reach the driver. Sums are taken about the origin, so the columns
+    should be standardised.
+    """
+    d = len(names)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            start = b["start"].to_numpy()
+            data = np.column_stack([np.ones(b.num_rows), *[b[n].to_numpy(zero_copy_only=False).astype(float) for n in names]])
+            for s in np.unique(start):
+                own = data[start == s]
+                m = (own.T @ own)[np.triu_indices(d + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), s), pa.int32()), pa.array(np.arange(len(m)), pa.int32()), pa.array(m)], names=["start", "cell", "v"])
+
+    found: dict[int, np.ndarray] = {}
+    for s, cell, v in x.select("start", *names).mapInArrow(sums, "start int, cell int, v double").groupBy("start", "cell").agg(F.sum("v")).collect():
+        found.setdefault(s, np.zeros((d + 1) * (d + 2) // 2))[cell] = v
+    out = {}
+    for s, flat in found.items():
+        m = np.zeros((d + 1, d + 1))
+        m[np.triu_indices(d + 1)] = flat
+        m = m + np.triu(m, 1).T
+        mean = m[0, 1:] / m[0, 0]
+        out[s] = (m[0, 0], mean, m[1:, 1:] / m[0, 0] - np.outer(mean, mean))
+    return out
+
+
+def _log_volume(cov: np.ndarray) -> float:
+    sign, value = np.linalg.slogdet(cov)
+    return float(value) if sign > 0 else -math.inf
+
+
+def _concentrate(x: np.ndarray, mean: np.ndarray, cov: np.ndarray, h: int, steps: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """Concentration steps on a few rows: (log determinant, mean, covariance)."""
+    volume = math.inf
+    for _ in range(steps):
+        away = x - mean
+        dist = ((away @ np.linalg.pinv(cov)) * away).sum(axis=1)
+        part = x[np.argsort(dist, kind="stable")[:h]]
+        mean, cov = part.mean(axis=0), np.cov(part.T, bias=True).reshape(x.shape[1], -1)
+        now = _log_volume(cov)
+        if now >= volume - 1e-9 or now == -math.inf:
+            return now, mean, cov
+        volume = now
+    return volume, mean, cov
+
+
+def _first_shapes(x: np.ndarray, h: int, tries: int, starts: int, seed: int) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """Best shapes of ``tries`` random starts: two steps each, the ten best to their end."""
+    rng = np.random.default_rng(seed)
+    found = []
+    for _ in range(tries):
+        part = x[rng.choice(len(x), x.shape[1] + 1, replace=False)]
+        found.append(_concentrate(x, part.mean(axis=0), np.cov(part.T, bias=True).reshape(x.shape[1], -1), h, 2))
+    ended = sorted((_concentrate(x, mean, cov, h, 100) for _, mean, cov in sorted(found, key=lambda e: e[0])[:10]), key=lambda e: e[0])
+    out = ended[:1]
+    for e in ended[1:]:
+        if len(out) < starts and e[0] > out[-1][0] + 1e-6:
+            out.append(e)
+    return out
+
+
+def fit_mahalanobis(rows: DataFrame, key: str, names: list[str], keep: float | None = None, core: int = 1500, tries: int = 500, starts: int = 3, seed: int = 0, most_steps: int = 100):
+    """Minimum covariance determinant: (mean, inverse covariance, covariance) of the most central rows.
+
+    Starting shapes come from ``tries`` random starts on at most ``core`` rows, drawn by a hash of
+    the key (the published two-level search; the bound keeps the driver's part small). The
+    ``starts`` best are then concentrated on all rows: a step keeps the ``keep`` share
+    (by default (n + d + 1) / 2 rows) with the smallest distances, by an exact order
+    statistic, and estimates again, so the determinant cannot rise. A shape ends when its determinant
+    has stopped falling or is zero, all share each pass, and the smallest wins. The covariance is
+    then made consistent (median distance over the chi-squared median), and all rows within
+    the 97.5 % point give the estimate returned. Rows with a null or non-finite component
+    take no part; without d + 2 other rows there is no estimate and an error says so.
     """
     d = len(names)
-    cell = [(i, j) for i in range(d) for j in range(i, d)]
-    x, mean, inv = rows, None, None
-    for step in range(rounds + 1):
-        m = x.agg(*[F.avg(n) for n in names], *[F.covar_pop(names[i], names[j]) for i, j in cell]).first()
-        mean = np.array(m[:d], dtype=float)
-        cov = np.zeros((d, d))
-        for (i, j), v in zip(cell, m[d:]):
-            cov[i, j] = cov[j, i] = v
-        inv = np.linalg.pinv(cov)
-        if step < rounds:
-            dist = score_mahalanobis(rows, names, mean, inv).withColumn("_d", -F.col("score"))
-            cut = quantiles(dist, [], "_d", {"c": (keep, "linear")}).first()[0]
-            x = dist.where(F.col("_d") <= cut).drop("_d", "score")
-    return mean, inv
+    sound = F.forall(F.array(*[F.col(n).cast("double") for n in names]), lambda v: v.isNotNull() & (F.abs(v) < float("inf")))
+    rows = materialize(rows.where(sound).select(F.col(key).alias("_key"), *[F.col(n).cast("double") for n in names]))
+    n = rows.count()
+    if n <= d + 1:
+        raise ValueError(f"{n} rows do not determine a covariance of {d} columns")
+    h = min(n, math.ceil((n + d + 1) / 2) if keep is None else max(d + 1, math.ceil(keep * n)))
+    few = rows.orderBy(F.xxhash64(F.col("_key").cast("string"), F.lit(seed)), "_key").limit(max(core, d + 2)).select(*names).collect()
+    first = _first_shapes(np.array([tuple(r) for r in few]), max(d + 1, math.ceil(h * len(few) / n)), tries, starts, seed)
+    now, last, done = {s: (0, mean, cov) for s, (_, mean, cov) in enumerate(first)}, {s: math.inf for s in range(len(first))}, {}
+    for _ in range(most_steps):
+        shapes = {s: (mean, np.linalg.pinv(cov)) for s, (_, mean, cov) in now.items()}
+        dist = materialize(_distances(rows, names, shapes))
+        cut = quantiles(dist, ["start"], "dist", {"cut": ((h - 0.5) / n, "count")})
+        near = dist.join(F.broadcast(cut), "start").where(F.col("dist") <= F.col("cut") * (1 + 1e-12))  # a row per start
+        now = _moments(near, names)
+        for s, (_, mean, cov) in list(now.items()):
+            volume = _log_volume(cov)
+            if volume == -math.inf or volume >= last[s] - 1e-9:
+                done[s] = (volume, mean, cov)
+                del now[s]
+            last[s] = volume
+        if not now:
+            break
+    done.update({s: (last[s], mean, cov) for s, (_, mean, cov) in now.items()})
+    _, mean, cov = min((done[s] for s in sorted(done)), key=lambda e: e[0])
+    dist = _distances(rows, names, {0: (mean, np.linalg.pinv(cov))})
+    middle = quantiles(dist, [], "dist", {"m": (0.5, "linear")}).first()[0]
+    factor = middle / chi2_quantile(0.5, d)
+    cov = cov * (factor or 1.0)
+    inside = _distances(rows, names, {0: (mean, np.linalg.pinv(cov))}).where(F.col("dist") < chi2_quantile(0.975, d))
+    final = _moments(inside, names)
+    if final:
+        _, mean, cov = final[0]
+    return mean, np.linalg.pinv(cov), cov
+
+
+def _distances(rows: DataFrame, names: list[str], shapes: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Each row once per start with its squared distance under that start's shape."""
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = np.column_stack([b[n].to_numpy(zero_copy_only=False).astype(float) for n in names])
+            for s, (mean, inv) in shapes.items():
+                away = data - mean
+                dist = np.maximum(np.einsum("ij,jk,ik->i", away, inv, away), 0)
+                yield pa.RecordBatch.from_arrays([*[b[n] for n in names], pa.array(np.full(len(data), s), pa.int32()), pa.array(dist)], names=[*names, "start", "dist"])
+
+    return rows.select(*names).mapInArrow(measure, ", ".join(f"{n} double" for n in names) + ", start int, dist double")
 
 
 def score_mahalanobis(rows: DataFrame, names: list[str], mean: np.ndarray, inv: np.ndarray) -> DataFrame:
