@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from netlens.functions.columns import safe_ratio
-from netlens.operators.core import materialize, ordered_counts, quantiles
+from netlens.operators.core import materialize, ordered_counts, quantiles, to_long
 
 TREES, SAMPLE, OFFSET = 500, 256, -0.5
 
@@ -19,9 +19,8 @@ TREES, SAMPLE, OFFSET = 500, 256, -0.5
 
 def fit_scaler(rows: DataFrame, names: list[str]) -> DataFrame:
     """One row per feature: mean and population deviation (1 where it is zero)."""
-    wide = rows.agg(*[F.avg(n).alias(f"m{i}") for i, n in enumerate(names)], *[F.stddev_pop(n).alias(f"s{i}") for i, n in enumerate(names)])
-    sd = lambda i: F.when(F.coalesce(F.col(f"s{i}"), F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.col(f"s{i}"))
-    return wide.select(F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"m{i}").alias("mean"), sd(i).alias("scale")) for i, n in enumerate(names)])))
+    sd = F.coalesce(F.stddev_pop("value"), F.lit(0.0))
+    return to_long(rows, [], names).groupBy("feature").agg(F.avg("value").alias("mean"), F.when(sd == 0, 1.0).otherwise(sd).alias("scale"))
 
 
 def scale(rows: DataFrame, scaler: DataFrame, names: list[str]) -> DataFrame:

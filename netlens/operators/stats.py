@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from netlens.functions.columns import safe_ratio, wilson
-from netlens.operators.core import materialize, ordered_counts
+from netlens.operators.core import materialize, ordered_counts, to_long
 
 Z_PERCENT, Z_FRACTION = 1.96, 1.959963984540054
 
@@ -167,29 +169,46 @@ def ranking_metrics(scored: DataFrame, by: list[str], score: str = "score", trut
 def cohens_d(rows: DataFrame, names: list[str], truth: str = "truth") -> DataFrame:
     """Pooled effect size of each feature between normal and anomalous rows.
 
-    All moments come from one pass over the wide rows.
+    All moments come from one pass over (feature, value) rows, combined before the exchange.
     """
     t = F.col(truth)
-    aggs = [F.count_if(~t).alias("n0"), F.count_if(t).alias("n1")]
-    for i, n in enumerate(names):
-        for g, c in ((0, ~t), (1, t)):
-            v = F.when(c, F.col(n).cast("double"))
-            aggs += [F.avg(v).alias(f"m{g}_{i}"), F.var_samp(v).alias(f"v{g}_{i}")]
-    wide = rows.agg(*aggs)
+    moments = []
+    for g, c in ((0, ~t), (1, t)):
+        v = F.when(c, F.col("value"))
+        moments += [F.count_if(c).alias(f"n{g}"), F.avg(v).alias(f"m{g}"), F.coalesce(F.var_samp(v), F.lit(0.0)).alias(f"v{g}")]
+    x = to_long(rows, [truth], names).groupBy("feature").agg(*moments)
     n0, n1 = F.col("n0"), F.col("n1")
-    def d(i):
-        z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-        pooled = F.try_divide((n0 - 1) * z(f"v0_{i}") + (n1 - 1) * z(f"v1_{i}"), (n0 + n1 - 2).cast("double"))
-        return F.when((n0 == 0) | (n1 == 0) | (n0 + n1 <= 2), F.lit(0.0)).otherwise(safe_ratio(F.col(f"m1_{i}") - F.col(f"m0_{i}"), F.sqrt(pooled)))
-    return wide.select(F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), d(i).alias("d")) for i, n in enumerate(names)])))
+    pooled = F.try_divide((n0 - 1) * F.col("v0") + (n1 - 1) * F.col("v1"), (n0 + n1 - 2).cast("double"))
+    d = F.when((n0 == 0) | (n1 == 0) | (n0 + n1 <= 2), F.lit(0.0)).otherwise(safe_ratio(F.col("m1") - F.col("m0"), F.sqrt(pooled)))
+    return x.select("feature", d.alias("d"))
 
 
 def redundant_pairs(rows: DataFrame, names: list[str], limit: float = 0.8) -> DataFrame:
-    """Feature pairs whose Pearson correlation exceeds the limit, from one aggregate pass."""
-    pairs = list(combinations(range(len(names)), 2))
-    wide = rows.agg(*[F.corr(F.col(names[i]).cast("double"), F.col(names[j]).cast("double")).alias(f"c{i}_{j}") for i, j in pairs])
-    items = [F.struct(F.lit(names[i]).alias("feature_a"), F.lit(names[j]).alias("feature_b"), F.col(f"c{i}_{j}").alias("r")) for i, j in pairs]
-    return wide.select(F.inline(F.array(*items))).where(F.abs("r") > limit)
+    """Feature pairs whose Pearson correlation, over the rows that have both, exceeds the limit.
+
+    Each batch adds up its products of centred columns as matrices; Spark adds the batches
+    per pair. A column that does not vary has no pair.
+    """
+    d = len(names)
+    centre = to_long(rows, [], names).groupBy("feature").agg(F.avg("value").alias("m")).collect()  # a row per feature
+    middle = np.array([{r["feature"]: r["m"] for r in centre}.get(n) or 0.0 for n in names])
+    first, second = np.triu_indices(d, 1)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.column_stack([b[n].to_numpy(zero_copy_only=False).astype(float) for n in names]) - middle
+            has = np.isfinite(x).astype(float)
+            x = np.where(has > 0, x, 0.0)
+            both, one, square, cross = has.T @ has, x.T @ has, (x * x).T @ has, x.T @ x
+            parts = [both[first, second], one[first, second], one[second, first], square[first, second], square[second, first], cross[first, second]]
+            yield pa.RecordBatch.from_arrays([pa.array(first, pa.int32()), pa.array(second, pa.int32()), *[pa.array(v) for v in parts]], names=["a", "b", "n", "sa", "sb", "qa", "qb", "ab"])
+
+    schema = "a int, b int, " + ", ".join(f"{c} double" for c in ("n", "sa", "sb", "qa", "qb", "ab"))
+    x = rows.select(*[F.col(n).cast("double").alias(n) for n in names]).mapInArrow(sums, schema).groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "qa", "qb", "ab")])
+    spread = lambda s, q: F.greatest(F.col("n") * F.col(q) - F.col(s) * F.col(s), F.lit(0.0))
+    r = F.try_divide(F.col("n") * F.col("ab") - F.col("sa") * F.col("sb"), F.sqrt(spread("sa", "qa")) * F.sqrt(spread("sb", "qb")))
+    name = F.array(*map(F.lit, names))
+    return x.select(F.element_at(name, F.col("a") + 1).alias("feature_a"), F.element_at(name, F.col("b") + 1).alias("feature_b"), r.alias("r")).where(F.abs("r") > limit)
 
 
 def clusters(pairs: DataFrame, a: str = "feature_a", b: str = "feature_b") -> DataFrame:

@@ -11,12 +11,13 @@ from netlens.plans.adapt import sql, table, view
 from netlens.plans.q_learn import scores
 from netlens.plans.registry import add, r6
 
-DIMS = [f"d{i}" for i in range(8)]
+DIMS = [f"d{i}" for i in range(64)]
+FEW = DIMS[:8]  # columns of the forest queries
 TREES, SAMPLE, SEED = 40, 128, 7
 
 
 def emb(s, d):
-    """Vectors as the model matrix: eight dimensions, label = episode, two labels anomalous."""
+    """Vectors as the model matrix: all dimensions, label = episode, two labels anomalous."""
     x = table(s, d, "embeddings")
     cols = [F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(DIMS)]
     part = F.when(F.col("vec_id") % 5 < 3, "train").when(F.col("vec_id") % 5 == 3, "validation").otherwise("test")
@@ -27,23 +28,28 @@ view("emb", "", "SELECT vec_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBL
      ", 'e'||(label*10+vec_id%4) AS episode_id, label>=8 AS truth, CASE WHEN vec_id%5<3 THEN 'train' WHEN vec_id%5=3 THEN 'validation' ELSE 'test' END AS partition FROM embeddings")
 
 
+def few(s, d):
+    return emb(s, d).select("vec_id", *FEW, "episode_id", "truth", "partition")
+
+
 def train(s, d):
     return emb(s, d).where("partition = 'train' and not truth")
 
 
-add("M01_scaler", lambda s, d: r6(M.scale(emb(s, d), M.fit_scaler(train(s, d), DIMS), DIMS).select("vec_id", *DIMS[:3])), sql("emb", "WITH t AS (SELECT " + ", ".join(
-    f"avg({n}) AS m{n}, stddev_pop({n}) AS s{n}" for n in DIMS[:3]) + " FROM emb WHERE partition='train' AND NOT truth) SELECT vec_id, " + ", ".join(f"round(({n}-m{n})/s{n},6) AS {n}" for n in DIMS[:3]) + " FROM emb, t"))
+add("M01_scaler", lambda s, d: r6(M.scale(emb(s, d), M.fit_scaler(train(s, d), DIMS), DIMS).select("vec_id", *DIMS)), sql("emb", "WITH t AS (SELECT " + ", ".join(
+    f"avg({n}) AS m{n}, stddev_pop({n}) AS s{n}" for n in DIMS) + " FROM emb WHERE partition='train' AND NOT truth) SELECT vec_id, " + ", ".join(f"round(({n}-m{n})/s{n},6) AS {n}" for n in DIMS) + " FROM emb, t"))
 
 
 def forest(s, d, weight=None):
-    t = train(s, d)
+    x = few(s, d)
+    t = x.where("partition = 'train' and not truth")
     if weight:
         t = B.episode_weights(t)
-    m = M.fit_iforest(t, "vec_id", {"all": DIMS}, TREES, SAMPLE, SEED, weight)
-    return M.score_iforest(emb(s, d), m, {"all": DIMS}).withColumnRenamed("score_all", "score")
+    m = M.fit_iforest(t, "vec_id", {"all": FEW}, TREES, SAMPLE, SEED, weight)
+    return M.score_iforest(x, m, {"all": FEW}).withColumnRenamed("score_all", "score")
 
 
-add("M02_fit_iforest", lambda s, d: M.fit_iforest(train(s, d), "vec_id", {"all": DIMS}, TREES, SAMPLE, SEED).groupBy("tree").agg(
+add("M02_fit_iforest", lambda s, d: M.fit_iforest(few(s, d).where("partition = 'train' and not truth"), "vec_id", {"all": FEW}, TREES, SAMPLE, SEED).groupBy("tree").agg(
     F.count(F.lit(1)).alias("nodes"), F.max("depth").alias("depth"), F.max("size").alias("rows")))
 add("M03_weighted_iforest", lambda s, d: r6(forest(s, d, "weight").select("vec_id", "score")))
 add("M04_score_iforest", lambda s, d: r6(forest(s, d).select("vec_id", "score", (F.col("score") - M.OFFSET).alias("decision"))))
@@ -65,7 +71,7 @@ SELECT ql.i AS vec_id, round(-nb.l/ql.l,5) AS score FROM ql JOIN nb USING (i)"""
 
 
 def robust(s, d):
-    mean, inv = M.fit_mahalanobis(train(s, d), DIMS)
+    mean, inv, _ = M.fit_mahalanobis(train(s, d), "vec_id", DIMS)
     return r6(M.score_mahalanobis(emb(s, d), DIMS, mean, inv).select("vec_id", "score"))
 
 
@@ -102,7 +108,7 @@ add("M14_evaluate", lambda s, d: r6(M.evaluate(scores(s, d).withColumn("profile"
  UNION ALL SELECT 'source', CASE WHEN entity_ip='10.10.1.12' THEN 'real' ELSE 'legacy' END, count(*), count(*) FILTER (WHERE score < -0.6) FROM a GROUP BY 2 UNION ALL SELECT 'profile', campaign_id, count(*), count(*) FILTER (WHERE score < -0.6) FROM a GROUP BY 2
  UNION ALL SELECT 'episodes','all',count(DISTINCT episode_id),count(DISTINCT episode_id) FILTER (WHERE score < -0.6) FROM a)
 SELECT section, name, CAST(w AS BIGINT) AS windows, CAST(d AS BIGINT) AS detected, round(d/CAST(w AS DOUBLE),6) AS rate FROM u"""))
-add("M15_seed_stability", lambda s, d: r6(M.seed_stability(train(s, d), emb(s, d).where(VAL), "vec_id", DIMS, [1, 2, 3], 20, SAMPLE, 0.05)))
+add("M15_seed_stability", lambda s, d: r6(M.seed_stability(few(s, d).where("partition = 'train' and not truth"), few(s, d).where(VAL), "vec_id", FEW, [1, 2, 3], 20, SAMPLE, 0.05)))
 
 
 def linear(df):
@@ -177,8 +183,8 @@ def x06(s, d):
 PR = " UNION ALL ".join(f"SELECT '{p}' AS model_a, '{q}' AS model_b, count(*) FILTER (WHERE {p} AND NOT {q}) AS oa, count(*) FILTER (WHERE {q} AND NOT {p}) AS ob FROM vd" for p, q in (("a", "b"), ("a", "c"), ("b", "c")))
 add("X06_compare_all", x06, sql("vd", f"""WITH u AS ({PR}), x AS (SELECT *, oa+ob AS n, {psql('least(oa,ob)', '(oa+ob)')} AS p FROM u), y AS (SELECT *, CAST(0.05 AS DOUBLE)/(count(*) OVER ()-row_number() OVER (ORDER BY p, model_a||' vs '||model_b)+1) AS lim FROM x)
 SELECT model_a, model_b, model_a||' vs '||model_b AS pair, CAST(oa AS BIGINT) AS only_a, CAST(ob AS BIGINT) AS only_b, CAST(n AS BIGINT) AS discordant, round(p,6) AS p, min(CASE WHEN p<=lim THEN 1 ELSE 0 END) OVER (ORDER BY p, model_a||' vs '||model_b ROWS UNBOUNDED PRECEDING)=1 AS significant FROM y"""))
-GROUPS = {"all": DIMS, **{f"only_{i}": DIMS[2 * i:2 * i + 2] for i in range(3)}, **{f"without_{i}": [n for n in DIMS if n not in DIMS[2 * i:2 * i + 2]] for i in range(4)}}
-add("X07_ablation", lambda s, d: r6(EX.ablation(emb(s, d), "vec_id", GROUPS, 20, SAMPLE, SEED, 0.05)))
+GROUPS = {"all": FEW, **{f"only_{i}": FEW[2 * i:2 * i + 2] for i in range(3)}, **{f"without_{i}": [n for n in FEW if n not in FEW[2 * i:2 * i + 2]] for i in range(4)}}
+add("X07_ablation", lambda s, d: r6(EX.ablation(few(s, d), "vec_id", GROUPS, 20, SAMPLE, SEED, 0.05)))
 
 
 def x08(s, d):
@@ -192,16 +198,16 @@ SELECT fold, 'test' AS role, CAST(te AS BIGINT) AS episodes FROM u UNION ALL SEL
 
 def x09(s, d):
     v = scores(s, d).where(VAL)
-    t = X.bootstrap_threshold(v, "episode_id", "score", 0.05, 200, SEED)
+    t = X.bootstrap_threshold(v, "episode_id", "score", 0.05, 1000, SEED)
     return r6(X.bootstrap_summary(t, -0.68))
 
 
 add("X09_bootstrap_threshold", x09)
-add("X10_cohens_d", lambda s, d: r6(X.cohens_d(emb(s, d), DIMS)), sql("emb", " UNION ALL ".join(
-    f"SELECT '{n}' AS feature, round((m1-m0)/sqrt(((n0-1)*v0+(n1-1)*v1)/(n0+n1-2)),6) AS d FROM (SELECT avg({n}) FILTER (WHERE truth) AS m1, avg({n}) FILTER (WHERE NOT truth) AS m0, var_samp({n}) FILTER (WHERE truth) AS v1, var_samp({n}) FILTER (WHERE NOT truth) AS v0, count(*) FILTER (WHERE truth) AS n1, count(*) FILTER (WHERE NOT truth) AS n0 FROM emb)" for n in DIMS)))
-PAIRS = [(a, b) for i, a in enumerate(DIMS) for b in DIMS[i + 1:]]
-LIM = 0.04
-view("rp", "emb", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, corr({a},{b}) AS r FROM emb WHERE partition<>'test'" for a, b in PAIRS) + f") WHERE abs(r) > {LIM}")
+view("lng", "emb", "SELECT vec_id, truth, partition, unnest([" + ", ".join(f"'{n}'" for n in DIMS) + "]) AS f, unnest([" + ", ".join(DIMS) + "]) AS v FROM emb")
+view("eff", "lng", """SELECT f AS feature, (m1-m0)/sqrt(((n0-1)*v0+(n1-1)*v1)/(n0+n1-2)) AS d FROM (SELECT f, avg(v) FILTER (WHERE truth) AS m1, avg(v) FILTER (WHERE NOT truth) AS m0, var_samp(v) FILTER (WHERE truth) AS v1, var_samp(v) FILTER (WHERE NOT truth) AS v0, count(*) FILTER (WHERE truth) AS n1, count(*) FILTER (WHERE NOT truth) AS n0 FROM lng GROUP BY 1)""")
+add("X10_cohens_d", lambda s, d: r6(X.cohens_d(emb(s, d), DIMS)), sql("eff", "SELECT feature, round(d,6) AS d FROM eff"))
+LIM = 0.1
+view("rp", "lng", f"SELECT * FROM (SELECT a.f AS feature_a, b.f AS feature_b, corr(a.v, b.v) AS r FROM lng a JOIN lng b USING (vec_id) WHERE a.partition<>'test' AND CAST(substr(a.f,2) AS INT) < CAST(substr(b.f,2) AS INT) GROUP BY 1, 2) WHERE abs(r) > {LIM}")
 
 
 def pairs(s, d):
@@ -211,21 +217,20 @@ def pairs(s, d):
 add("X11_redundant_pairs", lambda s, d: r6(pairs(s, d)), sql("rp", "SELECT feature_a, feature_b, round(r,6) AS r FROM rp"))
 add("X12_clusters", lambda s, d: X.clusters(pairs(s, d)), sql("rp", """WITH RECURSIVE e AS (SELECT feature_a AS x, feature_b AS y FROM rp UNION SELECT feature_b, feature_a FROM rp), c(node, reach) AS (SELECT x, x FROM e UNION SELECT c.node, e.y FROM c JOIN e ON c.reach=e.x)
 SELECT node, min(reach) AS cluster FROM c GROUP BY 1"""))
-add("X13_parameter_grid", lambda s, d: r6(EX.parameter_grid(emb(s, d), "vec_id", DIMS, [128, 32, 20], 15, SEED)))
-add("X14_top_features", lambda s, d: X.top_features(X.cohens_d(emb(s, d), DIMS), [2, 4, 8]).select("feature", "rank", "top_n"), sql("emb", "WITH u AS (" + " UNION ALL ".join(
-    f"SELECT '{n}' AS feature, (m1-m0)/sqrt(((n0-1)*v0+(n1-1)*v1)/(n0+n1-2)) AS d FROM (SELECT avg({n}) FILTER (WHERE truth) AS m1, avg({n}) FILTER (WHERE NOT truth) AS m0, var_samp({n}) FILTER (WHERE truth) AS v1, var_samp({n}) FILTER (WHERE NOT truth) AS v0, count(*) FILTER (WHERE truth) AS n1, count(*) FILTER (WHERE NOT truth) AS n0 FROM emb)" for n in DIMS)
-    + "), r AS (SELECT feature, row_number() OVER (ORDER BY abs(d) DESC, feature) AS rank FROM u) SELECT feature, CAST(rank AS INT) AS rank, t AS top_n FROM r, (VALUES (2),(4),(8)) v(t) WHERE rank <= t"))
-add("X15_leave_one_episode_out", lambda s, d: r6(EX.leave_one_episode_out(emb(s, d), "vec_id", DIMS, [2, 4], 15, SAMPLE, SEED)))
+add("X13_parameter_grid", lambda s, d: r6(EX.parameter_grid(few(s, d), "vec_id", FEW, [128, 32, 20], 15, SEED)))
+add("X14_top_features", lambda s, d: X.top_features(X.cohens_d(emb(s, d), DIMS), [8, 16, 32]).select("feature", "rank", "top_n"), sql("eff", """
+WITH r AS (SELECT feature, row_number() OVER (ORDER BY abs(d) DESC, feature) AS rank FROM eff) SELECT feature, CAST(rank AS INT) AS rank, t AS top_n FROM r, (VALUES (8),(16),(32)) v(t) WHERE rank <= t"""))
+add("X15_leave_one_episode_out", lambda s, d: r6(EX.leave_one_episode_out(few(s, d), "vec_id", FEW, [2, 4], 15, SAMPLE, SEED)))
 
 
 def x16(s, d):
-    sc = lambda df: df.withColumn("score", 0.0 - F.abs(F.col("d0")) - F.abs(F.col("d1")))
+    far = lambda df: df.withColumn("score", -sum((F.abs(F.col(n)) for n in DIMS[1:]), F.abs(F.col(DIMS[0]))))
     a = emb(s, d).where("truth")
-    return X.dilution(sc(a), sc(B.episode_mean(a, ["d0", "d1"])), -0.25)
+    return X.dilution(far(a), far(B.episode_mean(a, DIMS)), -6.3)
 
 
-add("X16_dilution", x16, sql("emb", """WITH w AS (SELECT episode_id, -abs(d0)-abs(d1) AS s FROM emb WHERE truth), e AS (SELECT episode_id, -abs(avg(d0))-abs(avg(d1)) AS s FROM emb WHERE truth GROUP BY 1)
-SELECT CAST(count(*) AS BIGINT) AS windows, CAST(count(*) FILTER (WHERE w.s <= -0.25) AS BIGINT) AS windows_hit, CAST(count(*) FILTER (WHERE w.s <= -0.25 AND e.s > -0.25) AS BIGINT) AS windows_lost, (SELECT CAST(count(*) AS BIGINT) FROM e WHERE s <= -0.25) AS episodes_hit FROM w JOIN e USING (episode_id)"""))
+add("X16_dilution", x16, sql("emb", f"""WITH w AS (SELECT episode_id, -({'+'.join(f'abs({n})' for n in DIMS)}) AS s FROM emb WHERE truth), e AS (SELECT episode_id, -({'+'.join(f'abs(avg({n}))' for n in DIMS)}) AS s FROM emb WHERE truth GROUP BY 1)
+SELECT CAST(count(*) AS BIGINT) AS windows, CAST(count(*) FILTER (WHERE w.s <= -6.3) AS BIGINT) AS windows_hit, CAST(count(*) FILTER (WHERE w.s <= -6.3 AND e.s > -6.3) AS BIGINT) AS windows_lost, (SELECT CAST(count(*) AS BIGINT) FROM e WHERE s <= -6.3) AS episodes_hit FROM w JOIN e USING (episode_id)"""))
 add("X17_binary_metrics", lambda s, d: r6(X.binary_metrics(scores(s, d).select("campaign_id", (F.col("label") == "anomaly").alias("truth"), (F.col("score") < -0.6).alias("alert")), ["campaign_id"])), sql("sc", f"""
 WITH c AS (SELECT campaign_id, CAST(count(*) FILTER (WHERE label='anomaly' AND score < -0.6) AS DOUBLE) AS tp, CAST(count(*) FILTER (WHERE label<>'anomaly' AND score < -0.6) AS DOUBLE) AS fp, CAST(count(*) FILTER (WHERE label='anomaly' AND score >= -0.6) AS DOUBLE) AS fn, CAST(count(*) FILTER (WHERE label<>'anomaly' AND score >= -0.6) AS DOUBLE) AS tn FROM sc GROUP BY 1),
 x AS (SELECT *, tp AS k, tp+fn AS n FROM c)
