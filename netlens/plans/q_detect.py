@@ -206,7 +206,7 @@ add("X09_bootstrap_threshold", x09)
 view("lng", "emb", "SELECT vec_id, truth, partition, unnest([" + ", ".join(f"'{n}'" for n in DIMS) + "]) AS f, unnest([" + ", ".join(DIMS) + "]) AS v FROM emb")
 view("eff", "lng", """SELECT f AS feature, (m1-m0)/sqrt(((n0-1)*v0+(n1-1)*v1)/(n0+n1-2)) AS d FROM (SELECT f, avg(v) FILTER (WHERE truth) AS m1, avg(v) FILTER (WHERE NOT truth) AS m0, var_samp(v) FILTER (WHERE truth) AS v1, var_samp(v) FILTER (WHERE NOT truth) AS v0, count(*) FILTER (WHERE truth) AS n1, count(*) FILTER (WHERE NOT truth) AS n0 FROM lng GROUP BY 1)""")
 add("X10_cohens_d", lambda s, d: r6(X.cohens_d(emb(s, d), DIMS)), sql("eff", "SELECT feature, round(d,6) AS d FROM eff"))
-LIM = 0.1
+LIM = 0.04
 view("rp", "lng", f"SELECT * FROM (SELECT a.f AS feature_a, b.f AS feature_b, corr(a.v, b.v) AS r FROM lng a JOIN lng b USING (vec_id) WHERE a.partition<>'test' AND CAST(substr(a.f,2) AS INT) < CAST(substr(b.f,2) AS INT) GROUP BY 1, 2) WHERE abs(r) > {LIM}")
 
 
@@ -218,8 +218,8 @@ add("X11_redundant_pairs", lambda s, d: r6(pairs(s, d)), sql("rp", "SELECT featu
 add("X12_clusters", lambda s, d: X.clusters(pairs(s, d)), sql("rp", """WITH RECURSIVE e AS (SELECT feature_a AS x, feature_b AS y FROM rp UNION SELECT feature_b, feature_a FROM rp), c(node, reach) AS (SELECT x, x FROM e UNION SELECT c.node, e.y FROM c JOIN e ON c.reach=e.x)
 SELECT node, min(reach) AS cluster FROM c GROUP BY 1"""))
 add("X13_parameter_grid", lambda s, d: r6(EX.parameter_grid(few(s, d), "vec_id", FEW, [128, 32, 20], 15, SEED)))
-add("X14_top_features", lambda s, d: X.top_features(X.cohens_d(emb(s, d), DIMS), [8, 16, 32]).select("feature", "rank", "top_n"), sql("eff", """
-WITH r AS (SELECT feature, row_number() OVER (ORDER BY abs(d) DESC, feature) AS rank FROM eff) SELECT feature, CAST(rank AS INT) AS rank, t AS top_n FROM r, (VALUES (8),(16),(32)) v(t) WHERE rank <= t"""))
+add("X14_top_features", lambda s, d: X.top_features(X.cohens_d(emb(s, d), DIMS), [2, 4, 8]).select("feature", "rank", "top_n"), sql("eff", """
+WITH r AS (SELECT feature, row_number() OVER (ORDER BY abs(d) DESC, feature) AS rank FROM eff) SELECT feature, CAST(rank AS INT) AS rank, t AS top_n FROM r, (VALUES (2),(4),(8)) v(t) WHERE rank <= t"""))
 add("X15_leave_one_episode_out", lambda s, d: r6(EX.leave_one_episode_out(few(s, d), "vec_id", FEW, [2, 4], 15, SAMPLE, SEED)))
 
 
