@@ -66,7 +66,7 @@ MODEL_SCHEMA = "config string, tree int, node int, left int, right int, feature
 
 def fit_iforest(
     rows: DataFrame, key: str, configs: dict[str, list[str]], trees: int = TREES, sample: int = SAMPLE,
-    seed: int = 0, weight: str | None = None,
+    seed: int = 0, weight: str | None = None, by: str | None = None,
 ) -> DataFrame:
     """Forests for several feature sets from one pass, as a table of nodes.
 
@@ -76,33 +76,43 @@ def fit_iforest(
     until every tree has its sample below it, so that it changes how much is sent and never
     which rows are drawn, under any weights. Rows whose weight is null, zero, negative or not finite are never
     drawn; a tree has min(sample, rows with a weight) rows, and without such rows there is no tree.
+
+    ``by`` names a column of whole numbers, such as a fold: each of its values (a few) gets the forests that its rows
+    alone would give, all in the same pass, and the table keeps the column.
     """
     names = sorted({n for f in configs.values() for n in f})
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     rows = rows.where((w > 0) & (w < float("inf")))  # NaN is above all numbers
-    n, mass = rows.agg(F.count(F.lit(1)), F.sum(w)).first()
-    psi = min(sample, n)
+    g = F.col(by).cast("int") if by else F.lit(0)
     k = F.col(key).cast("string")
-    base = rows.select(k.alias("k"), w.alias("w"), F.array(*[F.col(c).cast("double") for c in names]).alias("x"))
+    base = rows.select(g.alias("g"), k.alias("k"), w.alias("w"), F.array(*[F.col(c).cast("double") for c in names]).alias("x")).where("g is not null")
+    groups = {r["g"]: r for r in base.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("mass")).collect()}  # a row per value of ``by``
+    psi = {i: min(sample, r["n"]) for i, r in groups.items()}
 
-    def below(bound: float) -> DataFrame:
+    def below(bounds: dict[int, float]) -> DataFrame:
         e = lambda t: -F.ln(_unit(F.col("k"), t, F.lit(seed))) / F.col("w")
-        drawn = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), e(t).alias("e"))), lambda d: d["e"] <= bound)
-        return base.select("k", "x", F.explode(drawn).alias("d")).select("k", "x", "d.tree", "d.e")
-
-    # the bound ends at infinity, which all keys reach
-    bound, more = max(3.0 * sample / mass, 1e-300) if mass else 1.0, 4.0
-    while psi:
-        trees_full = below(bound).groupBy("tree").count().where(F.col("count") >= psi).count()
-        if trees_full == trees:
-            break
-        bound, more = bound * more, min(more * more, 1e300)
-    x = below(bound)
-    limit = max(1, math.ceil(math.log2(max(psi, 2))))
+        bound = F.create_map(*[F.lit(v) for pair in bounds.items() for v in pair])[F.col("g")]
+        drawn = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), e(t).alias("e"))), lambda d: d["e"] <= F.col("bound"))
+        return base.where(F.col("g").isin(list(bounds))).withColumn("bound", bound).select("g", "k", "x", F.explode(drawn).alias("d")).select("g", "k", "x", "d.tree", "d.e")
+
+    # a bound ends at infinity, which all keys reach; what is drawn is bounded by trees x sample x a small factor
+    bounds = {i: max(3.0 * sample / r["mass"], 1e-300) for i, r in groups.items() if r["n"]}
+    more, x = 4.0, None
+    while bounds:
+        drawn = materialize(below(bounds))
+        sizes = drawn.groupBy("g", "tree").count().groupBy("g").agg(F.min("count").alias("least"), F.count(F.lit(1)).alias("trees")).collect()
+        full = [r["g"] for r in sizes if r["trees"] == trees and r["least"] >= psi[r["g"]]]
+        part = drawn.where(F.col("g").isin(full))
+        x = part if x is None else x.unionByName(part)
+        bounds, more = {i: b * more for i, b in bounds.items() if i not in full}, min(more * more, 1e300)
+    if x is None:
+        x = base.select("g", "k", "x", F.lit(0).alias("tree"), F.lit(0.0).alias("e")).limit(0)
     columns = {c: [names.index(f) for f in fs] for c, fs in configs.items()}
 
     def grow(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("e", "ascending"), ("k", "ascending")]).slice(0, psi)
+        group = table["g"][0].as_py()
+        table = table.sort_by([("e", "ascending"), ("k", "ascending")]).slice(0, psi[group])
+        limit = max(1, math.ceil(math.log2(max(psi[group], 2))))
         tree = table["tree"][0].as_py()
         data = np.array(table["x"].to_pylist(), dtype=float)
         out: dict[str, list] = {c.split()[0]: [] for c in MODEL_SCHEMA.split(", ")}
@@ -112,9 +122,10 @@ def fit_iforest(
                 for c, v in zip(out, (config, tree, node, *values)):
                     out[c].append(v)
         types = {"config": pa.string(), "threshold": pa.float64()}
-        return pa.table({c: pa.array(v, types.get(c, pa.int32())) for c, v in out.items()})
+        return pa.table({"g": pa.array([group] * len(out["tree"]), pa.int32()), **{c: pa.array(v, types.get(c, pa.int32())) for c, v in out.items()}})
 
-    return x.groupBy("tree").applyInArrow(grow, MODEL_SCHEMA)
+    model = materialize(x.groupBy("g", "tree").applyInArrow(grow, f"g int, {MODEL_SCHEMA}"))
+    return model.withColumnRenamed("g", by) if by else model.drop("g")
 
 
 def average_path(n: float) -> float:
@@ -126,39 +137,51 @@ def average_path(n: float) -> float:
     return 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
 
-def score_iforest(rows: DataFrame, model: DataFrame, configs: dict[str, list[str]]) -> DataFrame:
+def score_iforest(rows: DataFrame, model: DataFrame, configs: dict[str, list[str]], by: str | None = None) -> DataFrame:
     """Rows with ``score_<config>`` = -2^(-E[h/c]), c of each tree's own sample; decision = score + 0.5.
 
     A forest has at most trees x (2 x sample - 1) nodes per config whatever it was fitted
     on, so it is collected once and shipped with the function; rows stay where they are and
-    are scored in Arrow batches.
+    are scored in Arrow batches. With ``by``, a row is scored by the forest of its own value;
+    without a forest for it there is no score.
     """
-    forests: dict[str, list] = {}
-    for (config, _), part in model.toPandas().groupby(["config", "tree"], sort=True):
+    forests: dict[tuple, list] = {}
+    nodes = model.toPandas()
+    nodes["_g"] = nodes[by].astype("int64") if by else 0
+    for (group, config, _), part in nodes.groupby(["_g", "config", "tree"], sort=True):
         part = part.sort_values("node")
         length = part["depth"].to_numpy(float) + np.array([average_path(s) for s in part["size"]])
-        forests.setdefault(config, []).append((part["left"].to_numpy(), part["right"].to_numpy(), part["feature"].to_numpy(), part["threshold"].to_numpy(), length, int(part["size"].iloc[0])))
+        forests.setdefault((int(group), config), []).append((part["left"].to_numpy(), part["right"].to_numpy(), part["feature"].to_numpy(), part["threshold"].to_numpy(), length, int(part["size"].iloc[0])))
     names = sorted({n for f in configs.values() for n in f})
     out_schema = T.StructType([*rows.schema.fields, *[T.StructField(f"score_{c}", T.DoubleType()) for c in configs]])
 
+    def paths(x: np.ndarray, trees: list) -> np.ndarray:
+        total, at = np.zeros(len(x)), np.arange(len(x))
+        for left, right, feature, cut, length, size in trees:
+            node = np.zeros(len(x), dtype=int)
+            while True:
+                f = feature[node]
+                inner = f >= 0
+                if not inner.any():
+                    break
+                go = x[at, np.maximum(f, 0)] <= cut[node]
+                node = np.where(inner, np.where(go, left[node], right[node]), node)
+            total += length[node] / (average_path(size) or 1.0)
+        return total
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data = np.column_stack([b.column(n).to_numpy(zero_copy_only=False).astype(float) for n in names]) if b.num_rows else np.zeros((0, len(names)))
-            arrays, at = list(b.columns), np.arange(len(data))
+            groups = np.array([-1 if v is None else v for v in b.column(by).to_pylist()], dtype=int) if by else np.zeros(len(data), dtype=int)
+            arrays = list(b.columns)
             for config, fs in configs.items():
-                x = data[:, [names.index(f) for f in fs]]
-                total = np.zeros(len(x))
-                for left, right, feature, cut, length, size in forests[config]:
-                    node = np.zeros(len(x), dtype=int)
-                    while True:
-                        f = feature[node]
-                        inner = f >= 0
-                        if not inner.any():
-                            break
-                        go = x[at, np.maximum(f, 0)] <= cut[node]
-                        node = np.where(inner, np.where(go, left[node], right[node]), node)
-                    total += length[node] / (average_path(size) or 1.0)
-                arrays.append(pa.array(-np.power(2.0, -total / len(forests[config]))))
+                cols, out, known = [names.index(f) for f in fs], np.full(len(data), np.nan), np.zeros(len(data), dtype=bool)
+                for group in np.unique(groups):
+                    trees, here = forests.get((int(group), config)), groups == group
+                    if trees:
+                        out[here] = -np.power(2.0, -paths(data[here][:, cols], trees) / len(trees))
+                        known |= here
+                arrays.append(pa.array(out, mask=~known))
             yield pa.RecordBatch.from_arrays(arrays, names=[*b.schema.names, *[f"score_{c}" for c in configs]])
 
     return rows.mapInArrow(score, out_schema)

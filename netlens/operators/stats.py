@@ -183,6 +183,45 @@ def cohens_d(rows: DataFrame, names: list[str], truth: str = "truth") -> DataFra
     return x.select("feature", d.alias("d"))
 
 
+def moments(rows: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """(keys, feature, n, m, q): count, mean and sum of squared deviations, which add up and subtract."""
+    v = F.col("value")
+    return to_long(rows, keys, names).groupBy(*keys, "feature").agg(F.count(v).alias("n"), F.avg(v).alias("m"), (F.var_pop(v) * F.count(v)).alias("q")).where("n > 0")
+
+
+def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Moments of coarser groups; a part is one row, so no table row is read again."""
+    by = [*keys, "feature"]
+    mean = parts.groupBy(*by).agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("_mean"))
+    off = F.col("m") - F.col("_mean")
+    return parts.join(mean, by).groupBy(*by).agg(F.sum("n").alias("n"), F.max("_mean").alias("m"), F.sum(F.col("q") + F.col("n") * off * off).alias("q"))
+
+
+def effects_without(rows: DataFrame, names: list[str], episode: str = "episode_id", truth: str = "truth") -> DataFrame:
+    """(held, feature, d): effect sizes with one anomalous episode left out, for every such episode.
+
+    One pass gives the moments of each episode; those of a fold are the total less the episode's. Anomalies without
+    an episode are in every fold and never held out; there is no fold where no anomaly would remain.
+    """
+    part = materialize(moments(rows.select(F.col(truth).alias("_t"), F.when(F.col(truth), F.col(episode)).alias("held"), *names), ["_t", "held"], names))
+    normal = part.where("not _t").select("feature", F.col("n").alias("n0"), F.col("m").alias("m0"), F.col("q").alias("q0"))
+    every = merged(part.where("_t").drop("_t", "held"), []).select("feature", F.col("n").alias("na"), F.col("m").alias("ma"), F.col("q").alias("qa"))
+    held = part.where("_t and held is not null").select("held").distinct()
+    x = held.join(F.broadcast(every)).join(part.where("_t").drop("_t"), ["held", "feature"], "left").join(normal, "feature", "left")  # one row per feature
+    x = x.na.fill(0, ["n", "n0"]).na.fill(0.0, ["m", "q", "m0", "q0"])
+    x = x.withColumn("n1", F.col("na") - F.col("n"))
+    m1 = F.col("ma") - F.try_divide((F.col("m") - F.col("ma")) * F.col("n"), F.col("n1"))
+    x = x.withColumn("m1", F.coalesce(m1, F.lit(0.0)))
+    apart = F.col("m") - F.col("m1")
+    q1 = F.col("qa") - F.col("q") - apart * apart * F.col("n") * F.col("n1") / F.col("na")
+    q1 = F.when(q1 > 1e-12 * F.col("qa"), q1).otherwise(0.0)  # what subtraction leaves of a constant
+    n0, n1 = F.col("n0"), F.col("n1")
+    pooled = F.try_divide(F.col("q0") + q1, (n0 + n1 - 2).cast("double"))
+    d = F.when((n0 == 0) | (n1 == 0) | (n0 + n1 <= 2), F.lit(0.0)).otherwise(safe_ratio(F.col("m1") - F.col("m0"), F.sqrt(pooled)))
+    left = Window.partitionBy("held")
+    return x.select("held", "feature", d.alias("d"), F.max("n1").over(left).alias("_left")).where("_left > 0").drop("_left")
+
+
 def redundant_pairs(rows: DataFrame, names: list[str], limit: float = 0.8) -> DataFrame:
     """Feature pairs whose Pearson correlation, over the rows that have both, exceeds the limit.
 
@@ -240,21 +279,33 @@ def fold_of(episode: Column, folds: int, seed: int) -> Column:
     return F.pmod(F.xxhash64(episode.cast("string"), F.lit(seed)), F.lit(folds)).cast("int")
 
 
-def kfold_episodes(rows: DataFrame, episode: str, folds: int = 5, seed: int = 20260, inner: int = 4) -> DataFrame:
-    """Role of every row in every fold: test, calibrate (one in four of the rest) or fit.
+def dealt(eps: DataFrame, episode: str, seed: int) -> DataFrame:
+    """Distinct episodes with ``_i``, their place from 0 in a seeded order that no task sorts whole."""
+    digest = F.md5(F.concat(F.col(episode).cast("string"), F.lit(f":{seed}")).cast("binary"))
+    eps = materialize(eps.where(F.col(episode).isNotNull()).withColumn("_h", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")))
+    place = ordered_counts(eps, [], "_h").select(F.col("v").alias("_h"), F.col("below").alias("_below"))
+    same = Window.partitionBy("_h").orderBy(episode)
+    return eps.join(place, "_h").select(episode, (F.col("_below") + F.row_number().over(same) - 1).alias("_i"))
+
 
-    Episodes never cross roles. Balanced folds: the episodes in a seeded order are dealt
-    round; there is one row per episode in that window.
+def episode_roles(rows: DataFrame, episode: str, folds: int = 5, seed: int = 20260, inner: int = 4) -> DataFrame:
+    """(episode, fold, role) in every fold: test, calibrate (one in ``inner`` of the rest) or fit.
+
+    Balanced folds: the episodes in a seeded order are dealt round, and a place among the
+    rest of a fold follows from the place among all. Rows without an episode have no role.
     """
-    order = Window.orderBy(F.xxhash64(F.col(episode).cast("string"), F.lit(seed)), F.col(episode))
-    eps = rows.select(episode).distinct().withColumn("_i", F.row_number().over(order) - 1)
-    eps = eps.withColumn("_fold", F.col("_i") % folds)
-    dims = eps.select(episode, "_fold", "_i", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold"))
-    rest = Window.partitionBy("fold").orderBy("_i")
-    others = dims.where("_fold <> fold").withColumn("_r", F.row_number().over(rest)).withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy("fold")))
-    role = others.select(episode, "fold", F.when(F.col("_r") <= F.floor(F.col("_m") * (inner - 1) / inner), "fit").otherwise("calibrate").alias("role"))
-    role = role.unionByName(dims.where("_fold = fold").select(episode, "fold", F.lit("test").alias("role")))
-    return rows.join(role, episode)
+    eps = materialize(dealt(rows.select(episode).distinct(), episode, seed))
+    n = eps.count()
+    x = eps.select(episode, "_i", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold"))
+    tested = lambda upto: F.floor((upto + folds - 1 - F.col("fold")) / folds)  # test episodes of the fold before a place
+    place, rest = F.col("_i") - tested(F.col("_i")), F.lit(n) - tested(F.lit(n))
+    role = F.when(F.col("_i") % folds == F.col("fold"), "test").when(place < F.floor(rest * (inner - 1) / inner), "fit").otherwise("calibrate")
+    return x.select(episode, "fold", role.alias("role"))
+
+
+def kfold_episodes(rows: DataFrame, episode: str, folds: int = 5, seed: int = 20260, inner: int = 4) -> DataFrame:
+    """Role of every row in every fold; episodes never cross roles."""
+    return rows.join(episode_roles(rows, episode, folds, seed, inner), episode)
 
 
 def bootstrap_threshold(scores: DataFrame, episode: str, score: str, alpha: float, replicates: int, seed: int) -> DataFrame:
@@ -263,9 +314,7 @@ def bootstrap_threshold(scores: DataFrame, episode: str, score: str, alpha: floa
     A replicate draws as many episodes as there are, with replacement. Drawn multiplicities
     weigh the distinct scores, so rows are not copied; ranks come from weighted counts.
     """
-    eps = scores.select(episode).distinct()
-    order = Window.orderBy(F.xxhash64(F.col(episode).cast("string")), F.col(episode))
-    eps = materialize(eps.withColumn("_i", F.row_number().over(order) - 1))  # one row per episode
+    eps = materialize(dealt(scores.select(episode).distinct(), episode, seed))
     m = eps.count()
     draws = eps.select(F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"), "_i")
     pick = F.pmod(F.xxhash64("replicate", "_i", F.lit(seed)), F.lit(m))

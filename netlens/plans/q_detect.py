@@ -12,8 +12,7 @@ from netlens.plans.q_learn import scores
 from netlens.plans.registry import add, r6
 
 DIMS = [f"d{i}" for i in range(64)]
-FEW = DIMS[:8]  # columns of the forest queries
-TREES, SAMPLE, SEED = 40, 128, 7
+TREES, SAMPLE, SEED = M.TREES, M.SAMPLE, 7
 
 
 def emb(s, d):
@@ -28,10 +27,6 @@ view("emb", "", "SELECT vec_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBL
      ", 'e'||(label*10+vec_id%4) AS episode_id, label>=8 AS truth, CASE WHEN vec_id%5<3 THEN 'train' WHEN vec_id%5=3 THEN 'validation' ELSE 'test' END AS partition FROM embeddings")
 
 
-def few(s, d):
-    return emb(s, d).select("vec_id", *FEW, "episode_id", "truth", "partition")
-
-
 def train(s, d):
     return emb(s, d).where("partition = 'train' and not truth")
 
@@ -41,15 +36,15 @@ add("M01_scaler", lambda s, d: r6(M.scale(emb(s, d), M.fit_scaler(train(s, d), D
 
 
 def forest(s, d, weight=None):
-    x = few(s, d)
+    x = emb(s, d)
     t = x.where("partition = 'train' and not truth")
     if weight:
         t = B.episode_weights(t)
-    m = M.fit_iforest(t, "vec_id", {"all": FEW}, TREES, SAMPLE, SEED, weight)
-    return M.score_iforest(x, m, {"all": FEW}).withColumnRenamed("score_all", "score")
+    m = M.fit_iforest(t, "vec_id", {"all": DIMS}, TREES, SAMPLE, SEED, weight)
+    return M.score_iforest(x, m, {"all": DIMS}).withColumnRenamed("score_all", "score")
 
 
-add("M02_fit_iforest", lambda s, d: M.fit_iforest(few(s, d).where("partition = 'train' and not truth"), "vec_id", {"all": FEW}, TREES, SAMPLE, SEED).groupBy("tree").agg(
+add("M02_fit_iforest", lambda s, d: M.fit_iforest(emb(s, d).where("partition = 'train' and not truth"), "vec_id", {"all": DIMS}, TREES, SAMPLE, SEED).groupBy("tree").agg(
     F.count(F.lit(1)).alias("nodes"), F.max("depth").alias("depth"), F.max("size").alias("rows")))
 add("M03_weighted_iforest", lambda s, d: r6(forest(s, d, "weight").select("vec_id", "score")))
 add("M04_score_iforest", lambda s, d: r6(forest(s, d).select("vec_id", "score", (F.col("score") - M.OFFSET).alias("decision"))))
@@ -108,7 +103,7 @@ add("M14_evaluate", lambda s, d: r6(M.evaluate(scores(s, d).withColumn("profile"
  UNION ALL SELECT 'source', CASE WHEN entity_ip='10.10.1.12' THEN 'real' ELSE 'legacy' END, count(*), count(*) FILTER (WHERE score < -0.6) FROM a GROUP BY 2 UNION ALL SELECT 'profile', campaign_id, count(*), count(*) FILTER (WHERE score < -0.6) FROM a GROUP BY 2
  UNION ALL SELECT 'episodes','all',count(DISTINCT episode_id),count(DISTINCT episode_id) FILTER (WHERE score < -0.6) FROM a)
 SELECT section, name, CAST(w AS BIGINT) AS windows, CAST(d AS BIGINT) AS detected, round(d/CAST(w AS DOUBLE),6) AS rate FROM u"""))
-add("M15_seed_stability", lambda s, d: r6(M.seed_stability(few(s, d).where("partition = 'train' and not truth"), few(s, d).where(VAL), "vec_id", FEW, [1, 2, 3], 20, SAMPLE, 0.05)))
+add("M15_seed_stability", lambda s, d: r6(M.seed_stability(emb(s, d).where("partition = 'train' and not truth"), emb(s, d).where(VAL), "vec_id", DIMS, [1, 2, 3], TREES, SAMPLE, 0.05)))
 
 
 def linear(df):
@@ -183,8 +178,9 @@ def x06(s, d):
 PR = " UNION ALL ".join(f"SELECT '{p}' AS model_a, '{q}' AS model_b, count(*) FILTER (WHERE {p} AND NOT {q}) AS oa, count(*) FILTER (WHERE {q} AND NOT {p}) AS ob FROM vd" for p, q in (("a", "b"), ("a", "c"), ("b", "c")))
 add("X06_compare_all", x06, sql("vd", f"""WITH u AS ({PR}), x AS (SELECT *, oa+ob AS n, {psql('least(oa,ob)', '(oa+ob)')} AS p FROM u), y AS (SELECT *, CAST(0.05 AS DOUBLE)/(count(*) OVER ()-row_number() OVER (ORDER BY p, model_a||' vs '||model_b)+1) AS lim FROM x)
 SELECT model_a, model_b, model_a||' vs '||model_b AS pair, CAST(oa AS BIGINT) AS only_a, CAST(ob AS BIGINT) AS only_b, CAST(n AS BIGINT) AS discordant, round(p,6) AS p, min(CASE WHEN p<=lim THEN 1 ELSE 0 END) OVER (ORDER BY p, model_a||' vs '||model_b ROWS UNBOUNDED PRECEDING)=1 AS significant FROM y"""))
-GROUPS = {"all": FEW, **{f"only_{i}": FEW[2 * i:2 * i + 2] for i in range(3)}, **{f"without_{i}": [n for n in FEW if n not in FEW[2 * i:2 * i + 2]] for i in range(4)}}
-add("X07_ablation", lambda s, d: r6(EX.ablation(few(s, d), "vec_id", GROUPS, 20, SAMPLE, SEED, 0.05)))
+BLOCKS = [DIMS[i:i + 16] for i in range(0, 64, 16)]
+GROUPS = {"all": DIMS, **{f"only_{i}": g for i, g in enumerate(BLOCKS)}, **{f"without_{i}": [n for n in DIMS if n not in g] for i, g in enumerate(BLOCKS)}}
+add("X07_ablation", lambda s, d: r6(EX.ablation(emb(s, d), "vec_id", GROUPS, TREES, SAMPLE, SEED, 0.05)))
 
 
 def x08(s, d):
@@ -196,6 +192,18 @@ add("X08_kfold_episodes", x08, sql("emb", """WITH n AS (SELECT count(DISTINCT ep
 SELECT fold, 'test' AS role, CAST(te AS BIGINT) AS episodes FROM u UNION ALL SELECT fold, 'fit', CAST(floor(m*3/CAST(4 AS DOUBLE)) AS BIGINT) FROM u UNION ALL SELECT fold, 'calibrate', CAST(m-floor(m*3/CAST(4 AS DOUBLE)) AS BIGINT) FROM u"""))
 
 
+view("lng", "emb", "SELECT vec_id, truth, partition, unnest([" + ", ".join(f"'{n}'" for n in DIMS) + "]) AS f, unnest([" + ", ".join(DIMS) + "]) AS v FROM emb")
+add("X08_cross_validate", lambda s, d: r6(EX.cross_validate(emb(s, d), "vec_id", DIMS, 5, SEED, 0.05, EX.fold_distance)), sql("lng", f"""
+WITH e AS (SELECT episode_id, row_number() OVER (ORDER BY h, episode_id)-1 AS i FROM (SELECT DISTINCT episode_id, CAST('0x'||substr(md5(episode_id||':{SEED}'),1,15) AS BIGINT) AS h FROM emb WHERE NOT truth)), fs AS (SELECT CAST(unnest(range(0,5)) AS INT) AS fold),
+k AS (SELECT episode_id, fold, i%5=fold AS te, row_number() OVER (PARTITION BY fold, i%5=fold ORDER BY i) AS p, count(*) OVER (PARTITION BY fold, i%5=fold) AS m FROM e, fs),
+r AS (SELECT fold, episode_id, vec_id, CASE WHEN te THEN 'test' WHEN p<=floor(m*3/CAST(4 AS DOUBLE)) THEN 'fit' ELSE 'calibrate' END AS role FROM k JOIN emb USING (episode_id) WHERE NOT truth UNION ALL SELECT fold, episode_id, vec_id, 'anomaly' FROM emb, fs WHERE truth),
+mo AS (SELECT fold, f, avg(v) AS m, stddev_pop(v) AS s FROM r JOIN lng USING (vec_id) WHERE role='fit' GROUP BY 1, 2),
+z AS (SELECT fold, role, episode_id, vec_id, round(-sum(power((v-m)/CASE WHEN s=0 THEN 1 ELSE s END,2)),6) AS score FROM r JOIN lng USING (vec_id) JOIN mo USING (fold, f) WHERE role<>'fit' GROUP BY ALL),
+t AS (SELECT fold, score AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY score)-1 AS i, floor(CAST(0.05 AS DOUBLE)*count(*) OVER (PARTITION BY fold)) AS at FROM z WHERE role='calibrate') WHERE i=at),
+c AS (SELECT fold, threshold, count(DISTINCT episode_id) FILTER (WHERE role='test') AS te, count(*) FILTER (WHERE role='test') AS n, count(*) FILTER (WHERE role='test' AND score<threshold) AS fa, count(*) FILTER (WHERE role='anomaly') AS a, count(*) FILTER (WHERE role='anomaly' AND score<threshold) AS de FROM z JOIN t USING (fold) WHERE role<>'calibrate' GROUP BY 1, 2)
+SELECT fold, round(threshold,6) AS threshold, CAST(te AS BIGINT) AS test_episodes, CAST(n AS BIGINT) AS normal, CAST(fa AS BIGINT) AS false_alerts, CAST(a AS BIGINT) AS anomalies, CAST(de AS BIGINT) AS detected, round(100*fa/CAST(n AS DOUBLE),6) AS fpr_pct, round(100*de/CAST(a AS DOUBLE),6) AS detected_pct FROM c"""))
+
+
 def x09(s, d):
     v = scores(s, d).where(VAL)
     t = X.bootstrap_threshold(v, "episode_id", "score", 0.05, 1000, SEED)
@@ -203,7 +211,6 @@ def x09(s, d):
 
 
 add("X09_bootstrap_threshold", x09)
-view("lng", "emb", "SELECT vec_id, truth, partition, unnest([" + ", ".join(f"'{n}'" for n in DIMS) + "]) AS f, unnest([" + ", ".join(DIMS) + "]) AS v FROM emb")
 view("eff", "lng", """SELECT f AS feature, (m1-m0)/sqrt(((n0-1)*v0+(n1-1)*v1)/(n0+n1-2)) AS d FROM (SELECT f, avg(v) FILTER (WHERE truth) AS m1, avg(v) FILTER (WHERE NOT truth) AS m0, var_samp(v) FILTER (WHERE truth) AS v1, var_samp(v) FILTER (WHERE NOT truth) AS v0, count(*) FILTER (WHERE truth) AS n1, count(*) FILTER (WHERE NOT truth) AS n0 FROM lng GROUP BY 1)""")
 add("X10_cohens_d", lambda s, d: r6(X.cohens_d(emb(s, d), DIMS)), sql("eff", "SELECT feature, round(d,6) AS d FROM eff"))
 LIM = 0.04
@@ -217,10 +224,10 @@ def pairs(s, d):
 add("X11_redundant_pairs", lambda s, d: r6(pairs(s, d)), sql("rp", "SELECT feature_a, feature_b, round(r,6) AS r FROM rp"))
 add("X12_clusters", lambda s, d: X.clusters(pairs(s, d)), sql("rp", """WITH RECURSIVE e AS (SELECT feature_a AS x, feature_b AS y FROM rp UNION SELECT feature_b, feature_a FROM rp), c(node, reach) AS (SELECT x, x FROM e UNION SELECT c.node, e.y FROM c JOIN e ON c.reach=e.x)
 SELECT node, min(reach) AS cluster FROM c GROUP BY 1"""))
-add("X13_parameter_grid", lambda s, d: r6(EX.parameter_grid(few(s, d), "vec_id", FEW, [128, 32, 20], 15, SEED)))
+add("X13_parameter_grid", lambda s, d: r6(EX.parameter_grid(emb(s, d), "vec_id", DIMS, [256, 128, 32], TREES, SEED)))
 add("X14_top_features", lambda s, d: X.top_features(X.cohens_d(emb(s, d), DIMS), [2, 4, 8]).select("feature", "rank", "top_n"), sql("eff", """
 WITH r AS (SELECT feature, row_number() OVER (ORDER BY abs(d) DESC, feature) AS rank FROM eff) SELECT feature, CAST(rank AS INT) AS rank, t AS top_n FROM r, (VALUES (2),(4),(8)) v(t) WHERE rank <= t"""))
-add("X15_leave_one_episode_out", lambda s, d: r6(EX.leave_one_episode_out(few(s, d), "vec_id", FEW, [2, 4], 15, SAMPLE, SEED)))
+add("X15_leave_one_episode_out", lambda s, d: r6(EX.leave_one_episode_out(emb(s, d), "vec_id", DIMS, [5, 10, 15, 28], TREES, SAMPLE, SEED)))
 
 
 def x16(s, d):
