@@ -96,7 +96,7 @@ def fit_iforest(
         return base.where(F.col("g").isin(list(bounds))).withColumn("bound", bound).select("g", "k", "x", F.explode(drawn).alias("d")).select("g", "k", "x", "d.tree", "d.e")
 
     # a bound ends at infinity, which all keys reach; what is drawn is bounded by trees x sample x a small factor
-    bounds = {i: max(3.0 * sample / r["mass"], 1e-300) for i, r in groups.items() if r["n"]}
+    bounds = {i: float("inf") if r["n"] <= 4 * sample else max(3.0 * sample / r["mass"], 1e-300) for i, r in groups.items()}
     more, x = 4.0, None
     while bounds:
         drawn = materialize(below(bounds))
@@ -114,7 +114,7 @@ def fit_iforest(
         table = table.sort_by([("e", "ascending"), ("k", "ascending")]).slice(0, psi[group])
         limit = max(1, math.ceil(math.log2(max(psi[group], 2))))
         tree = table["tree"][0].as_py()
-        data = np.array(table["x"].to_pylist(), dtype=float)
+        data = table["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(table), -1)
         out: dict[str, list] = {c.split()[0]: [] for c in MODEL_SCHEMA.split(", ")}
         for number, (config, cols) in enumerate(sorted(columns.items())):
             rng = np.random.default_rng([seed, tree, number])

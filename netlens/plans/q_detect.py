@@ -199,7 +199,7 @@ k AS (SELECT episode_id, fold, i%5=fold AS te, row_number() OVER (PARTITION BY f
 r AS (SELECT fold, episode_id, vec_id, CASE WHEN te THEN 'test' WHEN p<=floor(m*3/CAST(4 AS DOUBLE)) THEN 'fit' ELSE 'calibrate' END AS role FROM k JOIN emb USING (episode_id) WHERE NOT truth UNION ALL SELECT fold, episode_id, vec_id, 'anomaly' FROM emb, fs WHERE truth),
 mo AS (SELECT fold, f, avg(v) AS m, stddev_pop(v) AS s FROM r JOIN lng USING (vec_id) WHERE role='fit' GROUP BY 1, 2),
 z AS (SELECT fold, role, episode_id, vec_id, round(-sum(power((v-m)/CASE WHEN s=0 THEN 1 ELSE s END,2)),6) AS score FROM r JOIN lng USING (vec_id) JOIN mo USING (fold, f) WHERE role<>'fit' GROUP BY ALL),
-t AS (SELECT fold, score AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY score)-1 AS i, floor(CAST(0.05 AS DOUBLE)*count(*) OVER (PARTITION BY fold)) AS at FROM z WHERE role='calibrate') WHERE i=at),
+t AS (SELECT fold, score AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY score)-1 AS i, floor(CAST(0.05 AS DOUBLE)*count(*) OVER (PARTITION BY fold)) AS cut FROM z WHERE role='calibrate') WHERE i=cut),
 c AS (SELECT fold, threshold, count(DISTINCT episode_id) FILTER (WHERE role='test') AS te, count(*) FILTER (WHERE role='test') AS n, count(*) FILTER (WHERE role='test' AND score<threshold) AS fa, count(*) FILTER (WHERE role='anomaly') AS a, count(*) FILTER (WHERE role='anomaly' AND score<threshold) AS de FROM z JOIN t USING (fold) WHERE role<>'calibrate' GROUP BY 1, 2)
 SELECT fold, round(threshold,6) AS threshold, CAST(te AS BIGINT) AS test_episodes, CAST(n AS BIGINT) AS normal, CAST(fa AS BIGINT) AS false_alerts, CAST(a AS BIGINT) AS anomalies, CAST(de AS BIGINT) AS detected, round(100*fa/CAST(n AS DOUBLE),6) AS fpr_pct, round(100*de/CAST(a AS DOUBLE),6) AS detected_pct FROM c"""))
 
