@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from netlens.functions.columns import idiv, tri_and
-from netlens.operators.core import SECOND, asof, following, materialize, point_in_interval, previous, quantiles, scan
+from netlens.operators.core import SECOND, asof, following, interval_totals, materialize, previous, quantiles, scan
 
 MEASURED = ("cero_explicito", "descartes")
 K_CRITERIA = ("K1", "K2", "K3", "K4a", "K5")
@@ -35,13 +35,59 @@ def increments(samples: DataFrame, slice_us: int) -> DataFrame:
     return x.withColumns({"d_packets": F.when(ok, c("packets") - c("p0")), "d_drops": F.when(ok, c("drops") - c("d0"))})
 
 
-def _bounded(samples: DataFrame, periods: DataFrame, edge_us: int, slice_us: int) -> DataFrame:
-    """Periods with the last sample at most ``edge_us`` before and the first after them."""
-    s = samples.select("component", "ts_us", "sample_id")
-    x = asof(periods, s, ["component"], "t0_us", "ts_us", {"ts_us": "a_us"}, slice_us, tie=["sample_id"])
-    x = asof(x, s, ["component"], "t1_us", "ts_us", {"ts_us": "b_us"}, slice_us, forward=True, tie=["sample_id"])
-    far = lambda c, d: F.when(d <= edge_us, F.col(c))
-    return x.withColumns({"a_us": far("a_us", F.col("t0_us") - F.col("a_us")), "b_us": far("b_us", F.col("b_us") - F.col("t1_us"))})
+def _between(
+    rows: DataFrame, periods: DataFrame, edge_us: int, whole: dict[str, Column], inner: dict[str, Column], ends: list[str], slice_us: int, pids: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """Periods with the last sample at most ``edge_us`` before and the first after them, and sums per period_id between the two.
+
+    rows: samples with ``x_us``, the instant of the sample before. ``whole`` sums over all samples from a_us to b_us, ``inner``
+    over those whose sample before is one of them too, ``ends`` is how much a value grows from the first to the last, ``pids``
+    tells 0, 1 and several processes (2) apart. Samples collapse to instants with running sums, and a period reads them at its
+    two bounds, so the work does not grow with how many samples a period holds.
+    """
+    c = F.col
+    order = F.struct("ts_us", "sample_id")
+    x = rows.where("ts_us is not null")
+    if pids:  # a change belongs to the later of two processes that follow each other
+        x = scan(x, ["component"], ["ts_us", "sample_id"], "ts_us", slice_us, {"_pid0": ("last", c("pid"), False)})
+        x = x.withColumn("_change", F.coalesce(c("pid") != c("_pid0"), F.lit(False)).cast("long"))
+    new = c("x_us").isNull() | (c("x_us") < c("ts_us"))  # an instant's first sample
+    sums = whole | inner | ({"_known": c("pid").isNotNull().cast("long"), "_changes": c("_change")} if pids else {})
+    first = [F.min_by(v, order).alias(f"_first_{v}") for v in ends]
+    if pids:
+        named = F.when(c("pid").isNotNull(), order)
+        first += [F.min_by("_change", named).alias("_turn"), F.max_by("pid", named).alias("_pid")]
+    at = x.groupBy("component", "ts_us").agg(
+        *[F.coalesce(F.sum(e), F.lit(0)).cast("long").alias(f"_n_{n}") for n, e in sums.items()],
+        *[F.coalesce(F.sum(F.when(new, e)), F.lit(0)).cast("long").alias(f"_new_{n}") for n, e in inner.items()],
+        *first, *[F.max_by(v, order).alias(f"_last_{v}") for v in ends],
+    )
+    specs = {f"_run_{n}": ("sum", c(f"_n_{n}"), True) for n in sums}
+    if pids:
+        specs["_pid_here"] = ("last", c("_pid"), True)
+    at = scan(at, ["component"], ["ts_us"], "ts_us", slice_us, specs)
+    if pids:  # does the first known process from here on differ from the one before it?
+        at = scan(at.withColumn("_back", -c("ts_us")), ["component"], ["_back"], "_back", slice_us, {"_turns": ("last", c("_turn"), True)})
+    before = {n: c(f"_run_{n}") - c(f"_n_{n}") + (c(f"_new_{n}") if n in inner else F.lit(0)) for n in sums}
+    at = materialize(at.select(
+        "component", "ts_us",
+        F.struct(F.lit(0).alias("_"), *[e.alias(n) for n, e in before.items()], *[c(f"_first_{v}").alias(v) for v in ends], *([c("_turns")] if pids else [])).alias("_a"),
+        F.struct(F.lit(0).alias("_"), *[c(f"_run_{n}").alias(n) for n in sums], *[c(f"_last_{v}").alias(v) for v in ends], *([c("_pid_here")] if pids else [])).alias("_b"),
+    ))
+    p = asof(periods, at, ["component"], "t0_us", "ts_us", {"ts_us": "a_us", "_a": "_a"}, slice_us)
+    p = asof(p, at, ["component"], "t1_us", "ts_us", {"ts_us": "b_us", "_b": "_b"}, slice_us, forward=True)
+    far = lambda n, d: F.when(d <= edge_us, c(n))
+    p = materialize(p.withColumns({"a_us": far("a_us", c("t0_us") - c("a_us")), "b_us": far("b_us", c("b_us") - c("t1_us"))}))
+    both = p.where("component is not null and a_us <= b_us")
+    inside = lambda n: c(f"_b.{n}") - c(f"_a.{n}")
+    aggs = [F.sum(inside(n)).alias(n) for n in [*whole, *inner]]
+    aggs += [(F.max_by(f"_b.{v}", "b_us") - F.min_by(f"_a.{v}", "a_us")).alias(f"d_{v}") for v in ends]
+    if pids:
+        known = inside("_known") > 0
+        several = known & (inside("_changes") - F.coalesce("_a._turns", F.lit(0)) > 0)
+        pid = F.when(known, c("_b._pid_here"))
+        aggs.append(F.when(F.max(several) | (F.min(pid) != F.max(pid)), 2).when(F.max(pid).isNotNull(), 1).otherwise(0).alias("pids"))
+    return p.drop("_a", "_b"), both.groupBy("period_id").agg(*aggs)
 
 
 def measure_drops(samples: DataFrame, periods: DataFrame, now_us: int, edge_us: int, gap_us: int, tol_s: float, slice_us: int) -> DataFrame:
@@ -57,33 +103,23 @@ def measure_drops(samples: DataFrame, periods: DataFrame, now_us: int, edge_us:
     same = (F.abs(start("ts_us", "uptime_s") - start("x_us", "xu")) <= tol_s) & (c("uptime_s") >= c("xu"))
     frozen = (c("uptime_s") == c("xu")) & (c("ts_us") - c("x_us") > tol_s * SECOND)
     near = F.abs(start("ts_us", "uptime_s") - start("x_us", "xu")) <= tol_s
-    rows = pairs.select(
-        "component", "ts_us", "x_us", (c("packets").isNull() | c("drops").isNull() | c("uptime_s").isNull()).alias("missing"),
-        frozen.alias("frozen"), (~frozen & ~same).alias("restart"),
-        (~frozen & same & ((c("drops") < c("xd")) | (c("packets") < c("xp")))).alias("falls"),
-        (c("ts_us") - c("x_us") > gap_us).alias("gap"), F.when(near & (c("drops") > c("xd")), c("drops") - c("xd")).alias("part"),
-        "packets", "drops",
-    )
-    p = _bounded(samples, periods, edge_us, slice_us)
-    both = p.where("a_us is not null and b_us is not null")
-    x = point_in_interval(rows, both.select("component", "period_id", "a_us", "b_us"), ["component"], "ts_us", "a_us", "b_us", "inner", slice_us)
-    inner = c("x_us") >= c("a_us")
-    agg = x.groupBy("period_id").agg(
-        F.count(F.lit(1)).alias("samples"), _yes(c("missing")).alias("missing"), _yes(inner & c("frozen")).alias("frozen"), _yes(inner & c("restart")).alias("restarts"),
-        _yes(inner & c("falls")).alias("falls"), _yes(inner & c("gap")).alias("gaps"), F.coalesce(F.sum(F.when(inner, c("part"))), F.lit(0)).alias("partial_drops"),
-        (F.max_by("packets", "ts_us") - F.min_by("packets", "ts_us")).alias("dp"), (F.max_by("drops", "ts_us") - F.min_by("drops", "ts_us")).alias("dd"),
-    )
+    flag = lambda cond: F.coalesce(cond, F.lit(False)).cast("long")
+    p, agg = _between(
+        pairs, periods, edge_us, {"missing": flag(c("packets").isNull() | c("drops").isNull() | c("uptime_s").isNull())},
+        {"frozen": flag(frozen), "restarts": flag(~frozen & ~same), "falls": flag(~frozen & same & ((c("drops") < c("xd")) | (c("packets") < c("xp")))),
+         "gaps": flag(c("ts_us") - c("x_us") > gap_us), "partial_drops": F.when(near & (c("drops") > c("xd")), c("drops") - c("xd"))},
+        ["packets", "drops"], slice_us)
     last = samples.groupBy("component").agg(F.max("ts_us").alias("last_us"))
     y = p.join(agg, "period_id", "left").join(last, "component", "left")
     state = (
         F.when(c("last_us").isNull(), "ausente")
         .when(c("b_us").isNull() & (c("last_us") < c("t1_us")) & (F.lit(now_us) - c("last_us") > gap_us), "desactualizada")
         .when(c("a_us").isNull() | c("b_us").isNull(), "cobertura_insuficiente").when(c("falls") > 0, "error_lectura").when(c("missing") > 0, "ausente")
-        .when(c("frozen") > 0, "desactualizada").when((c("restarts") > 0) | (c("gaps") > 0), "cobertura_insuficiente").when(c("dd") > 0, "descartes").otherwise("cero_explicito")
+        .when(c("frozen") > 0, "desactualizada").when((c("restarts") > 0) | (c("gaps") > 0), "cobertura_insuficiente").when(c("d_drops") > 0, "descartes").otherwise("cero_explicito")
     )
     y = y.withColumn("state", state)
     ok = c("state").isin(*MEASURED)
-    return y.select("period_id", "component", "t0_us", "t1_us", "state", F.when(ok, c("dp")).alias("packets"), F.when(ok, c("dd")).alias("drops"), F.coalesce("partial_drops", F.lit(0)).alias("partial_drops"))
+    return y.select("period_id", "component", "t0_us", "t1_us", "state", F.when(ok, c("d_packets")).alias("packets"), F.when(ok, c("d_drops")).alias("drops"), F.coalesce("partial_drops", F.lit(0)).alias("partial_drops"))
 
 
 def precondition(samples: DataFrame, now_us: int, window_us: int, edge_us: int, gap_us: int, tol_s: float, slice_us: int) -> DataFrame:
@@ -103,13 +139,10 @@ def reading_coverage(readings: DataFrame, periods: DataFrame, limit_us: int, sli
     """
     c = F.col
     pairs = previous(readings, ["component"], ["ts_us", "sample_id"], {"ts_us": "x_us", "packets": "xp", "drops": "xd"}, "ts_us", slice_us)
-    p = _bounded(readings, periods, 10**15, slice_us)
-    both = p.where("a_us is not null and b_us is not null")
-    x = point_in_interval(pairs.select("component", "ts_us", "x_us", "pid", "packets", "drops", "xp", "xd"), both.select("component", "period_id", "a_us", "b_us"), ["component"], "ts_us", "a_us", "b_us", "inner", slice_us)
-    inner = c("x_us") >= c("a_us")
-    agg = x.groupBy("period_id").agg(
-        F.count_distinct("pid").alias("pids"), _yes(inner & (c("ts_us") - c("x_us") > limit_us)).alias("gaps"), F.count_if(c("packets").isNull() | c("drops").isNull() | (c("packets") < 0)).alias("invalid"),
-        _yes(inner & ((c("packets") < c("xp")) | (c("drops") < c("xd")))).alias("falls"), (F.max_by("drops", "ts_us") - F.min_by("drops", "ts_us")).alias("dd"))
+    flag = lambda cond: F.coalesce(cond, F.lit(False)).cast("long")
+    p, agg = _between(
+        pairs, periods, 10**15, {"invalid": flag(c("packets").isNull() | c("drops").isNull() | (c("packets") < 0))},
+        {"gaps": flag(c("ts_us") - c("x_us") > limit_us), "falls": flag((c("packets") < c("xp")) | (c("drops") < c("xd")))}, ["drops"], slice_us, pids=True)
     y = p.join(agg, "period_id", "left")
     bounds = c("a_us").isNull() | c("b_us").isNull()
     reasons = F.array_compact(F.array(
@@ -118,15 +151,16 @@ def reading_coverage(readings: DataFrame, periods: DataFrame, limit_us: int, sli
         F.when((c("invalid") == 0) & (c("pids") == 1) & (c("falls") > 0), "counter decreases")))
     y = y.withColumn("reasons", reasons)
     ok = F.size("reasons") == 0
-    return y.select("period_id", "component", "reasons", ok.alias("ok"), F.when(ok, c("dd")).alias("kernel_drops"))
+    return y.select("period_id", "component", "reasons", ok.alias("ok"), F.when(ok, c("d_drops")).alias("kernel_drops"))
 
 
 def classify_period(measured: DataFrame, coverage: DataFrame, incs: DataFrame, gap_us: int, width_us: int) -> DataFrame:
     """C0 (clean), C1 (sensor drops), C2 (capture drops), C3 (not evaluable), with motives."""
     c = F.col
     p = measured.select("component", "period_id", "t0_us", "t1_us")
-    x = point_in_interval(incs.select("component", "ts_us", "from_us", c("state").alias("istate")), p, ["component"], "ts_us", "t0_us", "t1_us", "inner", width_us)
-    agg = x.groupBy("period_id").agg(F.count_if(c("istate") == "restart").alias("restarts"), F.count_if(c("ts_us") - c("from_us") > gap_us).alias("gaps"))
+    agg = interval_totals(
+        incs, p, ["component"], "ts_us", "t0_us", "t1_us", ["period_id"],
+        {"restarts": (c("state") == "restart").cast("long"), "gaps": F.coalesce(c("ts_us") - c("from_us") > gap_us, F.lit(False)).cast("long")}, width_us)
     y = measured.join(agg, "period_id", "left").join(coverage.select("period_id", "ok", "kernel_drops"), "period_id", "left")
     c3 = F.array_compact(F.array(
         F.when(c("gaps") > 0, "stretch without samples"), F.when(c("restarts") > 0, "restart"), F.when(~c("state").isin(*MEASURED), F.concat(F.lit("sensor "), c("state"))),
