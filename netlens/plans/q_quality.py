@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from netlens.operators import quality as Q
-from netlens.operators.core import idiv
+from netlens.operators.core import idiv, materialize
 from netlens.plans.adapt import DAY_US as D, sql, table, view
 from netlens.plans.q_prep import H
 from netlens.plans.registry import add, r6
@@ -274,7 +274,7 @@ SELECT CAST(ep AS BIGINT) AS ep, a, z, CAST(ms AS BIGINT) AS max_sum, (SELECT CA
 
 
 def q17(s, d):
-    m = measured(s, d)
+    m = materialize(measured(s, d))
     cl = Q.classify_period(m, coverage(s, d), incs(s, d), GAP, D)
     n = F.col("period_id")
     x = m.join(cl.select("period_id", "period_class"), "period_id").select(
