@@ -200,20 +200,79 @@ def _between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _vectors(column) -> np.ndarray:
-    return np.array(column.to_pylist(), dtype=float)
-
-
-def knn(train: DataFrame, queries: DataFrame, key: str, names: list[str], k: int, cell_rows: int = 2048, skip_self: bool = False) -> DataFrame:
+    """Rows of a list column without nulls, all of one length, as a matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _chained(x: np.ndarray) -> np.ndarray:
+    """The rows in an order in which the next is the nearest of those left, so neighbours in it lie close."""
+    left, order = np.ones(len(x), dtype=bool), [0]
+    left[0] = False
+    while left.any():
+        d = np.where(left, ((x - x[order[-1]]) ** 2).sum(axis=1), np.inf)
+        order.append(int(d.argmin()))
+        left[order[-1]] = False
+    return x[order]
+
+
+def _packed(held: np.ndarray, cell_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """First part and number of parts of each group: small groups in a row share a part, large ones have several."""
+    first, parts = np.zeros(len(held), dtype=int), np.maximum(np.ceil(held / cell_rows).astype(int), 1)
+    part, full = 0, 0.0
+    for i, n in enumerate(held):
+        if full and full + n > cell_rows:
+            part, full = part + 1, 0.0
+        first[i] = part
+        part, full = (part + parts[i], 0.0) if parts[i] > 1 else (part, full + n)
+    return first, parts
+
+
+def _best_of(ia: np.ndarray, ib: np.ndarray, a: np.ndarray, b: np.ndarray, k: int, reach: np.ndarray, skip_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, distance) of all rows of b that may be among a query's k nearest, none farther than its reach.
+
+    Products of matrices tell which rows come into question, with room for their rounding; distances are
+    then taken from the differences of those rows alone.
+    """
+    na, nb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    huge = not (na.max(initial=0) < 1e300 and nb.max(initial=0) < 1e300)  # products would overflow
+    slack = 1e-12 * a.shape[1] * (na + nb.max())  # far above the rounding of a product, far below a distance that counts
+    limit = (reach * (1 + SLACK)) ** 2
+    found = []
+    step = max(1, 2_000_000 // len(b))
+    for i in range(0, len(a), step):
+        at = slice(i, i + step)
+        if huge:
+            d = _between(a[at], b) ** 2
+        else:
+            d = a[at] @ (-2.0 * b.T)
+            d += na[at, None]
+            d += nb
+        if skip_self:
+            d[ia[at, None] == ib[None, :]] = np.inf
+        top = limit[at]
+        if len(b) > k and np.isinf(top).any():
+            top = np.minimum(top, np.partition(d, k - 1, axis=1)[:, k - 1])
+        row, col = np.nonzero((d < np.inf) if huge else (d <= (top + 2 * slack[at])[:, None]) & (d < np.inf))
+        for j in range(0, len(row), 100_000):
+            r, c = row[j:j + 100_000] + i, col[j:j + 100_000]
+            found.append((r, ib[c], np.sqrt(((a[r] - b[c]) ** 2).sum(axis=1))))
+    return tuple(np.concatenate([f[i] for f in found]) if found else np.zeros(0, int) for i in range(3))
+
+
+def knn(train: DataFrame, queries: DataFrame, key: str, names: list[str], k: int, cell_rows: int = 8192, skip_self: bool = False) -> DataFrame:
     """Exact k nearest training rows of each query: (key, neighbours array<struct<dist, id>>, compared).
 
     Training rows go to the nearest of some pivots and there to a ring of distances, at most
     ``MOST_PIVOTS`` x ``MOST_RINGS`` rings whatever the table's size; rings are cut into
-    blocks of about ``cell_rows`` by a hash, so copies of one row fill many blocks. A query
-    first meets the rings nearest to it that hold k rows, and then those rings only that the
-    triangle inequality does not put beyond the k-th distance found: |d(q, p) - d(x, p)|, and
-    half of d(q, p) - d(q, own pivot) as x is nearest to p. Ties go to the smaller key.
-    ``compared`` counts the training rows a query met. Queries travel with those of the same pivot, a
-    block goes once to each such chunk that needs it, and a cell returns each query's k best.
+    blocks of about ``cell_rows`` by a hash, so copies of one row fill many blocks, and small
+    rings of near pivots share a block. A query first meets the rings nearest to it that hold
+    k rows, and then those rings only that the triangle inequality does not put beyond the k-th
+    distance found: |d(q, p) - d(x, p)|, and half of d(q, p) - d(q, own pivot) as x is nearest
+    to p. Ties go to the smaller key. ``compared`` counts the training rows a query met. Queries
+    travel in chunks of about ``cell_rows`` of near pivots, a block goes once to each chunk that
+    needs it, and a cell returns each query's k best, in the second round none beyond that distance.
     Rows with a null or non-finite component are nobody's neighbour and get no row.
     """
     vec = F.array(*[F.col(n).cast("double") for n in names])
@@ -224,7 +283,7 @@ def knn(train: DataFrame, queries: DataFrame, key: str, names: list[str], k: int
     if not total:
         return q.sparkSession.createDataFrame([], out).withColumnRenamed("id", key)
     marks = [r["x"] for r in t.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(min(MOST_PIVOTS, math.ceil(math.sqrt(total)))).collect()]
-    pivots = np.unique(np.array(marks, dtype=float), axis=0)
+    pivots = _chained(np.unique(np.array(marks, dtype=float), axis=0))
 
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -242,17 +301,20 @@ def knn(train: DataFrame, queries: DataFrame, key: str, names: list[str], k: int
     else:
         t = t.withColumn("ring", F.lit(0))
     found = t.groupBy("pivot", "ring").agg(F.min("d"), F.max("d"), F.count(F.lit(1))).orderBy("pivot", "ring").collect()  # a row per ring
-    owner, number = (np.array([r[i] for r in found]) for i in (0, 1))
+    owner = np.array([r[0] for r in found])
     low, high, held = (np.array([r[i] for r in found], dtype=float) for i in (2, 3, 4))
-    parts = np.ceil(held / cell_rows).astype(int)
-    first = np.concatenate([[0], np.cumsum(parts)])
-    place = q.sparkSession.createDataFrame([(r[0], r[1], int(f), int(n)) for r, f, n in zip(found, first, parts)], "pivot int, ring int, first int, parts int")
+    first, parts = _packed(held, cell_rows)
+    place = q.sparkSession.createDataFrame([(r[0], r[1], i, int(f), int(n)) for i, (r, f, n) in enumerate(zip(found, first, parts))], "pivot int, ring int, place int, first int, parts int")
     share = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    t = t.join(F.broadcast(place), ["pivot", "ring"]).select("id", "x", (F.col("first") + share).alias("block"))  # a row per ring
+    t = t.join(F.broadcast(place), ["pivot", "ring"]).select("id", "x", "place", (F.col("first") + share).alias("block"))  # a row per ring
 
     q = materialize(q.mapInArrow(home, schema).drop("d"))
-    shares = q.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / cell_rows).alias("shares"))  # a row per pivot
-    q = q.join(F.broadcast(shares), "pivot").withColumn("chunk", F.concat_ws("/", "pivot", F.pmod(F.xxhash64("id", F.lit(2)), "shares").cast("string"))).select("id", "x", "chunk")
+    asking = q.groupBy("pivot").agg(F.count(F.lit(1))).orderBy("pivot").collect()  # a row per pivot
+    if not asking:
+        return q.sparkSession.createDataFrame([], out).withColumnRenamed("id", key)
+    shares = [(r[0], int(f), int(n)) for r, f, n in zip(asking, *_packed(np.array([r[1] for r in asking], dtype=float), cell_rows))]
+    shares = q.sparkSession.createDataFrame(shares, "pivot int, first int, parts int")
+    q = q.join(F.broadcast(shares), "pivot").select("id", "x", (F.col("first") + F.pmod(F.xxhash64("id", F.lit(2)), "parts")).cast("int").alias("chunk"))
     enough = k + int(skip_self)
 
     def blocks_of(again: bool):
@@ -271,41 +333,53 @@ def knn(train: DataFrame, queries: DataFrame, key: str, names: list[str], k: int
                 if again:
                     reach = b["reach"].to_numpy(zero_copy_only=False)
                     take = ~start & (bound <= (reach * (1 + SLACK) + SLACK * far.max(axis=1))[:, None])
-                rows, which = np.nonzero(take)
-                lists = [[] for _ in range(len(take))]
-                for r, w in zip(rows.tolist(), which.tolist()):
-                    lists[r].extend(range(first[w], first[w + 1]))
-                yield pa.RecordBatch.from_arrays([b["id"], b["x"], b["chunk"], pa.array(lists, pa.list_(pa.int32()))], names=["id", "x", "chunk", "blocks"])
+                lists = []
+                for row in take:
+                    blocks: dict[int, list[int]] = {}
+                    for w in np.flatnonzero(row).tolist():
+                        for block in range(first[w], first[w] + parts[w]):
+                            blocks.setdefault(block, []).append(w)
+                    lists.append([{"block": block, "places": places} for block, places in blocks.items()])
+                kind = pa.list_(pa.struct([("block", pa.int32()), ("places", pa.list_(pa.int32()))]))
+                yield pa.RecordBatch.from_arrays([b["id"], b["x"], b["chunk"], b["reach"], pa.array(lists, kind)], names=["id", "x", "chunk", "reach", "blocks"])
 
         return choose
 
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
         a, b = _vectors(left["x"]), _vectors(right["x"])
-        ia, ib = left["id"].to_numpy(), right["id"].to_numpy()
-        near, met = [], np.full(len(ia), len(ib))
-        for i in range(0, len(a), 64):
-            d = _between(a[i:i + 64], b)
-            if skip_self:
-                same = ia[i:i + 64, None] == ib[None, :]
-                d[same] = np.inf
-                met[i:i + 64] -= same.sum(axis=1)
-            order = np.lexsort((np.broadcast_to(ib, d.shape), d), axis=1)[:, : min(k, len(b))]
-            for row, best in zip(d, order):
-                near.append([{"dist": float(row[j]), "id": int(ib[j])} for j in best if np.isfinite(row[j])])
-        return pa.table({"id": left["id"], "near": pa.array(near, pa.list_(pa.struct([("dist", pa.float64()), ("id", pa.int64())]))), "compared": pa.array(met, pa.int64())})
+        ia, ib, reach, ring = (c.to_numpy() for c in (left["id"], right["id"], left["reach"], right["place"]))
+        lists = left["places"].combine_chunks()
+        asked, wants = np.repeat(np.arange(len(ia)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+        met, parts = np.zeros(len(ia), dtype=np.int64), []
+        for w in np.unique(wants):
+            here, to = asked[wants == w], np.flatnonzero(ring == w)
+            if len(to):
+                r, ids, d = _best_of(ia[here], ib[to], a[here], b[to], k, reach[here], skip_self)
+                parts.append((here[r], ids, d))
+                own = np.sort(ib[to])
+                met[here] += len(to) - (np.searchsorted(own, ia[here], "right") - np.searchsorted(own, ia[here]) if skip_self else 0)
+        r, ids, d = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, int) for i in range(3))
+        order = np.lexsort((ids, d, r))
+        r, ids, d = r[order], ids[order], d[order]
+        kept = np.arange(len(r)) - np.searchsorted(r, r) < k
+        r, ids, d = r[kept], ids[kept], d[kept]
+        ends = np.searchsorted(r, np.arange(len(ia) + 1)).astype(np.int32)
+        near = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(d, pa.float64()), pa.array(ids, pa.int64())], ["dist", "id"]))
+        return pa.table({"id": left["id"], "near": near, "compared": pa.array(met)})
 
     def search(x: DataFrame, again: bool) -> DataFrame:
-        asked = x.mapInArrow(blocks_of(again), "id long, x array<double>, chunk string, blocks array<int>").select("id", "x", "chunk", F.explode("blocks").alias("block"))
-        asked = materialize(asked)
-        to = asked.select(F.col("block").alias("block"), F.col("chunk").alias("chunk")).distinct()
+        kind = "id long, x array<double>, chunk int, reach double, blocks array<struct<block: int, places: array<int>>>"
+        asked = x.mapInArrow(blocks_of(again), kind)
+        to = asked.select(F.explode("blocks.block").alias("block"), F.col("chunk").alias("chunk")).distinct()
+        asked = asked.select("id", "x", "chunk", "reach", F.inline("blocks"))
         return asked.groupBy("block", "chunk").cogroup(t.join(to, "block").groupBy("block", "chunk")).applyInArrow(nearest, out)
 
     def best(cells: DataFrame) -> DataFrame:
         return cells.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"), F.sum("compared").alias("compared"))
 
-    near = materialize(best(search(q, False)))
+    near = materialize(best(search(q.withColumn("reach", F.lit(float("inf"))), False)))
     reach = near.select("id", F.when(F.size("near") >= k, F.element_at("near", -1)["dist"]).otherwise(float("inf")).alias("reach"))
-    more = search(q.join(reach, "id").select("id", "x", "chunk", "reach"), True)
+    more = search(q.join(reach, "id"), True)
     return best(near.unionByName(more)).withColumnRenamed("id", key)
 
 

@@ -45,6 +45,24 @@ def test_neighbours_of_few_odd_or_no_rows(spark):
     assert M.knn(train.limit(0), ask, "vec_id", ["a", "b"], 5).count() == 0 and M.knn(train, ask.limit(0), "vec_id", ["a", "b"], 5).count() == 0
 
 
+def test_a_cell_keeps_ties_and_small_rings_share_blocks():
+    first, parts = M._packed(np.array([3.0, 4.0, 2.0, 25.0, 1.0, 9.0]), 10)
+    assert first.tolist() == [0, 0, 0, 1, 4, 4] and parts.tolist() == [1, 1, 1, 3, 1, 1]
+    rng = np.random.default_rng(2)
+    b = np.round(rng.normal(0, 1, (300, 8)), 1)
+    b[40:90] = b[3]
+    for factor in (1.0, 1e-6, 1e160):  # squares of the last overflow
+        a, x = b[:20] * factor, b * factor
+        for reach in (np.full(20, np.inf), np.sqrt(((a[:, None] - x[None]) ** 2).sum(axis=2)).clip(max=1e300)[:, 5]):
+            r, ids, d = M._best_of(np.arange(20), np.arange(300), a, x, 7, reach, True)
+            with np.errstate(over="ignore"):
+                whole = np.sqrt(((a[:, None] - x[None]) ** 2).sum(axis=2))
+            for i in range(20):
+                want = sorted((whole[i, j], j) for j in range(300) if j != i and whole[i, j] <= reach[i])[:7]
+                got = sorted(zip(d[r == i].tolist(), ids[r == i].tolist()))
+                assert [g for g in got if np.isfinite(g[0]) and g[0] <= reach[i]][:7] == [w for w in want if np.isfinite(w[0])]
+
+
 def test_chi_squared_points():
     # fixed values: published table points
     for p, d, x in ((0.95, 1, 3.841459), (0.975, 2, 7.377759), (0.5, 10, 9.341818), (0.975, 64, 88.004051), (0.025, 5, 0.831212)):
