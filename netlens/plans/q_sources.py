@@ -72,14 +72,14 @@ def frames(s, d):
 
 
 view("frm", "packets", f"SELECT *, 'f'||(arrival//{PER_FILE}) AS file, row_number() OVER (PARTITION BY arrival//{PER_FILE} ORDER BY arrival)-1 AS rec_no FROM packets")
-SPLIT = 16_384
+SPLIT, TASK = 16_384, 32 << 20
 
 
 def read_in_ranges(s, files: DataFrame, split: int = SPLIT) -> DataFrame:
     """The files written to the shared folder and read by ranges of bytes."""
     folder = scratch_path(s)
     C.write_files(files, folder)
-    return C.read_capture(s, folder, split)
+    return C.read_capture(s, folder, split, task=TASK)
 
 
 def s01(s, d):

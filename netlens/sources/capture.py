@@ -25,6 +25,8 @@ PLACE_BITS = 40
 SCHEMA = "file string, arrival long, ts_us long, frame binary, error string"
 _TYPE = pa.schema([("file", pa.string()), ("arrival", pa.int64()), ("ts_us", pa.int64()), ("frame", pa.binary()), ("error", pa.string())])
 _ROWS, _BYTES, _READ = 4096, 4 << 20, 1 << 20
+#: The opening of a range counts as so many bytes of what a task reads.
+_OPEN = 64 << 10
 #: Frames are not longer than this (the tools' own limit).
 LONGEST = 262_144
 YEAR_S = 366 * 86_400
@@ -52,6 +54,27 @@ class Range(InputPartition):
         self.root, self.path, self.number, self.start, self.stop, self.size = root, path, number, start, stop, size
 
 
+class Ranges(InputPartition):
+    """Ranges that one task reads one after another."""
+
+    def __init__(self, parts: list[Range]):
+        self.parts = parts
+
+
+def together(parts: list[Range], task_bytes: int) -> list[Ranges]:
+    """Ranges in their order, as many to a task as hold about ``task_bytes``, an opened file counted as some more."""
+    out: list[list[Range]] = []
+    held = 0
+    for part in parts:
+        cost = part.stop - part.start + _OPEN
+        if not out or held + cost > task_bytes:
+            out.append([])
+            held = 0
+        out[-1].append(part)
+        held += cost
+    return [Ranges(p) for p in out]
+
+
 def ranges(root: str, files: list[tuple[str, int]], split: int, first: int = 0) -> list[Range]:
     return [
         Range(root, path, first + i, at, min(at + split, size), size)
@@ -156,12 +179,14 @@ def read_range(part: Range, fail: bool, longest: int = LONGEST) -> Iterator[pa.R
 class _Files(DataSourceReader):
     def __init__(self, options):
         self.root, self.split, self.fail, self.longest = options["path"], int(options.get("split", 64 << 20)), options.get("on_error", "fail") == "fail", int(options.get("longest", LONGEST))
+        self.task_bytes = int(options.get("task", self.split))
 
     def partitions(self):
-        return ranges(self.root, listed(self.root), self.split)
+        return together(ranges(self.root, listed(self.root), self.split), self.task_bytes)
 
     def read(self, partition):
-        return read_range(partition, self.fail, self.longest)
+        for part in partition.parts:
+            yield from read_range(part, self.fail, self.longest)
 
 
 class _ClosedFiles(DataSourceStreamReader):
@@ -169,6 +194,7 @@ class _ClosedFiles(DataSourceStreamReader):
 
     def __init__(self, options):
         self.root, self.split, self.fail, self.longest = options["path"], int(options.get("split", 64 << 20)), options.get("on_error", "fail") == "fail", int(options.get("longest", LONGEST))
+        self.task_bytes = int(options.get("task", self.split))
 
     def initialOffset(self):
         return {"files": 0}
@@ -177,14 +203,15 @@ class _ClosedFiles(DataSourceStreamReader):
         return {"files": max(len(listed(self.root)) - 1, 0)}
 
     def partitions(self, start, end):
-        return ranges(self.root, listed(self.root)[start["files"] : end["files"]], self.split, start["files"])
+        return together(ranges(self.root, listed(self.root)[start["files"] : end["files"]], self.split, start["files"]), self.task_bytes)
 
     def read(self, partition):
-        return read_range(partition, self.fail, self.longest)
+        for part in partition.parts:
+            yield from read_range(part, self.fail, self.longest)
 
 
 class CaptureSource(DataSource):
-    """``spark.read.format("capture")``, options ``split`` and ``longest`` frame in bytes, ``on_error`` fail or count; as a stream, closed files in order."""
+    """``spark.read.format("capture")``, options ``split``, ``task`` (one reads ranges together up to it, by default ``split``) and ``longest`` frame in bytes, ``on_error`` fail or count; as a stream, closed files in order."""
 
     @classmethod
     def name(cls):
@@ -200,13 +227,13 @@ class CaptureSource(DataSource):
         return _ClosedFiles(self.options)
 
 
-def read_capture(spark: SparkSession, path: str, split: int = 64 << 20, on_error: str = "fail", longest: int = LONGEST) -> DataFrame:
+def read_capture(spark: SparkSession, path: str, split: int = 64 << 20, on_error: str = "fail", longest: int = LONGEST, task: int | None = None) -> DataFrame:
     """Frames of the capture files of a folder (by name) or of one file: file, arrival, ts_us, frame, error.
 
     ``(ts_us, arrival)`` is the stable order of time, file and record; ``arrival`` is unique over all files.
     """
     spark.dataSource.register(CaptureSource)
-    return spark.read.format("capture").option("split", split).option("on_error", on_error).option("longest", longest).load(path)
+    return spark.read.format("capture").option("split", split).option("on_error", on_error).option("longest", longest).option("task", task or split).load(path)
 
 
 def stream_captures(spark: SparkSession, path: str, split: int = 64 << 20, on_error: str = "count") -> DataFrame:

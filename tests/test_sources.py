@@ -116,6 +116,17 @@ def test_ranges_of_bytes_give_the_same_frames(spark, tmp_path, order, nano):
         assert C.torn_ranges(df, split).count() == 0 and len({r.arrival for r in rows}) == len(rows)
 
 
+def test_a_task_reads_many_small_ranges(spark, tmp_path):
+    frames = [[(1_700_000_000_000_000 + 100 * i + k, tcp("10.0.0.1", "10.0.0.2", 40000 + i, 80, 2, k)) for k in range(40)] for i in range(30)]
+    path = written(spark, tmp_path, **{f"f{i:02}": capture(x) for i, x in enumerate(frames)})
+    df = C.read_capture(spark, path, 1_000, longest=2_000, task=10 * (64 << 10))
+    assert df.rdd.getNumPartitions() < 15 < C.read_capture(spark, path, 1_000, longest=2_000).rdd.getNumPartitions()
+    assert C.read_capture(spark, path).rdd.getNumPartitions() == 1  # files much smaller than a split
+    rows = C.numbered(df, 1_000).orderBy("arrival").collect()
+    assert [(int(r.file[-2:]), r.rec_no, r.ts_us, bytes(r.frame)) for r in rows] == [(i, n, t, f) for i, x in enumerate(frames) for n, (t, f) in enumerate(x)]
+    assert C.torn_ranges(df, 1_000).count() == 0
+
+
 def test_damaged_files_by_ranges(spark, tmp_path):
     rng = np.random.default_rng(3)
     f = nested(120, rng)
