@@ -13,53 +13,86 @@ FRAMES = "file string, rec_no long, ts_us long, frame binary, error string"
 # Magic -> byte order and fraction units per microsecond.
 MAGICS = {b"\xd4\xc3\xb2\xa1": ("<", 1), b"\xa1\xb2\xc3\xd4": (">", 1), b"\x4d\x3c\xb2\xa1": ("<", 1000), b"\xa1\xb2\x3c\x4d": (">", 1000)}
 ETHERNET = 1
-BATCH = 4096
-
-
-def _records(content: bytes) -> Iterator[tuple[int, bytes]]:
-    """(instant in µs, frame) of one file; a ValueError names what is wrong with it."""
-    if content[:4] not in MAGICS:
-        raise ValueError("unsupported magic")
-    order, per_us = MAGICS[content[:4]]
-    if len(content) < 24:
-        raise ValueError("truncated header")
-    if struct.unpack_from(f"{order}I", content, 20)[0] != ETHERNET:
-        raise ValueError("not an Ethernet capture")
-    head, at = struct.Struct(f"{order}IIII"), 24
-    while at < len(content):
-        if at + 16 > len(content):
-            raise ValueError("truncated record header")
-        seconds, fraction, size, _ = head.unpack_from(content, at)
-        at += 16
-        if at + size > len(content):
-            raise ValueError("truncated frame")
-        yield seconds * 1_000_000 + fraction // per_us, content[at:at + size]
-        at += size
+BATCH, BATCH_BYTES, PIECE = 4096, 4 << 20, 8192
+
+
+class _Records:
+    """Records of one file that arrives in pieces; a ValueError names what is wrong with it."""
+
+    def __init__(self):
+        self.left, self.head, self.per_us = b"", None, 1
+
+    def feed(self, piece: bytes, last: bool) -> Iterator[tuple[int, bytes]]:
+        """(instant in µs, frame) of the records that are whole by now; what is left waits for the next piece."""
+        data, at = self.left + piece, 0
+        if self.head is None:
+            if data[:4] not in MAGICS and (last or len(data) >= 4):
+                raise ValueError("unsupported magic")
+            if len(data) < 24:
+                if last:
+                    raise ValueError("truncated header")
+                self.left = data
+                return
+            order, self.per_us = MAGICS[data[:4]]
+            if struct.unpack_from(f"{order}I", data, 20)[0] != ETHERNET:
+                raise ValueError("not an Ethernet capture")
+            self.head, at = struct.Struct(f"{order}IIII"), 24
+        while at < len(data):
+            if at + 16 > len(data):
+                if last:
+                    raise ValueError("truncated record header")
+                break
+            seconds, fraction, size, _ = self.head.unpack_from(data, at)
+            if at + 16 + size > len(data):
+                if last:
+                    raise ValueError("truncated frame")
+                break
+            yield seconds * 1_000_000 + fraction // self.per_us, data[at + 16:at + 16 + size]
+            at += 16 + size
+        self.left = data[at:]
 
 
 def frames_of(files: DataFrame, on_error: str = "fail") -> DataFrame:
     """Frames of (path, content) rows. ``count`` keeps the frames before the damage and adds
-    an error row with the reason; ``fail`` fails the job."""
+    an error row with the reason; ``fail`` fails the job.
+
+    Contents go to Python in pieces of ``PIECE`` bytes, one after another, so a batch of rows stays small
+    however large the files are.
+    """
+    schema = pa.schema([("file", pa.string()), ("rec_no", pa.int64()), ("ts_us", pa.int64()), ("frame", pa.binary()), ("error", pa.string())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("file", pa.string()), ("rec_no", pa.int64()), ("ts_us", pa.int64()), ("frame", pa.binary()), ("error", pa.string())])
+        records, n, rows, held = None, 0, [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
         for b in batches:
-            for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                rows: list[tuple] = []
+            places, lasts, pieces = b.column("place").to_pylist(), b.column("last").to_pylist(), b.column("piece")
+            for path, place, last, piece in zip(b.column("path").to_pylist(), places, lasts, pieces):
+                if place == 0:
+                    records, n = _Records(), 0
+                if records is None:  # the rest of a damaged file
+                    continue
                 try:
-                    for n, (ts, frame) in enumerate(_records(content)):
+                    for ts, frame in records.feed(piece.as_py(), last):
                         rows.append((path, n, ts, frame, None))
-                        if len(rows) == BATCH:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-                            rows = []
+                        n, held = n + 1, held + len(frame)
+                        if len(rows) == BATCH or held > BATCH_BYTES:
+                            yield batch()
+                            rows, held = [], 0
                 except ValueError as e:
                     if on_error == "fail":
                         raise ValueError(f"{path}: {e}") from e
                     rows.append((path, None, None, None, str(e)))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-
-    return files.select("path", "content").mapInArrow(scan, FRAMES)
+                    records = None
+        if rows:
+            yield batch()
+
+    last = F.greatest(F.ceil(F.length("content") / PIECE) - 1, F.lit(0)).cast("int")
+    cut = lambda i: F.struct(i.alias("place"), (i == last).alias("last"), F.substring("content", i * PIECE + 1, F.lit(PIECE)).alias("piece"))
+    pieces = files.select("path", F.inline(F.transform(F.sequence(F.lit(0), F.coalesce(last, F.lit(0))), cut)))
+    return pieces.mapInArrow(scan, FRAMES)
 
 
 def read_frames(spark: SparkSession, path: str, on_error: str = "fail") -> DataFrame:

@@ -116,6 +116,26 @@ def test_ranges_of_bytes_give_the_same_frames(spark, tmp_path, order, nano):
         assert C.torn_ranges(df, split).count() == 0 and len({r.arrival for r in rows}) == len(rows)
 
 
+def test_files_in_cells_reach_python_in_pieces(spark):
+    rng = np.random.default_rng(8)
+    whole = capture(nested(40, rng))
+    assert len(whole) > 4 * P.PIECE
+    files = [("a", whole), ("b", whole[:-3]), ("c", b""), ("d", capture([])), ("e", whole[: P.PIECE]), ("f", b"\0" * 3 * P.PIECE), ("g", whole[:20])]
+    df = P.frames_of(spark.createDataFrame(files, "path string, content binary").repartition(2), "count")
+    got = {k: [] for k, _ in files}
+    for r in df.collect():
+        got[r.file].append((r.rec_no, r.frame and bytes(r.frame), r.error))
+    frames = [(i, f, None) for i, (_, f) in enumerate(nested(40, np.random.default_rng(8)))]
+    cut = (None, None, "truncated frame")
+    assert got["a"] == frames and got["b"] == [*frames[:-1], cut] and got["d"] == []
+    assert [got[k][0][2] for k in "cfg"] == ["unsupported magic", "unsupported magic", "truncated header"]
+    n = len(got["e"]) - 1
+    assert got["e"][:n] == frames[:n] and got["e"][n][2].startswith("truncated")
+    sizes = spark.createDataFrame(files, "path string, content binary")
+    sent = P.frames_of(sizes, "count")._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring(content" in sent
+
+
 def test_a_task_reads_many_small_ranges(spark, tmp_path):
     frames = [[(1_700_000_000_000_000 + 100 * i + k, tcp("10.0.0.1", "10.0.0.2", 40000 + i, 80, 2, k)) for k in range(40)] for i in range(30)]
     path = written(spark, tmp_path, **{f"f{i:02}": capture(x) for i, x in enumerate(frames)})
