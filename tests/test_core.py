@@ -87,6 +87,34 @@ def test_retained_fold_is_the_sequential_rule(spark):
         assert {int(r["fold_id"].split("#")[1]) for r in gone.collect()} == want
 
 
+def test_retained_fold_cuts_dense_histories(spark, monkeypatch):
+    monkeypatch.setattr(core, "FOLD_ROWS", 20)
+    for seed, ttl in ((5, False), (6, True)):
+        data = rows(500, 2, seed, 400)
+        want = {d for items in by_key(data).values() for d in fold(items, 12, False, ttl)}
+        gone = core.retained_fold(frame(spark, data), ["key"], ["ts_us", "arrival"], "ts_us", 12, False, "v" if ttl else None)
+        assert {int(r["fold_id"].split("#")[1]) for r in gone.collect()} == want
+
+
+def test_what_follows_a_retained_row_is_found_by_search():
+    rnd = random.Random(2)
+    t = np.sort(np.array([rnd.randrange(90) for _ in range(200)]))
+    v = np.array([rnd.choice([62, 63, 63, 64]) for _ in t])
+    for inclusive in (False, True):
+        for values in (None, v):
+            after = core._successors(t, values, 7, inclusive)
+            for i in range(len(t)):
+                near = lambda j: t[j] - t[i] <= 7 if inclusive else t[j] - t[i] < 7
+                stays = lambda j: near(j) and (values is None or v[j] in (v[i], v[i] - 1))
+                assert after[i] == next((j for j in range(i + 1, len(t)) if not stays(j)), len(t))
+            end = core._last_states(after)
+            for i in range(len(t)):
+                at = i
+                while after[at] < len(t):
+                    at = after[at]
+                assert end[i] == at
+
+
 def test_point_in_interval_and_asof(spark):
     data = rows(200, seed=5)
     spans = [(k, a, a + w) for k, a, w in (("k0", 10, 300), ("k0", 250, 0), ("k1", 0, 1999), ("k2", 700, 90))]
