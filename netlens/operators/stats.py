@@ -12,7 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from netlens.functions.columns import safe_ratio, wilson
+from netlens.functions.columns import idiv, safe_ratio, wilson
 from netlens.operators.core import materialize, ordered_counts, to_long
 
 Z_PERCENT, Z_FRACTION = 1.96, 1.959963984540054
@@ -308,24 +308,60 @@ def kfold_episodes(rows: DataFrame, episode: str, folds: int = 5, seed: int = 20
     return rows.join(episode_roles(rows, episode, folds, seed, inner), episode)
 
 
-def bootstrap_threshold(scores: DataFrame, episode: str, score: str, alpha: float, replicates: int, seed: int) -> DataFrame:
+def bootstrap_threshold(
+    scores: DataFrame, episode: str, score: str, alpha: float, replicates: int, seed: int, cells: int = 256, block: int = 1000,
+) -> DataFrame:
     """Order-statistic threshold of episode resamples, one row per replicate.
 
-    A replicate draws as many episodes as there are, with replacement. Drawn multiplicities
-    weigh the distinct scores, so rows are not copied; ranks come from weighted counts.
+    A replicate draws as many episodes as there are, with replacement. Drawn multiplicities weigh the distinct scores, so
+    rows are not copied. Scores are cut into ``cells`` at approximate quantiles; the mass of each cell in each replicate
+    is a product of matrices per ``block`` of episodes (scores in cells by draws), which merges by addition. Only the cell
+    that holds a replicate's rank is then ranked value by value, so what is exchanged does not grow with scores times replicates.
     """
     eps = materialize(dealt(scores.select(episode).distinct(), episode, seed))
     m = eps.count()
-    draws = eps.select(F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"), "_i")
+    counts = scores.where(F.col(score).isNotNull()).groupBy(episode, F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("c")).join(eps, episode)
+    counts = materialize(counts.select("_i", "s", "c"))
+    cut = counts.agg(F.percentile_approx("s", F.array(*[F.lit(i / cells) for i in range(1, cells)]), F.lit(10000))).first()[0]  # as many as cells
+    edges = np.unique(np.array(cut or [], float))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.searchsorted(edges, b["s"].to_numpy(zero_copy_only=False).astype(float))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int32())], names=[*b.schema.names, "cell"])
+
+    counts = counts.mapInArrow(placed, T.StructType([*counts.schema.fields, T.StructField("cell", T.IntegerType())]))
+    spread = eps.select("_i").repartition(1 + m * replicates // 2_000_000, "_i")  # few rows, but each becomes as many as there are replicates
+    draws = spread.select(F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"), "_i")
     pick = F.pmod(F.xxhash64("replicate", "_i", F.lit(seed)), F.lit(m))
-    drawn = draws.groupBy("replicate", pick.alias("_i")).agg(F.count(F.lit(1)).alias("times")).join(eps, "_i")
-    counts = scores.groupBy(episode, F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("c"))
-    x = counts.join(drawn, episode).groupBy("replicate", "s").agg(F.sum(F.col("c") * F.col("times")).alias("w"))
-    v = ordered_counts(x, ["replicate"], "s", weights={"mass": F.col("w")})
-    total = v.groupBy("replicate").agg(F.sum("mass").alias("mass_total"))
-    v = v.join(total, "replicate").withColumn("k", F.floor(F.col("mass_total") * alpha))
-    hit = v.where((F.col("mass_below") <= F.col("k")) & (F.col("k") < F.col("mass_below") + F.col("mass")))
-    return hit.select("replicate", F.col("v").alias("threshold"))
+    drawn = materialize(draws.groupBy("replicate", pick.alias("_i")).agg(F.count(F.lit(1)).alias("times")))
+
+    def masses(held: pa.Table, taken: pa.Table) -> pa.Table:
+        who, row = np.unique(held["_i"].to_numpy(), return_inverse=True)
+        c = np.zeros((len(who), len(edges) + 1))
+        c[row, held["cell"].to_numpy()] = held["c"].to_numpy()
+        of = np.searchsorted(who, taken["_i"].to_numpy())
+        times = np.zeros((len(who) + 1, replicates))  # the last for episodes without a score
+        of[of < len(who)] = np.where(who[of[of < len(who)]] == taken["_i"].to_numpy()[of < len(who)], of[of < len(who)], len(who))
+        times[of, taken["replicate"].to_numpy() - 1] = taken["times"].to_numpy()
+        mass = np.rint(c.T @ times[:-1]).astype(np.int64)
+        cell, replicate = np.nonzero(mass)
+        return pa.table({"replicate": pa.array(replicate + 1, pa.int32()), "cell": pa.array(cell, pa.int32()), "mass": mass[cell, replicate]})
+
+    part = idiv(F.col("_i"), block).alias("part")
+    held = counts.groupBy("_i", "cell").agg(F.sum("c").alias("c")).withColumn("part", part).groupBy("part")
+    mass = held.cogroup(drawn.withColumn("part", part).groupBy("part")).applyInArrow(masses, "replicate int, cell int, mass long")
+    mass = mass.groupBy("replicate", "cell").agg(F.sum("mass").alias("mass"))
+    each = Window.partitionBy("replicate")  # a row per cell
+    upto = F.sum("mass").over(each.orderBy("cell"))
+    place = mass.select("replicate", "cell", (upto - F.col("mass")).alias("base"), upto.alias("upto"), F.floor(F.sum("mass").over(each) * alpha).alias("k"))
+    place = materialize(place.where((F.col("base") <= F.col("k")) & (F.col("k") < F.col("upto"))))
+    near = counts.join(F.broadcast(place.select("cell").distinct()), "cell")  # cells at most
+    x = near.join(drawn.join(F.broadcast(place), "replicate"), ["_i", "cell"])  # a row per replicate
+    x = x.groupBy("replicate", "base", "k", "s").agg(F.sum(F.col("c") * F.col("times")).alias("mass"))
+    reached = F.col("base") + F.sum("mass").over(each.orderBy("s"))  # the values of one cell
+    x = x.withColumn("reached", reached).where(F.col("k") < F.col("reached"))
+    return x.groupBy("replicate").agg(F.min("s").alias("threshold"))
 
 
 def bootstrap_summary(thresholds: DataFrame, frozen: float) -> DataFrame:
