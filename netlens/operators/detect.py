@@ -428,6 +428,15 @@ def chi2_quantile(p: float, d: int) -> float:
     return (low + high) / 2
 
 
+def _unfolded(flat: np.ndarray, d: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """Count, mean and covariance from the upper triangle of the products of (1, columns)."""
+    m = np.zeros((d + 1, d + 1))
+    m[np.triu_indices(d + 1)] = flat
+    m = m + np.triu(m, 1).T
+    mean = m[0, 1:] / m[0, 0]
+    return m[0, 0], mean, m[1:, 1:] / m[0, 0] - np.outer(mean, mean)
+
+
 def _moments(x: DataFrame, names: list[str]) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
     """Count, mean and covariance per ``start``, from sums that each batch makes and Spark adds up.
 
@@ -448,14 +457,7 @@ def _moments(x: DataFrame, names: list[str]) -> dict[int, tuple[float, np.ndarra
     found: dict[int, np.ndarray] = {}
     for s, cell, v in x.select("start", *names).mapInArrow(sums, "start int, cell int, v double").groupBy("start", "cell").agg(F.sum("v")).collect():
         found.setdefault(s, np.zeros((d + 1) * (d + 2) // 2))[cell] = v
-    out = {}
-    for s, flat in found.items():
-        m = np.zeros((d + 1, d + 1))
-        m[np.triu_indices(d + 1)] = flat
-        m = m + np.triu(m, 1).T
-        mean = m[0, 1:] / m[0, 0]
-        out[s] = (m[0, 0], mean, m[1:, 1:] / m[0, 0] - np.outer(mean, mean))
-    return out
+    return {s: _unfolded(flat, d) for s, flat in found.items()}
 
 
 def _log_volume(cov: np.ndarray) -> float:
@@ -518,10 +520,7 @@ def fit_mahalanobis(rows: DataFrame, key: str, names: list[str], keep: float | N
     now, last, done = {s: (0, mean, cov) for s, (_, mean, cov) in enumerate(first)}, {s: math.inf for s in range(len(first))}, {}
     for _ in range(most_steps):
         shapes = {s: (mean, np.linalg.pinv(cov)) for s, (_, mean, cov) in now.items()}
-        dist = materialize(_distances(rows, names, shapes))
-        cut = quantiles(dist, ["start"], "dist", {"cut": ((h - 0.5) / n, "count")})
-        near = dist.join(F.broadcast(cut), "start").where(F.col("dist") <= F.col("cut") * (1 + 1e-12))  # a row per start
-        now = _moments(near, names)
+        now = _nearest_moments(rows, names, shapes, h)
         for s, (_, mean, cov) in list(now.items()):
             volume = _log_volume(cov)
             if volume == -math.inf or volume >= last[s] - 1e-9:
@@ -556,6 +555,67 @@ def _distances(rows: DataFrame, names: list[str], shapes: dict[int, tuple[np.nda
     return rows.select(*names).mapInArrow(measure, ", ".join(f"{n} double" for n in names) + ", start int, dist double")
 
 
+def _nearest_moments(rows: DataFrame, names: list[str], shapes: dict[int, tuple[np.ndarray, np.ndarray]], h: int) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+    """Count, mean and covariance per start of the ``h`` rows nearest to its shape, and of those as near as the last of them.
+
+    The h-th distance is found exactly by the digits of its binary form, which order as distances do: each of three passes
+    counts rows by the next 21 bits and adds up the products of rows that the pass before has shown to be nearer.
+    Nothing is written, and only counts by digit and starts x d x d numbers reach the driver.
+    """
+    d = len(names)
+    cells = np.triu_indices(d + 1)
+    nearer = {s: np.zeros(len(cells[0])) for s in shapes}
+    span = {s: (0, 0, 1 << 63) for s in shapes}  # distances from the first to the second are nearer, up to the third are open
+    below = dict.fromkeys(shapes, 0.0)  # rows nearer than the open ones
+
+    def passed(batches: Iterator[pa.RecordBatch], span: dict[int, tuple[int, int, int]], shift: int) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = np.column_stack([np.ones(b.num_rows), *[b[n].to_numpy(zero_copy_only=False).astype(float) for n in names]])
+            made = []
+            for s, (mean, inv) in shapes.items():
+                away = data[:, 1:] - mean
+                dist = np.einsum("ij,jk,ik->i", away, inv, away)
+                key = (np.where(np.isnan(dist), np.inf, np.maximum(dist, 0)) + 0.0).view(np.uint64)
+                sure, low, high = map(np.uint64, span[s])
+                own = data[(key >= sure) & (key < low)]
+                if len(own):
+                    made.append((s, np.full(len(cells[0]), -1), np.arange(len(cells[0])), (own.T @ own)[cells]))
+                there = (key >= low) & (key < high)
+                digit, back, count = np.unique(key[there] >> np.uint64(shift), return_inverse=True, return_counts=True)
+                if shift:
+                    made.append((s, digit.astype(np.int64), np.zeros(len(digit), int), count.astype(float)))
+                    continue
+                own = data[there]
+                for i, k in enumerate(digit):  # few: the values of 42 equal bits
+                    part = own[back == i]
+                    made.append((s, np.full(len(cells[0]), int(k)), np.arange(len(cells[0])), (part.T @ part)[cells]))
+            for s, digit, cell, v in made:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), s), pa.int32()), pa.array(digit, pa.int64()), pa.array(cell, pa.int32()), pa.array(v)], names=["start", "digit", "cell", "v"])
+
+    for shift in (42, 21, 0):
+        now = dict(span)
+        found = rows.select(*names).mapInArrow(lambda it: passed(it, now, shift), "start int, digit long, cell int, v double").groupBy("start", "digit", "cell").agg(F.sum("v").alias("v")).toArrow()
+        start, digit, cell, v = (found[c].to_numpy() for c in found.column_names)
+        for s in shapes:
+            own = (start == s) & (digit < 0)
+            nearer[s][cell[own]] += v[own]
+            own = (start == s) & (digit >= 0) & (cell == 0)
+            order = np.argsort(digit[own])
+            digits, upto = digit[own][order], below[s] + np.cumsum(v[own][order])
+            at = min(int(np.searchsorted(upto, h - 0.5)), len(digits) - 1)
+            if shift:
+                first = int(digits[at]) << shift
+                below[s] = upto[at - 1] if at else below[s]
+                # the last pass takes the next digit too, for distances equal but for rounding
+                span[s] = (span[s][1], first, min(first + ((1 if shift > 21 else 2) << shift), 1 << 63))
+                continue
+            limit = np.uint64(digits[at]).view(np.float64) * (1 + 1e-12)
+            own = (start == s) & (digit >= 0)
+            own[own] = digit[own].astype(np.uint64).view(np.float64) <= limit
+            np.add.at(nearer[s], cell[own], v[own])
+    return {s: _unfolded(nearer[s], d) for s in shapes}
+
+
 def score_mahalanobis(rows: DataFrame, names: list[str], mean: np.ndarray, inv: np.ndarray) -> DataFrame:
     """Rows with ``score`` = minus the squared distance."""
     schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])

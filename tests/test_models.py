@@ -114,3 +114,19 @@ def test_robust_covariance_of_odd_rows(spark):
     assert np.isfinite(mean).all() and np.isfinite(inv).all() and abs(np.linalg.det(cov)) < 1e-9
     with pytest.raises(ValueError, match="do not determine"):
         M.fit_mahalanobis(frame(spark, [[0, 0], [1, 1]], names), "vec_id", names)
+
+
+@pytest.mark.parametrize("h", [1, 40, 333, 600])
+def test_a_step_of_concentration_is_exact_and_writes_nothing(spark, h, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(0, 2, (600, 3)), 1)
+    x[100:180] = x[7]  # equal distances are in or out together
+    names = ["a", "b", "c"]
+    shapes = {0: (x.mean(0), np.linalg.pinv(np.cov(x.T))), 2: (x[7], np.eye(3))}
+    monkeypatch.setattr(M, "materialize", lambda df: pytest.fail("a step wrote its distances"))
+    got = M._nearest_moments(frame(spark, x, names).repartition(5), names, shapes, h)
+    for s, (mean, inv) in shapes.items():
+        dist = np.einsum("ij,jk,ik->i", x - mean, inv, x - mean)
+        part = x[dist <= np.sort(dist)[h - 1] * (1 + 1e-12)]
+        assert got[s][0] == len(part) >= h
+        assert np.allclose(got[s][1], part.mean(0)) and np.allclose(got[s][2], np.cov(part.T, bias=True) if len(part) > 1 else 0, atol=1e-9)
