@@ -107,6 +107,7 @@ def http_evidence(http: DataFrame, packets: DataFrame, tol_us: int = 2 * SECOND,
 def http_view(http: DataFrame, packets: DataFrame, step_us: int, tol_us: int = 2 * SECOND, slice_us: int = MINUTE) -> DataFrame:
     """Requests seen on the wire per (source, anchor), authentication failures among them,
     and the late records left out. A frame only counts once the window end has passed it."""
+    http = http.select("src_ip", "src_port", "dest_ip", "dest_port", "ts_us", "status")  # what the lookup would carry along
     e = http_evidence(http, packets, tol_us, slice_us).withColumns({
         "bucket": ceil_bucket(F.col("ts_us"), step_us), "frame_bucket": ceil_bucket(F.col("frame_ts"), step_us),
         "auth": F.col("status").isin(401, 403),

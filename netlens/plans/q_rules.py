@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from netlens.functions.columns import ceil_bucket
 from netlens.operators import features as FT, rules as R, views as V
+from netlens.operators.core import materialize
 from netlens.plans.adapt import DAY_US, STEP_US as S, sql, table, view
 from netlens.plans.q_prep import H, obs
 from netlens.plans.registry import add, r6
@@ -37,8 +38,8 @@ UNION ALL SELECT 'client', client, CAST(count(*) AS BIGINT) FROM qnx WHERE query
 UNION ALL SELECT 'own_domain', CASE WHEN len(string_split(name,'.'))>2 THEN substr(name, instr(name,'.')+1) ELSE name END, CAST(count(*) AS BIGINT) FROM qnx WHERE query_class='own' GROUP BY 2"""))
 
 
-def dview(s, d):
-    return V.dns_view(table(s, d, "dns"), RES, S, DELTA, DAY_US)
+def dview(s, d, ev=None):
+    return V.dns_view(table(s, d, "dns", ev), RES, S, DELTA, DAY_US)
 
 
 view("dview", "qnx", f"""SELECT src_ip AS entity_ip, CAST(a AS BIGINT) AS anchor, CAST(count(*) FILTER (WHERE query_class<>'forward') AS BIGINT) AS dnsh_queries_60s,
@@ -50,8 +51,8 @@ add("R03_dns_view", lambda s, d: r6(dview(s, d)), sql("dview", """SELECT entity_
  round(dnsh_unique_names_ratio_60s,6) AS dnsh_unique_names_ratio_60s, dnsh_forwards_excluded_60s FROM dview"""))
 
 
-def web(s, d):
-    return table(s, d, "http"), table(s, d, "packets")
+def web(s, d, ev=None):
+    return table(s, d, "http", ev), table(s, d, "packets", ev)
 
 
 view("wpair", "http", """SELECT *, least(src_ip||':'||src_port, dest_ip||':'||dest_port)||'|'||greatest(src_ip||':'||src_port, dest_ip||':'||dest_port) AS pair FROM http""")
@@ -60,8 +61,8 @@ view("wev", "wpair fpair", f"""SELECT w.*, f.frame_ts FROM wpair w LEFT JOIN (SE
 add("R04_http_evidence", lambda s, d: V.http_evidence(*web(s, d), TOL, DAY_US).select("arrival", "frame_ts"), sql("wev", "SELECT arrival, frame_ts FROM wev"))
 
 
-def hview(s, d):
-    return V.http_view(*web(s, d), S, TOL, DAY_US)
+def hview(s, d, ev=None):
+    return V.http_view(*web(s, d, ev), S, TOL, DAY_US)
 
 
 view("hview", "wev", f"""SELECT src_ip AS entity_ip, CAST(a AS BIGINT) AS anchor, CAST(count(*) FILTER (WHERE frame_ts<=a*{S}) AS BIGINT) AS httph_requests_60s,
@@ -83,8 +84,9 @@ TH = R.with_overrides({
 def with_views(s, d):
     keys = ["entity_ip", "anchor"]
     cols = ["flow_attempt_count_30s", "unique_dst_port_ratio_30s", "syn_completion_ratio_10s"]
-    f = FT.features(obs(s, d), table(s, d, "app"), None, S, cols)
-    return f.join(hview(s, d), keys, "full_outer").join(dview(s, d), keys, "full_outer")
+    ev = materialize(table(s, d, "ev"))  # a dozen branches read the parsed events
+    f = FT.features(obs(s, d, ev), table(s, d, "app", ev), None, S, cols)
+    return f.join(hview(s, d, ev), keys, "full_outer").join(dview(s, d, ev), keys, "full_outer")
 
 
 view("scanf", "g3", """SELECT entity_ip, a AS anchor, count(*) FILTER (WHERE flow_attempt) AS fa,
