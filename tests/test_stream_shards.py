@@ -2,6 +2,9 @@
 
 import random
 
+import pandas as pd
+
+from netlens.operators import actions as A
 from netlens.streaming import live as L
 
 BASE = 1_700_000_000_000_000
@@ -57,3 +60,27 @@ def test_one_window_of_many_hosts_is_a_row_of_state_a_shard(spark, tmp_path):
     batches = [[(f"10.10.{i % 9}.{i}", BASE, "pending", BASE) for i in range(3_000)], [("late", BASE, "pending", BASE + 1)]]
     got, rows = run(spark, tmp_path, batches, "entity_ip string, window_us long, kind string, ts_us long", lambda x: L.pending_windows(x, 10**9, "1 second"))
     assert not any(got.values()) and rows <= 3 * 64  # with its timers; before, a row a host
+
+
+def test_measures_go_on_from_batch_to_batch_and_share_rows_of_state(spark, tmp_path):
+    rnd = random.Random(9)
+    second, day = 1_000_000, 86_400_000_000
+    rows = []
+    for i in range(6_000):
+        ip = rnd.choice([None, "10.10.0.1", "10.10.0.2", *(f"10.10.1.{j}" for j in range(400))])
+        t = BASE + rnd.choice([0, 0, 0, 2, 5]) * day + rnd.randrange(7_000) * second
+        rows.append((ip, rnd.choice(["dc1", "srv-dmz"]), rnd.choice(["dns", "todo", "todo", None]), rnd.choice(["BLOCK", "LIMIT", "LIMIT", None]), f"e{i}", t, t - rnd.randrange(400) * second, t - rnd.randrange(90) * second))
+    rows.sort(key=lambda r: (r[5], r[4]))
+    batches = [rows[i : i + 1_000] for i in range(0, 6_000, 1_000)]
+    want, pasts = set(), {}
+    for b in batches:
+        for key, part in pd.DataFrame(b, columns=["ip", "target", "scope", "action", "event_id", "t_us", "from_us", "to_us"]).groupby(["ip", "target"], dropna=False):
+            part = part.sort_values(["t_us", "event_id"], ignore_index=True)
+            key = tuple(None if pd.isna(k) else k for k in key)
+            found, pasts[key] = A.changes(part, pasts.get(key, A.NO_PAST), second)
+            want |= {(part["event_id"][r.row], r.state, r.in_force, r.until_us, r.level) for r in found.itertuples() if r.state != "renovada"}
+    got, held = run(spark, tmp_path, batches, "entity_ip string, target string, scope string, action string, event_id string, t_us long, from_us long, to_us long",
+                    lambda x: L.stream_actions(x, second, "1 hour", shards=4, cells=4))
+    told = [r for b in got.values() for r in b]
+    assert len(told) == len(set(told)) and set(told) == want and {r[1] for r in told} == {"nueva", "escalada"}
+    assert held <= 60 and len(pasts) > 700  # before, a row an address and target
