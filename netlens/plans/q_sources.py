@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from netlens.operators import features as FT, prep, rules as R
-from netlens.operators.core import scratch_path
+from netlens.operators.core import materialize, scratch_path
 from netlens.operators.learn import content_digest
 from netlens.plans import q_features  # noqa: F401  (named subqueries)
 from netlens.plans.adapt import DAY_US as D, SCOPE, SQL_VIEWS, STEP_US as S, sql, table, view
@@ -47,23 +47,35 @@ def frame_hex(p: DataFrame) -> Column:
     return F.concat(F.lit("0200000000bb0200000000"), hx(n % 4, 2), tags, F.when(is_arp, arp).otherwise(F.concat(F.lit("0800"), ip, body)))
 
 
-def captures(s, d, damaged: bool = False, p: DataFrame | None = None, fno: Column | None = None) -> DataFrame:
-    """Capture files of 500 packets each in all four formats; on request some lose their tail."""
-    p = table(s, d, "packets") if p is None else p
-    fno = F.floor(F.col("arrival") / PER_FILE).cast("long") if fno is None else fno
+def records(p: DataFrame, fno: Column) -> DataFrame:
+    """Capture records of packet rows as hex text: fno, arrival, rec; the number of a file tells its format."""
     x = p.select(fno.alias("fno"), "arrival", "ts_us", frame_hex(p).alias("h"))
-    big, nano = F.col("fno") % 2 == 1, F.col("fno") % 4 >= 2
+    big, nano = _format()
     word = lambda v: F.when(big, hx(v, 8)).otherwise(swap(hx(v, 8), 4))
     size = F.length("h") / 2
     frac = F.pmod("ts_us", F.lit(1_000_000)) * F.when(nano, 1000).otherwise(1)
     rec = F.concat(word(F.floor(F.col("ts_us") / 1_000_000)), word(frac), word(size), word(size), "h")
-    g = x.withColumn("rec", rec).groupBy("fno").agg(F.sort_array(F.collect_list(F.struct("arrival", "rec"))).alias("rs"))  # 500 packets per file
+    return x.select("fno", "arrival", rec.alias("rec"))
+
+
+def _format() -> tuple[Column, Column]:
+    return F.col("fno") % 2 == 1, F.col("fno") % 4 >= 2
+
+
+def file_head() -> Column:
+    big, nano = _format()
     magic = F.when(big & nano, "a1b23c4d").when(big, "a1b2c3d4").when(nano, "4d3cb2a1").otherwise("d4c3b2a1")
-    head = F.concat(magic, F.when(big, "00020004").otherwise("02000400"), F.lit("0000000000000000"), F.when(big, "0000ffff").otherwise("ffff0000"), F.when(big, "00000001").otherwise("01000000"))
-    text = F.concat(head, F.array_join(F.transform("rs", lambda r: r["rec"]), ""))
+    return F.concat(magic, F.when(big, "00020004").otherwise("02000400"), F.lit("0000000000000000"), F.when(big, "0000ffff").otherwise("ffff0000"), F.when(big, "00000001").otherwise("01000000"))
+
+
+def captures(s, d, damaged: bool = False) -> DataFrame:
+    """Capture files of 500 packets each in all four formats; on request some lose their tail."""
+    x = records(table(s, d, "packets"), F.floor(F.col("arrival") / PER_FILE).cast("long"))
+    g = x.groupBy("fno").agg(F.sort_array(F.collect_list(F.struct("arrival", "rec"))).alias("rs"))  # 500 packets per file
+    text = F.concat(file_head(), F.array_join(F.transform("rs", lambda r: r["rec"]), ""))
     if damaged:
+        g = g.withColumn("t", text)
         text = F.when(F.col("fno") % 6 == 5, F.expr("substring(t, 1, length(t) - 6)")).when(F.col("fno") % 9 == 4, F.concat(F.lit("00000000"), F.col("t"))).otherwise(F.col("t"))
-        g = g.withColumn("t", F.concat(head, F.array_join(F.transform("rs", lambda r: r["rec"]), "")))
     return g.select(F.concat(F.lit("f"), F.col("fno").cast("string")).alias("path"), F.unhex(text).alias("content"))
 
 
@@ -75,15 +87,10 @@ view("frm", "packets", f"SELECT *, 'f'||(arrival//{PER_FILE}) AS file, row_numbe
 SPLIT, TASK = 16_384, 32 << 20
 
 
-def read_in_ranges(s, files: DataFrame, split: int = SPLIT) -> DataFrame:
-    """The files written to the shared folder and read by ranges of bytes."""
-    folder = scratch_path(s)
-    C.write_files(files, folder)
-    return C.read_capture(s, folder, split, task=TASK)
-
-
 def s01(s, d):
-    x = C.numbered(read_in_ranges(s, captures(s, d)), SPLIT)
+    folder = scratch_path(s)
+    C.write_files(captures(s, d), folder)
+    x = C.numbered(C.read_capture(s, folder, SPLIT, task=TASK), SPLIT)
     return x.select(F.element_at(F.split("file", "/"), -1).alias("file"), "rec_no", "ts_us", F.length("frame").cast("int").alias("size"))
 
 
@@ -301,8 +308,11 @@ LOW = R.THRESHOLDS | {"port_scan": R.THRESHOLDS["port_scan"] | {
 
 def capture_to_rules(s, d):
     p = table(s, d, "packets").withColumn("ts_us", F.col("ts_us") - F.pmod("ts_us", F.lit(H)))
-    frames = read_in_ranges(s, captures(s, d, p=p, fno=F.pmod("arrival", F.lit(FILES)).cast("long")), 4 * SPLIT)
-    packets = P.decode_packets(frames, "arrival")
+    x = records(p, F.pmod("arrival", F.lit(FILES)).cast("long"))
+    folder = scratch_path(s)
+    C.write_records(x.select(F.concat(F.lit("f"), F.col("fno").cast("string")).alias("path"), "arrival", F.unhex(file_head()).alias("head"), F.unhex("rec").alias("record")), "arrival", folder)
+    frames = C.read_capture(s, folder, 4 * SPLIT, task=TASK)
+    packets = materialize(P.decode_packets(frames, "arrival"))  # read by four branches
     names = ["flow_attempt_count_30s", "unique_dst_port_ratio_30s", "syn_completion_ratio_10s", "tcp_retransmission_ratio_10s", "flow_duration_mean_30s"]
     rows = FT.features(prep.attribute(packets, SCOPE), table(s, d, "app"), None, S, names)
     top = R.top_rule(R.all_rules(rows, LOW))

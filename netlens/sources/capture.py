@@ -8,7 +8,7 @@ further back than the longest record reaches; near the beginning of a file it st
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -112,8 +112,21 @@ def first_record(data: bytes, at: int, start: int, size: int, order: str, per_us
     return None
 
 
-def read_range(part: Range, fail: bool, longest: int = LONGEST) -> Iterator[pa.RecordBatch]:
-    """Frames of a range; damage at the file's end is a row with the reason, or an error."""
+def read_together(parts: list[Range], fail: bool, longest: int = LONGEST) -> Iterator[pa.RecordBatch]:
+    """Frames of ranges one after another; a range that begins where the one before stops goes on from its last record."""
+    before, at = None, None
+    for part in parts:
+        goes_on = before is not None and (part.path, part.start) == (before.path, before.stop)
+        at = yield from read_range(part, fail, longest, at if goes_on else None)
+        before = part
+
+
+def read_range(part: Range, fail: bool, longest: int = LONGEST, begin: int | None = None) -> Generator[pa.RecordBatch, None, int | None]:
+    """Frames of a range; damage at the file's end is a row with the reason, or an error.
+
+    ``begin`` is the place of the first record, if known; it is looked for where no plausible header stands there. Returns
+    the place of the first record after the range, None if the range did not come to its end.
+    """
     store, _ = filesystem(part.root)
     rows: list[tuple] = []
     held = 0
@@ -138,30 +151,39 @@ def read_range(part: Range, fail: bool, longest: int = LONGEST) -> Iterator[pa.R
             if part.start == 0:
                 damaged(reason)
                 yield batch()
-            return
+            return None
         record = struct.Struct(f"{order}IIII")
         at, before = HEADER, part.start - 2 * (longest + RECORD)
-        if before > HEADER:
+        clock = struct.unpack(f"{order}I", source.read_at(4, HEADER))[0] if before > HEADER else 0
+        if before > HEADER and begin is not None and begin + RECORD <= part.size:
+            s, f, h, o = record.unpack(source.read_at(RECORD, begin))
+            if not (abs(s - clock) <= YEAR_S and f < 1_000_000 * per_us and h <= longest and h <= o):
+                begin = None
+        if begin is not None:
+            at = begin
+        elif before > HEADER:
             probe = source.read_at(min(2 * (longest + RECORD) + RECORD, part.size - before), before)
-            clock = struct.unpack(f"{order}I", source.read_at(4, HEADER))[0]
             at = first_record(probe, before, part.start, part.size, order, per_us, longest, clock)
         elif part.start:  # near the beginning the records are followed from the first
             probe = source.read_at(min(part.start + RECORD, part.size), 0)
             while at < part.start and at + RECORD <= part.size:
                 at += RECORD + record.unpack_from(probe, at)[2]
         if at is None:
-            return
+            return None
+        whole = True
         data, base = b"", at
         while at < part.stop:
             need = RECORD if len(data) - (at - base) < RECORD else RECORD + record.unpack_from(data, at - base)[2]
             if at - base + need > len(data):  # read on from the record at hand
-                data, base = source.read_at(min(max(_READ, need), part.size - at), at), at
+                data, base = source.read_at(min(max(min(_READ, part.stop - at + RECORD), need), part.size - at), at), at
                 if len(data) < RECORD:
                     damaged("truncated record header")
+                    whole = False
                     break
                 need = RECORD + record.unpack_from(data, 0)[2]
                 if at + need > part.size:
                     damaged("truncated frame")
+                    whole = False
                     break
                 if need > len(data):
                     continue
@@ -174,6 +196,7 @@ def read_range(part: Range, fail: bool, longest: int = LONGEST) -> Iterator[pa.R
                 held = 0
     if rows:
         yield batch()
+    return at if whole else None
 
 
 class _Files(DataSourceReader):
@@ -185,8 +208,7 @@ class _Files(DataSourceReader):
         return together(ranges(self.root, listed(self.root), self.split), self.task_bytes)
 
     def read(self, partition):
-        for part in partition.parts:
-            yield from read_range(part, self.fail, self.longest)
+        yield from read_together(partition.parts, self.fail, self.longest)
 
 
 class _ClosedFiles(DataSourceStreamReader):
@@ -206,8 +228,7 @@ class _ClosedFiles(DataSourceStreamReader):
         return together(ranges(self.root, listed(self.root)[start["files"] : end["files"]], self.split, start["files"]), self.task_bytes)
 
     def read(self, partition):
-        for part in partition.parts:
-            yield from read_range(part, self.fail, self.longest)
+        yield from read_together(partition.parts, self.fail, self.longest)
 
 
 class CaptureSource(DataSource):
@@ -270,3 +291,35 @@ def write_files(files: DataFrame, folder: str) -> None:
             yield pa.RecordBatch.from_arrays([b.column(0)], names=["path"])
 
     files.select("path", "content").mapInArrow(write, "path string").count()
+
+
+def write_records(records: DataFrame, order: str, folder: str) -> None:
+    """Write (path, ``order``, head, record) rows as files of a folder: a head, then the records that are not null, sorted.
+
+    A task writes its files one after another as their rows come, so no file is held whole.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, place = filesystem(folder)
+        store.create_dir(place)
+        path, out = "", None
+        try:
+            for b in batches:
+                paths = b.column(0).to_pylist()
+                starts = [i for i, p in enumerate(paths) if i == 0 or p != paths[i - 1]]
+                for i, j in zip(starts, [*starts[1:], len(paths)]):
+                    if paths[i] != path:
+                        if out is not None:
+                            out.close()
+                            yield pa.RecordBatch.from_arrays([pa.array([path], pa.string())], names=["path"])
+                        path, out = paths[i], store.open_output_stream(f"{place}/{paths[i]}")
+                        out.write(b.column(1)[i].as_py())
+                    out.write(b"".join(b.column(2).slice(i, j - i).drop_null().to_pylist()))
+        finally:
+            if out is not None:
+                out.close()
+        if out is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([path], pa.string())], names=["path"])
+
+    x = records.repartition("path").sortWithinPartitions("path", order, "record")
+    x.select("path", "head", "record").mapInArrow(write, "path string").count()

@@ -4,6 +4,7 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from netlens.sources import capture as C, events as EV, pcap as P, tables as TB
 from netlens.streaming import live as L
@@ -174,3 +175,67 @@ def test_stream_reads_closed_files_once(spark, tmp_path):
         (tmp_path / "caps" / f"f{i}").write_bytes(capture(parts[i]))
     assert run() == [f for p in parts[:3] for _, f in p]
     assert run() == [f for p in parts[:3] for _, f in p]
+
+
+def test_records_of_a_file_are_written_in_order_as_they_come(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    whole = {f"f{i}": capture(nested(n, rng), "<" if i else ">") for i, n in enumerate((150, 0, 1, 90))}
+    rows = []
+    for name, data in whole.items():
+        at, order = 24, "<" if name != "f0" else ">"
+        while at < len(data):
+            n = 16 + struct.unpack_from(f"{order}I", data, at + 8)[0]
+            rows.append((name, at, data[:24], data[at : at + n]))
+            at += n
+    rows.append(("f1", 5, whole["f1"][:24], None))  # a record that could not be made; the file is there
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(p, int(n), h, r) for p, n, h, r in rows], "path string, place long, head binary, record binary").repartition(6)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")  # a file goes on from batch to batch
+    try:
+        C.write_records(df, "place", str(tmp_path / "made"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert {f.name: f.read_bytes() for f in (tmp_path / "made").iterdir()} == whole
+
+
+def test_no_cell_holds_a_file_of_the_way_from_captures_to_rules(spark, tmp_path, monkeypatch):
+    from netlens.plans import q_sources as Q
+
+    monkeypatch.setattr(C, "write_files", lambda files, folder: pytest.fail("whole files in cells"))
+    made = []
+    monkeypatch.setattr(C, "write_records", lambda rows, order, folder, write=C.write_records: (made.append((rows, folder)), write(rows, order, folder)))
+    rows = [(i, f"2024-01-01 0{i % 9}:00:00", i % 5, ("view", "click", "error")[i % 3], 1.0, '{"k": %d}' % (i % 100)) for i in range(600)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    events.withColumn("ts", F.to_timestamp_ntz("ts")).write.parquet(str(tmp_path / "events.parquet"))
+    assert Q.capture_to_rules(spark, str(tmp_path)).count() > 0
+    (rows, folder), = made
+    assert "collect_list" not in rows._jdf.queryExecution().toString() and len(C.listed(folder)) == Q.FILES
+    assert C.read_capture(spark, folder).count() == 600
+
+
+def test_ranges_of_a_task_go_on_and_find_their_way_after_damage(tmp_path, monkeypatch):
+    whole = nested(300, np.random.default_rng(7))
+    data = bytearray(capture(whole))
+    places, at = [], 24
+    for _, f in whole:
+        places.append(at)
+        at += 16 + len(f)
+    (tmp_path / "a").write_bytes(data)
+    searched = []
+    monkeypatch.setattr(C, "first_record", lambda *a, find=C.first_record: (searched.append(a[2]), find(*a))[1])
+
+    def read():
+        parts = C.ranges(str(tmp_path), C.listed(str(tmp_path)), 3_000)
+        apart = [r for p in parts for b in C.read_range(p, False, 14_000) for r in b.to_pylist()]
+        many, searched[:] = len(searched), []
+        assert [r for b in C.read_together(parts, False, 14_000) for r in b.to_pylist()] == apart
+        return apart, many, len(searched)
+
+    rows, many, few = read()
+    assert [r["frame"] for r in rows] == [f for _, f in whole] and many > 50 and few == 0
+    for bad in (1_000, 14_000, 4_000_000_000):  # a length that leads into another frame, or out of the file
+        broken = bytearray(data)
+        struct.pack_into("<I", broken, places[150] + 8, bad)
+        (tmp_path / "a").write_bytes(broken)
+        read()
