@@ -80,6 +80,29 @@ def test_reduced_rows_of_any_cut_give_the_same_parts():
             assert r.t0 == first["t0"][first["entity_ip"] == r.entity_ip].loc[lambda s: s == r.t0].iloc[0]
 
 
+def test_all_windows_that_end_together_come_from_one_pass():
+    """The same parts as window after window, and lean ones that leave out what no feature reads."""
+    rnd = random.Random(12)
+    rows = []
+    for i in range(900):
+        b = rnd.choice([rnd.randrange(1, 9), rnd.randrange(20, 30)])
+        t = b * 100 - rnd.randrange(100)
+        seq = rnd.choice([None, 1.0, 2.0, 3.0])
+        rows.append(dict(flow=rnd.choice([None, "f0", "f1", "f2", "f3"]), bucket=b, src_ip=rnd.choice([None, "s0", "s1"]), src_port=i % 2, protocol=rnd.choice([6, 6, None]), last_us=t, t0=t, a0=i, entity_ip=f"e{i % 3}", peer_ip="p", target_port=80, seq=None, m=None, **{c: rnd.randrange(5) for c in W._COUNTS}))
+        if seq:
+            rows.append(dict(rows[-1], seq=seq, m=rnd.randrange(1, 4)))
+    frame = pd.DataFrame(rows)
+    plain = lambda parts: sorted(map(str, parts.astype(object).where(parts.notna(), None).itertuples(index=False, name=None)))
+    for first, last in ((1, 40), (3, 6), (9, 22)):
+        apart = pd.concat([W.parts_of_anchor(frame, anchor, 7) for anchor in range(first, last + 1)])
+        assert plain(W.parts_of_anchors(frame, first, last, 7)) == plain(apart)
+        lean = W.parts_of_anchors(frame, first, last, 7, lean=True)
+        near = lambda x: x[x["begun"].astype(bool) | (x["off"] < 3)]
+        assert plain(near(lean)) == plain(near(apart))
+        far = [x.loc[~x["begun"].astype(bool) & (x["off"] >= 3), ["anchor", "entity_ip"]] for x in (lean, apart)]
+        assert not far[0].duplicated().any() and plain(far[0]) == plain(far[1].drop_duplicates())
+
+
 def test_scan_stream_keeps_only_what_later_batches_need(spark, tmp_path):
     rows = [dict(ring(1)[0], ts_us=BASE + i * SEC, arrival=i, src_ip="10.10.0.1", dst_ip="10.20.0.1", protocol=6, src_port=1000 + i, dst_port=20 + i % 15, tcp_flags=2, tcp_payload_length=0) for i in range(400)]
     out = str(tmp_path / "out")
