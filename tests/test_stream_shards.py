@@ -56,6 +56,12 @@ def test_pending_windows_run_out_to_the_millisecond_and_share_rows_of_state(spar
     assert {r[2] for b in want.values() for r in b} == {"decided", "pcap_incompleto"}
 
 
+def test_a_window_without_a_host_is_decided_in_a_later_batch(spark, tmp_path):
+    batches = [[(h, BASE, "pending", BASE) for h in (None, "10.10.0.1", "10.10.0.2")], [(h, BASE, "decided", BASE + 1) for h in (None, "10.10.0.1")], [("late", BASE + 10**9, "pending", BASE + 10**9)]]
+    got, _ = run(spark, tmp_path, batches, "entity_ip string, window_us long, kind string, ts_us long", lambda x: L.pending_windows(x, 10**6, "1 second", shards=1))
+    assert {r for b in got.values() for r in b} == {(None, BASE, "decided"), ("10.10.0.1", BASE, "decided"), ("10.10.0.2", BASE, "pcap_incompleto")}
+
+
 def test_one_window_of_many_hosts_is_a_row_of_state_a_shard(spark, tmp_path):
     batches = [[(f"10.10.{i % 9}.{i}", BASE, "pending", BASE) for i in range(3_000)], [("late", BASE, "pending", BASE + 1)]]
     got, rows = run(spark, tmp_path, batches, "entity_ip string, window_us long, kind string, ts_us long", lambda x: L.pending_windows(x, 10**9, "1 second"))
