@@ -66,6 +66,7 @@ def test_one_window_of_many_hosts_is_a_row_of_state_a_shard(spark, tmp_path):
     batches = [[(f"10.10.{i % 9}.{i}", BASE, "pending", BASE) for i in range(3_000)], [("late", BASE, "pending", BASE + 1)]]
     got, rows = run(spark, tmp_path, batches, "entity_ip string, window_us long, kind string, ts_us long", lambda x: L.pending_windows(x, 10**9, "1 second"))
     assert not any(got.values()) and rows <= 3 * 64  # with its timers; before, a row a host
+    assert spark.conf.get("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage") == "true"  # else each partition has buffers of its own
 
 
 def test_measures_go_on_from_batch_to_batch_and_share_rows_of_state(spark, tmp_path):
